@@ -181,3 +181,133 @@ FROM ledger GROUP BY 1""")
 def amount_buckets(spark, sf):
     return (ledger_lines(spark, sf).groupBy(amount_bucket().alias("bucket"))
             .agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("double").alias("total")))
+
+
+# ---- step 2: categorization, dedupe, upsert, extracts -------------------------------------
+from ledgerspark.operators import dedupe as U  # noqa: E402
+from ledgerspark.operators.categorize import categorize  # noqa: E402
+from ledgerspark.sinks.ledger import csv_rows  # noqa: E402
+from ledgerspark.sources.tables import read_table  # noqa: E402
+
+# fixed values: rules for the order ledger in the upsert query
+UPSERT_RULES = [("urgent", ["urgent"]), ("club", ["customer#0000001"]), ("other", [""])]
+
+
+def _many_rules():
+    """A large rule set built from a rule (exercises the automaton path): brand digits and
+    part-name words spread over seven categories; one keyword per brand number."""
+    rules: dict[str, list[str]] = {}
+    for i in range(300):
+        rules.setdefault(f"group{i % 7}", []).append(f"brand#{i}")
+    rules.setdefault("words", []).extend(["anvil", "widget"])
+    return list(rules.items())
+
+
+def _case_sql(rules, merchant="merchant", description="description") -> str:
+    parts = []
+    for cat, kws in rules:
+        if not kws:
+            continue
+        conds = " OR ".join("TRUE" if kw == "" else
+                            f"contains(lower({merchant}), '{kw.lower()}') OR contains(lower({description}), '{kw.lower()}')"
+                            for kw in kws)
+        parts.append(f"WHEN {conds} THEN '{cat}'")
+    return "CASE " + " ".join(parts) + " ELSE 'misc' END"
+
+
+@register("categorize", with_(LEDGER_LINES) + """
+SELECT category, COUNT(*) AS transactions, CAST(SUM(amount) AS DOUBLE) AS total FROM ledger GROUP BY 1""")
+def categorize_q(spark, sf):
+    return (ledger_lines(spark, sf).groupBy("category")
+            .agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("double").alias("total")))
+
+
+@register("categorize_many_rules", with_(LEDGER_LINES) + f"""
+SELECT {_case_sql(_many_rules())} AS category, merchant, COUNT(*) AS transactions
+FROM ledger GROUP BY 1, 2""")
+def categorize_many_rules(spark, sf):
+    df = categorize(ledger_lines(spark, sf, categorized=False), _many_rules())
+    return df.groupBy("category", "merchant").agg(F.count(F.lit(1)).alias("transactions"))
+
+
+# A copy of the 1997 rows with another category arrives first (src_ord 0); originals second.
+_DUP_SQL = with_(LEDGER_ORDERS) + """, allr AS (
+  SELECT date, description, merchant, amount, 'copied' AS category, provider, 0 AS src_ord FROM ledger
+  WHERE date >= DATE '1997-01-01' AND date <= DATE '1997-12-31'
+  UNION ALL SELECT date, description, merchant, amount, category, provider, 1 AS src_ord FROM ledger)
+"""
+
+
+@register("dedupe_first", _DUP_SQL + """
+SELECT CAST(date AS VARCHAR) AS date, description, merchant, CAST(amount AS DOUBLE) AS amount, category, provider
+FROM allr QUALIFY row_number() OVER (PARTITION BY date, description, merchant, amount ORDER BY src_ord) = 1""")
+def dedupe_first(spark, sf):
+    led = ledger_orders(spark, sf)
+    copy = led.filter(P.date_range("1997-01-01", "1997-12-31")).withColumn("category", F.lit("copied"))
+    return _rows_out(U.dedupe_first(U.union_sources(copy, led)))
+
+
+def _upsert_batch_sql() -> str:
+    return """batch AS (
+  SELECT date, description || ' ' AS description, merchant, amount, '  ' AS provider, 1 AS seq FROM ledger
+  WHERE date >= DATE '1997-03-01' AND date <= DATE '1997-06-30'
+  UNION ALL
+  SELECT date, description, merchant, amount + 1, 'new' AS provider, 2 AS seq FROM ledger
+  WHERE date >= DATE '1997-05-01' AND date <= DATE '1997-08-31')"""
+
+
+def _upsert_batch(led):
+    a = (led.filter(P.date_range("1997-03-01", "1997-06-30"))
+         .select("date", F.concat("description", F.lit(" ")).alias("description"), "merchant", "amount",
+                 F.lit("  ").alias("provider"), F.lit(1).cast("bigint").alias("seq")))
+    b = (led.filter(P.date_range("1997-05-01", "1997-08-31"))
+         .select("date", "description", "merchant", (F.col("amount") + 1).cast("decimal(18,2)").alias("amount"),
+                 F.lit("new").alias("provider"), F.lit(2).cast("bigint").alias("seq")))
+    return a.unionByName(b)
+
+
+@register("ledger_upsert", with_(LEDGER_ORDERS, _upsert_batch_sql()) + f""",
+prepared AS (
+  SELECT date, trim(description) AS description, trim(merchant) AS merchant, amount,
+         {_case_sql(UPSERT_RULES)} AS category, NULLIF(trim(provider), '') AS provider, seq FROM batch),
+allr AS (SELECT date, description, merchant, amount, category, provider, 0 AS seq FROM ledger
+         UNION ALL SELECT * FROM prepared)
+SELECT CAST(date AS VARCHAR) AS date, description, merchant, CAST(amount AS DOUBLE) AS amount,
+       arg_max(category, seq) AS category,
+       arg_min(provider, seq) FILTER (WHERE provider IS NOT NULL) AS provider
+FROM allr GROUP BY date, description, merchant, amount""")
+def ledger_upsert(spark, sf):
+    led = ledger_orders(spark, sf)
+    return _rows_out(U.upsert(led, _upsert_batch(led), UPSERT_RULES))
+
+
+@register("csv_last_wins", _DUP_SQL + """
+SELECT CAST(date AS VARCHAR) AS date, trim(description) AS description, trim(merchant) AS merchant,
+       category, CAST(round(amount, 2) AS DOUBLE) AS amount
+FROM allr QUALIFY row_number() OVER (PARTITION BY date, trim(description), trim(merchant), round(amount, 2)
+                                     ORDER BY src_ord DESC) = 1""")
+def csv_last_wins(spark, sf):
+    led = ledger_orders(spark, sf)
+    copy = led.filter(P.date_range("1997-01-01", "1997-12-31")).withColumn("category", F.lit("copied"))
+    out = csv_rows(U.union_sources(copy, led))
+    return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant", "category",
+                      F.col("amount").cast("double").alias("amount"))
+
+
+@register("alldata_dedupe", with_(LEDGER_ORDERS) + """, txt AS (
+  SELECT date, description, merchant, category, '$' || format('{:,.2f}', CAST(amount AS DOUBLE)) AS amount_text FROM ledger
+  UNION ALL SELECT date, description, merchant, category, '$' || format('{:,.2f}', CAST(amount AS DOUBLE)) FROM ledger
+  WHERE provider = 'p'
+  UNION ALL SELECT date, description, merchant, category, 'n/a' FROM ledger WHERE provider = 'p')
+SELECT DISTINCT strftime(date, '%B %Y') AS month, CAST(date AS VARCHAR) AS date, description, merchant, category,
+       COALESCE(TRY_CAST(replace(replace(trim(amount_text), '$', ''), ',', '') AS DOUBLE), 0.0) AS amount
+FROM txt""")
+def alldata_dedupe(spark, sf):
+    from ledgerspark.functions.money import currency_text
+
+    led = ledger_orders(spark, sf)
+    txt = led.select("date", "description", "merchant", "category", currency_text("amount").alias("amount_text"))
+    pending = led.filter(F.col("provider") == "p")
+    again = pending.select("date", "description", "merchant", "category", currency_text("amount").alias("amount_text"))
+    bad = pending.select("date", "description", "merchant", "category", F.lit("n/a").alias("amount_text"))
+    return U.alldata_rows(txt.unionByName(again).unionByName(bad), "amount_text")
