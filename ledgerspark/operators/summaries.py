@@ -141,6 +141,12 @@ def group_key(group_by: str) -> tuple[Column, Column]:
     raise ValueError(f"invalid groupBy {group_by!r}")
 
 
+def share_pct(grand: Column, col: str = "total_cents") -> Column:
+    """round(100 * group / grand, 1), 0.0 when the grand total is 0 (computed in DOUBLE)."""
+    return F.when(grand != 0, F.round(F.col(col).cast("double") * F.lit(100.0) / grand.cast("double"), 1)) \
+        .otherwise(F.lit(0.0))
+
+
 def group_rows(rows: DataFrame, group_by: str) -> DataFrame:
     """Groups of compact rows: key, label (first seen by date), total_cents, count, share_pct."""
     key, label = group_key(group_by)
@@ -150,8 +156,7 @@ def group_rows(rows: DataFrame, group_by: str) -> DataFrame:
                     F.sum("amount_cents").alias("total_cents"),
                     F.count(F.lit(1)).alias("count")))
     grand = rows.select(F.coalesce(F.sum("amount_cents"), F.lit(0))).scalar()
-    share = F.when(grand != 0, F.round(F.col("total_cents") * 100.0 / grand, 1)).otherwise(F.lit(0.0))
-    return grouped.withColumn("share_pct", share)
+    return grouped.withColumn("share_pct", share_pct(grand))
 
 
 def spend_summary(ledger: DataFrame, group_by: str = "category", start=None, end=None,
@@ -180,8 +185,7 @@ def spend_summary(ledger: DataFrame, group_by: str = "category", start=None, end
                         F.coalesce(F.sum(F.when(F.col("in_base"), F.col("amount_cents"))), F.lit(0)).alias("base_cents"))
                    .filter(F.col("count") > 0))
         grand = rows.filter(cur).select(F.coalesce(F.sum("amount_cents"), F.lit(0))).scalar()
-        share = F.when(grand != 0, F.round(F.col("total_cents") * 100.0 / grand, 1)).otherwise(F.lit(0.0))
-        out = (grouped.withColumn("share_pct", share)
+        out = (grouped.withColumn("share_pct", share_pct(grand))
                .withColumn("delta_cents", F.col("total_cents") - F.col("base_cents"))
                .drop("base_cents"))
     out = out.orderBy(F.desc("total_cents"), F.asc("key"))
@@ -244,7 +248,7 @@ def top_category_share(ledger: DataFrame, filters: Filters | None = None, top: i
     """Top categories with their share of all filtered spend and a bar width relative to
     the largest (at least 2 %)."""
     by_cat = summarize_by_category(ledger, filters)
-    grand = by_cat.select(F.coalesce(F.sum("total"), F.lit(0.0))).scalar()
+    grand = apply_filters(ledger, filters, with_merchant_amount=False).select(_total()).scalar()
     top_df = by_cat.limit(top)
     biggest = top_df.select(F.greatest(F.coalesce(F.max("total"), F.lit(1.0)), F.lit(1.0))).scalar()
     return top_df.select(
