@@ -69,15 +69,19 @@ def recurring_months(spark, sf):
                       F.round("average", 4).alias("average"), "total", "latest_date")
 
 
-@register("anomalies_tx", with_(LEDGER_LINES, compact_cte("date >= DATE '1997-01-01' AND date <= DATE '1997-12-31'")) + f""",
+def _anomalies_tx_sql(view: str, start: str, end: str, factor: float, limit: int) -> str:
+    return with_(view, compact_cte(f"date >= DATE '{start}' AND date <= DATE '{end}'")) + f""",
 rows2 AS (SELECT *, {TX_ID_SQL} AS id FROM rows),
 st AS (SELECT merchant, COUNT(*) AS n, SUM(amount_cents) AS s, stddev_pop(CAST(amount_cents AS DOUBLE)) AS sd
        FROM rows2 GROUP BY 1 HAVING COUNT(*) >= 2)
 SELECT id, rows2.merchant AS label, s // n AS expected_cents, amount_cents AS actual_cents,
        amount_cents - s // n AS delta_cents, 0.7 AS confidence, 'transaction_spike' AS explanation_code
 FROM rows2 JOIN st ON rows2.merchant = st.merchant
-WHERE amount_cents > s // n + CAST(trunc(greatest(sd * 1.5, 2500.0)) AS BIGINT)
-ORDER BY delta_cents DESC, id LIMIT 10""")
+WHERE amount_cents > s // n + CAST(trunc(greatest(sd * {factor}, 2500.0)) AS BIGINT)
+ORDER BY delta_cents DESC, id LIMIT {limit}"""
+
+
+@register("anomalies_tx", _anomalies_tx_sql(LEDGER_LINES, "1997-01-01", "1997-12-31", 1.5, 10))
 def anomalies_tx(spark, sf):
     return X.anomalies_transactions(ledger_lines(spark, sf), "1997-01-01", "1997-12-31", "medium", 10)
 

@@ -1 +1,158 @@
-"""Registered queries (filled in below)."""
+"""Registered report, search, paging and bundle queries (step 5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerspark.functions.dates import comparison_range
+from ledgerspark.operators import reports as R
+from ledgerspark.operators import summaries as A
+from ledgerspark.operators.paging import find_page
+from ledgerspark.operators.search import search_dimensions
+from ledgerspark.plans import bundles
+from ledgerspark.plans.pattern_queries import TX_ID_SQL, _anomalies_tx_sql, _recurring_sql
+from ledgerspark.plans.registry import register
+from ledgerspark.plans.sqlfrag import compact_cte, slug_sql
+from ledgerspark.plans.sqlviews import LEDGER_LINES, LEDGER_ORDERS, with_
+from ledgerspark.plans.summary_queries import _drivers_sql, _summary_sql
+from ledgerspark.sources.tables import ledger_lines, ledger_orders
+
+ORDER_CATEGORIES = ["automobile", "building", "furniture", "machinery", "uncategorized"]
+CHART_CATS = ["hardware", "jewelry", "misc", "toys"]
+
+
+@register("month_category_rollup", with_(LEDGER_ORDERS) + """,
+d AS (SELECT strftime(date, '%Y-%m') AS month, strftime(date, '%B %Y') AS month_label,
+             COALESCE(category, '') AS category, amount FROM ledger),
+r AS (SELECT month, category, CAST(SUM(amount) AS DOUBLE) AS total, GROUPING(month, category) AS level,
+             max(month_label) AS month_label FROM d GROUP BY ROLLUP (month, category))
+SELECT COALESCE(month, '~') AS sort_month,
+       CASE WHEN level = 0 THEN month_label WHEN level = 1 THEN month_label || ' Total' ELSE 'Grand Total' END AS label,
+       CASE WHEN level = 0 THEN category END AS category, total, level
+FROM r""")
+def month_category_rollup(spark, sf):
+    return R.month_category_rollup(ledger_orders(spark, sf))
+
+
+@register("month_category_pivot", with_(LEDGER_ORDERS) + "SELECT strftime(date, '%Y-%m') AS month, " + ", ".join(
+    f"COALESCE(CAST(SUM(amount) FILTER (WHERE COALESCE(category, 'uncategorized') = '{c}') AS DOUBLE), 0.0) AS {c}"
+    for c in ORDER_CATEGORIES) + ", CAST(SUM(amount) AS DOUBLE) AS total FROM ledger GROUP BY 1")
+def month_category_pivot(spark, sf):
+    return R.month_category_pivot(ledger_orders(spark, sf), ORDER_CATEGORIES)
+
+
+@register("month_category_long", with_(LEDGER_LINES) + """
+SELECT strftime(date, '%Y-%m') AS month, COALESCE(category, 'uncategorized') AS category,
+       CAST(SUM(amount) AS DOUBLE) AS total FROM ledger GROUP BY 1, 2""")
+def month_category_long(spark, sf):
+    return R.month_category_long(ledger_lines(spark, sf))
+
+
+@register("chart_monthly", with_(LEDGER_ORDERS) + """
+SELECT strftime(date, '%Y-%m') AS month, max(strftime(date, '%B %Y')) AS label, CAST(SUM(amount) AS DOUBLE) AS total
+FROM ledger GROUP BY 1""")
+def chart_monthly(spark, sf):
+    return R.chart_monthly(ledger_orders(spark, sf))
+
+
+@register("chart_category_month", with_(LEDGER_LINES) + """,
+m AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM ledger),
+c AS (SELECT unnest(['""" + "', '".join(CHART_CATS) + """']) AS category),
+t AS (SELECT strftime(date, '%Y-%m') AS month, lower(trim(COALESCE(category, ''))) AS category,
+             CAST(SUM(amount) AS DOUBLE) AS total FROM ledger GROUP BY 1, 2)
+SELECT m.month, c.category, COALESCE(t.total, 0.0) AS total
+FROM m CROSS JOIN c LEFT JOIN t ON t.month = m.month AND t.category = c.category""")
+def chart_category_month(spark, sf):
+    return R.chart_category_month(ledger_lines(spark, sf), CHART_CATS)
+
+
+@register("chart_categories", with_(LEDGER_LINES) + """,
+t AS (SELECT trim(COALESCE(category, '')) AS category, CAST(SUM(amount) AS DOUBLE) AS total FROM ledger
+      WHERE trim(COALESCE(category, '')) <> '' GROUP BY 1
+      UNION ALL SELECT unnest(['car', 'groceries', 'misc']) AS category, 0.0 AS total)
+SELECT category, SUM(total) AS total FROM t GROUP BY 1""")
+def chart_categories(spark, sf):
+    return R.chart_categories(ledger_lines(spark, sf), seed=["car", "groceries", "misc"])
+
+
+@register("month_extract", with_(LEDGER_ORDERS) + """
+SELECT strftime(date, '%Y-%m') AS month_key, strftime(date, '%B %Y') AS month, CAST(date AS VARCHAR) AS date,
+       description, merchant, category, CAST(amount AS DOUBLE) AS amount FROM ledger""")
+def month_extract(spark, sf):
+    return (R.month_extract_rows(ledger_orders(spark, sf))
+            .select("month_key", "month", F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
+                    "merchant", "category", F.col("amount").cast("double").alias("amount")))
+
+
+@register("text_lines", with_(LEDGER_LINES) + """
+SELECT CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || ' | ' || description || ' | ' || merchant || ' | '
+       || CAST(amount AS VARCHAR) AS line FROM ledger""")
+def text_lines(spark, sf):
+    return R.text_lines(ledger_lines(spark, sf)).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "line")
+
+
+@register("summary_table", with_(LEDGER_ORDERS) + """
+SELECT category, '$' || format('{:,.2f}', total) AS total_text, transactions FROM (
+  SELECT COALESCE(category, 'uncategorized') AS category, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS transactions
+  FROM ledger WHERE provider = 'o' GROUP BY 1 ORDER BY total DESC, category LIMIT 8)""")
+def summary_table(spark, sf):
+    from ledgerspark.schema import Filters
+
+    return R.summary_table(A.summarize_by_category(ledger_orders(spark, sf), Filters(provider="o")))
+
+
+@register("search_dimensions", with_(LEDGER_LINES) + f""",
+um AS (SELECT merchant, list_sort(list_distinct(list(COALESCE(category, 'uncategorized')))) AS cats FROM ledger
+       WHERE COALESCE(category, 'uncategorized') <> '' GROUP BY 1),
+u AS (
+  SELECT 0 AS type_rank, 'merchant' AS type, {slug_sql('merchant')} AS id, merchant AS label,
+         array_to_string(cats[1:3], ',') AS aliases FROM um WHERE contains(lower(merchant), 'brand#1')
+  UNION ALL
+  SELECT DISTINCT 1, 'category', {slug_sql('category')}, category, NULL FROM
+    (SELECT COALESCE(category, 'uncategorized') AS category FROM ledger) WHERE category <> '' AND contains(lower(category), 'brand#1')
+  UNION ALL
+  SELECT DISTINCT 2, 'account', {slug_sql('provider')}, provider, NULL FROM ledger
+    WHERE provider IS NOT NULL AND trim(provider) <> '' AND contains(lower(provider), 'brand#1'))
+SELECT type, id, label, aliases FROM u ORDER BY type_rank, label LIMIT 10""")
+def search_dimensions_q(spark, sf):
+    out = search_dimensions(ledger_lines(spark, sf), "Brand#1", limit=10)
+    return out.select("type", "id", "label", F.array_join("aliases", ",").alias("aliases"))
+
+
+@register("find_page", with_(LEDGER_ORDERS, compact_cte("date >= DATE '1997-01-01' AND date <= DATE '1997-12-31'")) + f""",
+p AS (SELECT {TX_ID_SQL} AS id, CAST(date AS VARCHAR) AS date, amount_cents AS "amountCents", merchant, category,
+             date AS d, amount_cents FROM rows
+      ORDER BY d, id, amount_cents LIMIT 26 OFFSET 50),
+n AS (SELECT COUNT(*) AS n FROM p)
+SELECT id, date, "amountCents", merchant, category,
+       CASE WHEN (SELECT n FROM n) > 25 THEN '75' END AS next_cursor,
+       CAST(50 + least((SELECT n FROM n), 25) + CASE WHEN (SELECT n FROM n) > 25 THEN 1 ELSE 0 END AS BIGINT) AS total_approx
+FROM (SELECT *, row_number() OVER (ORDER BY d, id, amount_cents) AS pos FROM p) WHERE pos <= 25""")
+def find_page_q(spark, sf):
+    return find_page(ledger_orders(spark, sf), "1997-01-01", "1997-12-31", limit=25, cursor="50")
+
+
+_IC = ("1998-01-01", "1998-06-30")
+_IC_BASE = comparison_range(*_IC, "previous_period")
+_IC_RANGE = f"date >= DATE '{_IC[0]}' AND date <= DATE '{_IC[1]}'"
+
+
+def _section(name: str, sql: str, label: str, value: str, order: str) -> str:
+    return (f"SELECT '{name}' AS section, row_number() OVER (ORDER BY {order}) AS rank, CAST({label} AS VARCHAR) AS label, "
+            f"CAST({value} AS BIGINT) AS value FROM ({sql})")
+
+
+@register("insight_context", " UNION ALL ".join([
+    _section("totals", _summary_sql(LEDGER_ORDERS, "month", _IC_RANGE, 12), "label", "total_cents", "total_cents DESC, key"),
+    _section("top_categories", _summary_sql(LEDGER_ORDERS, "category", _IC_RANGE, 8), "label", "total_cents",
+             "total_cents DESC, key"),
+    _section("top_merchants", _summary_sql(LEDGER_ORDERS, "merchant", _IC_RANGE, 8), "label", "total_cents",
+             "total_cents DESC, key"),
+    _section("drivers", _drivers_sql("category", 8, True, _IC, _IC_BASE), "label", "delta_cents",
+             "abs(delta_cents) DESC, key"),
+    _section("anomalies", _anomalies_tx_sql(LEDGER_ORDERS, *_IC, 1.5, 5), "label", "delta_cents", "delta_cents DESC, id"),
+    _section("recurring", _recurring_sql(LEDGER_ORDERS, *_IC, 3, False, 8), "merchant", "avg_amount_cents",
+             "confidence DESC, avg_amount_cents DESC, merchant"),
+]))
+def insight_context(spark, sf):
+    return bundles.tall(bundles.insight_context(ledger_orders(spark, sf), *_IC, "previous_period"))

@@ -127,11 +127,12 @@ _A = ("1998-01-01", "1998-06-30")
 _B = ("1997-01-01", "1997-06-30")
 
 
-def _drivers_sql(group_by: str, limit: int, reason: bool = False) -> str:
+def _drivers_sql(group_by: str, limit: int, reason: bool = False, a=_A, b=_B, view: str = LEDGER_ORDERS) -> str:
+    _A, _B = a, b  # noqa: N806
     key, lab = key_label(group_by)
     extra = (""", CASE WHEN delta_cents < 0 THEN 'decrease' WHEN baseline_cents = 0 AND current_cents > 0 THEN 'new'
        ELSE 'increase' END AS reason_code""" if reason else "")
-    return with_(LEDGER_ORDERS, compact_cte(f"date >= DATE '{_A[0]}' AND date <= DATE '{_A[1]}'", name="a_rows"),
+    return with_(view, compact_cte(f"date >= DATE '{_A[0]}' AND date <= DATE '{_A[1]}'", name="a_rows"),
                  compact_cte(f"date >= DATE '{_B[0]}' AND date <= DATE '{_B[1]}'", name="b_rows")) + f""",
 a AS (SELECT {key} AS key, {first_label(lab)} AS label, SUM(amount_cents) AS t FROM a_rows GROUP BY 1),
 b AS (SELECT {key} AS key, {first_label(lab)} AS label, SUM(amount_cents) AS t FROM b_rows GROUP BY 1),
