@@ -35,7 +35,8 @@ def _pick(values, idx: str) -> str:
 
 
 _K = "CAST(json_extract(props, '$.k') AS INTEGER)"
-_TYPE = "CASE " + " ".join(f"WHEN event_type = '{s}' THEN '{d}'" for s, d in EVENT_TYPE_MAP.items()) + " ELSE event_type END"
+_TYPE = "CASE WHEN event_type = 'view' AND k % 10 = 9 THEN 'session_ended' " \
+    "WHEN event_type = 'error' AND k % 5 = 4 THEN 'search_abandoned' " + " ".join(f"WHEN event_type = '{s}' THEN '{d}'" for s, d in EVENT_TYPE_MAP.items()) + " ELSE event_type END"
 
 USAGE_EVENTS = f"""ev0 AS (SELECT *, {_K} AS k, CAST(ts AS TIMESTAMP) AS tsx FROM events),
 usage AS (

@@ -105,6 +105,9 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for src, dst in EVENT_TYPE_MAP.items():
         mapped = F.when(etype == src, F.lit(dst)) if mapped is None else mapped.when(etype == src, F.lit(dst))
     mapped = mapped.otherwise(etype)
+    mapped = (F.when((etype == "view") & (k % 10 == 9), F.lit("session_ended"))
+              .when((etype == "error") & (k % 5 == 4), F.lit("search_abandoned"))
+              .otherwise(mapped))
     ts = F.col("ts").cast("timestamp")
     user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
 
