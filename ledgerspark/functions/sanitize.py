@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -37,16 +38,30 @@ _DROP = object()
 
 
 def tidy(text: str, limit: int = TEXT_LIMIT) -> str:
+    if text.isprintable() and "  " not in text:
+        # no control characters and no whitespace but single ASCII spaces: nothing to collapse
+        return text.strip()[:limit]
     return _spaces.sub(" ", _control.sub(" ", text)).strip()[:limit]
 
 
+@lru_cache(maxsize=8192)
+def _key_info(raw: str) -> tuple[str, bool]:
+    k = _non_key.sub("_", tidy(raw, KEY_LIMIT).lower())
+    k = _underscores.sub("_", k).strip("_")
+    return k, bool(k and _sensitive_key.search(k))
+
+
 def key_name(raw) -> str:
-    k = _non_key.sub("_", tidy(str(raw), KEY_LIMIT).lower())
-    return _underscores.sub("_", k).strip("_")
+    return _key_info(str(raw))[0]
+
+
+_any_digit = re.compile(r"\d")
 
 
 def _suspicious(text: str) -> bool:
-    return bool(_digits.search(text) or _email.search(text))
+    if "@" in text and _email.search(text):
+        return True
+    return bool(_any_digit.search(text) and _digits.search(text))
 
 
 def _scalar(key: str | None, value):
@@ -76,10 +91,10 @@ def clean_value(value, key: str | None = None, depth: int = 0):
         for pos, (raw_key, raw_val) in enumerate(value.items()):
             if pos >= MAX_KEYS:
                 break
-            k = key_name(raw_key)
+            k, sensitive = _key_info(str(raw_key))
             if not k:
                 continue
-            if _sensitive_key.search(k):
+            if sensitive:
                 out[k] = REDACTED
                 continue
             v = clean_value(raw_val, k, depth + 1)
@@ -92,6 +107,7 @@ def clean_value(value, key: str | None = None, depth: int = 0):
     return _scalar(key, value)
 
 
+@lru_cache(maxsize=65536)
 def sanitize_json_text(text) -> str:
     """Raw metadata (JSON text, or a bare string) -> canonical sanitized JSON object text."""
     if text is None or text == "":

@@ -109,19 +109,31 @@ def feature_usage(events: DataFrame, limit: int | None = 20) -> DataFrame:
             .limit(_clamp(limit, 20)))
 
 
+# "<variant type>:<text>" of a falsy JSON value: "", false, [], {}, numeric zero (null/missing
+# give NULL text and so are falsy too)
+_FALSY = (r"^(STRING:|BOOLEAN:false|ARRAY<.*>:\[\]|OBJECT<.*>:\{\}"
+          r"|(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)):[-+]?(0+\.?0*|\.0+)([eE][-+]?\d+)?)$")
+
+
 def json_truthy(variant: Column, key: str) -> Column:
     """Text of ``$.key`` when truthy in the Python sense, else NULL (0, false, '', null, [], {})."""
-    node = F.variant_get(variant, f"$.{key}", "variant")
-    typ = F.schema_of_variant(node)
     text = F.try_variant_get(variant, f"$.{key}", "string")
-    numeric = typ.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    falsy = (text.isNull()
-             | ((typ == "STRING") & (text == ""))
-             | ((typ == "BOOLEAN") & (text == "false"))
-             | (typ.startswith("ARRAY") & (text == "[]"))
-             | (typ.startswith("OBJECT") & (text == "{}"))
-             | (numeric & (text.try_cast("double") == 0)))
-    return F.when(~falsy, text)
+    tagged = F.concat(F.schema_of_variant(F.variant_get(variant, f"$.{key}", "variant")), F.lit(":"), text)
+    return F.when(~tagged.rlike(_FALSY), text)
+
+
+def _keep(pred: Column) -> Column:
+    """A group-level keep flag. The predicate depends only on grouping keys, but testing it after
+    the aggregate (as ``max``) stops Catalyst from pushing it below the projection, which would
+    re-evaluate (inline) the JSON lookups a second time for every row."""
+    return F.max(pred).alias("__keep")
+
+
+def _first_truthy(df: DataFrame, out: str, keys: tuple[str, ...], limit: int) -> DataFrame:
+    """Add ``out`` = cleaned first truthy value among ``keys`` (each key looked up once)."""
+    tmp = [f"__{out}_{i}" for i in range(len(keys))]
+    df = df.select("*", *[json_truthy(F.col("__v"), k).alias(t) for k, t in zip(keys, tmp)])
+    return df.withColumn(out, clean_text(F.coalesce(*[F.col(t) for t in tmp], F.lit("")), limit)).drop(*tmp)
 
 
 def _meta(events: DataFrame) -> DataFrame:
@@ -131,62 +143,54 @@ def _meta(events: DataFrame) -> DataFrame:
 def common_filters(events: DataFrame) -> DataFrame:
     """A15 filters: name = filter/field/name, value = value/selected/state (first truthy);
     both non-blank after cleaning -> count; count desc, name, value."""
-    v = F.col("__v")
-    df = _meta(events.filter(F.col("event_type") == "filter_changed"))
-    name = clean_text(F.coalesce(json_truthy(v, "filter"), json_truthy(v, "field"), json_truthy(v, "name"), F.lit("")), 64)
-    value = clean_text(F.coalesce(json_truthy(v, "value"), json_truthy(v, "selected"), json_truthy(v, "state"), F.lit("")), 80)
-    return (df.select(name.alias("filter"), value.alias("value"))
-            .filter((F.col("filter") != "") & (F.col("value") != ""))
-            .groupBy("filter", "value").agg(F.count(F.lit(1)).alias("count"))
+    df = _meta(events.filter(F.col("event_type") == "filter_changed").select("metadata_json"))
+    df = _first_truthy(df, "filter", ("filter", "field", "name"), 64)
+    df = _first_truthy(df, "value", ("value", "selected", "state"), 80)
+    return (df.groupBy("filter", "value")
+            .agg(F.count(F.lit(1)).alias("count"), _keep((F.col("filter") != "") & (F.col("value") != "")))
+            .filter("__keep").drop("__keep")
             .orderBy(F.desc("count"), "filter", "value"))
 
 
 def common_sorts(events: DataFrame) -> DataFrame:
     """A15 sorts: sort/sortby/sort_by and direction/sortdir/sort_dir (default ``asc``)."""
-    v = F.col("__v")
-    df = _meta(events.filter(F.col("event_type") == "sort_changed"))
-    by = clean_text(F.coalesce(json_truthy(v, "sort"), json_truthy(v, "sortby"), json_truthy(v, "sort_by"), F.lit("")), 64)
-    dr = clean_text(F.coalesce(json_truthy(v, "direction"), json_truthy(v, "sortdir"), json_truthy(v, "sort_dir"), F.lit("")), 32)
-    return (df.select(by.alias("sort"), F.when(dr == "", "asc").otherwise(dr).alias("direction"))
-            .filter(F.col("sort") != "")
-            .groupBy("sort", "direction").agg(F.count(F.lit(1)).alias("count"))
+    df = _meta(events.filter(F.col("event_type") == "sort_changed").select("metadata_json"))
+    df = _first_truthy(df, "sort", ("sort", "sortby", "sort_by"), 64)
+    df = _first_truthy(df, "direction", ("direction", "sortdir", "sort_dir"), 32)
+    return (df.select("sort", F.when(F.col("direction") == "", "asc").otherwise(F.col("direction")).alias("direction"))
+            .groupBy("sort", "direction").agg(F.count(F.lit(1)).alias("count"), _keep(F.col("sort") != ""))
+            .filter("__keep").drop("__keep")
             .orderBy(F.desc("count"), "sort", "direction"))
 
 
 def _zero_result(v: Column) -> Column:
-    """``int(resultcount or-if-None result_count) == 0`` on a VARIANT."""
-    node = F.coalesce(
-        F.when(~F.expr("is_variant_null(variant_get(__v, '$.resultcount'))"),
-               F.variant_get(v, "$.resultcount", "variant")),
-        F.variant_get(v, "$.result_count", "variant"))
-    typ = F.schema_of_variant(node)
-    text = F.try_variant_get(node, "$", "string")
-    as_int_text = F.regexp_extract(text, r"^\s*[+-]?(\d+)\s*$", 1)
-    zero = (F.when(typ == "BOOLEAN", text == "false")
-            .when(typ.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
-                  F.abs(text.try_cast("double")) < 1)
-            .when(typ == "STRING", (as_int_text != "") & (as_int_text.try_cast("decimal(38,0)") == 0))
-            .otherwise(F.lit(False)))
-    return F.coalesce(zero, F.lit(False))
+    """``int(resultcount, or result_count when that is missing/null) == 0`` on a VARIANT."""
+    rc = F.variant_get(v, "$.resultcount", "variant")
+    node = F.coalesce(F.when(~F.is_variant_null(rc), rc), F.variant_get(v, "$.result_count", "variant"))
+    tagged = F.concat(F.schema_of_variant(node), F.lit(":"), F.try_variant_get(node, "$", "string"))
+    # false; a number whose integer part is 0; an integer string of zeros (surrounding spaces ok)
+    zero = (r"^(BOOLEAN:false|(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)):[-+]?0*(\.\d*)?([eE]-\d+)?"
+            r"|STRING:\s*[-+]?0+\s*)$")
+    return F.coalesce(tagged.rlike(zero), F.lit(False))
 
 
 def search_trends(events: DataFrame, limit: int | None = 20) -> DataFrame:
     """By query text (query/term/search): submitted, zero results (zero-result events plus
     submitted events whose result count is 0), abandoned, rates (3 dp, 0.0 when nothing was
     submitted), last seen, distinct sessions; submitted desc, zero desc, query."""
-    v = F.col("__v")
-    df = _meta(events.filter(F.col("event_type").isin(*SEARCH_EVENTS)))
-    q = clean_text(F.coalesce(json_truthy(v, "query"), json_truthy(v, "term"), json_truthy(v, "search"), F.lit("")), 120)
     t = F.col("event_type")
-    df = df.select(q.alias("query"), "event_type", "session_id", "ts",
-                   ((t == "search_submitted") & _zero_result(v)).alias("zero_flag")).filter(F.col("query") != "")
+    df = _meta(events.filter(t.isin(*SEARCH_EVENTS)).select("event_type", "session_id", "ts", "metadata_json"))
+    df = _first_truthy(df, "query", ("query", "term", "search"), 120)
+    df = df.select("query", "event_type", "session_id", "ts",
+                   ((t == "search_submitted") & _zero_result(F.col("__v"))).alias("zero_flag"))
     g = df.groupBy("query").agg(
+        _keep(F.col("query") != ""),
         F.count_if(t == "search_submitted").alias("submitted"),
         (F.count_if(t == "search_zero_results") + F.count_if(F.col("zero_flag"))).alias("zero_results"),
         F.count_if(t == "search_abandoned").alias("abandoned"),
         F.max("ts").alias("last_seen"),
         F.count_distinct("session_id").alias("session_count"),
-    )
+    ).filter("__keep")
     rate = lambda c: F.when(F.col("submitted") > 0, F.round(F.col(c) / F.col("submitted"), 3)).otherwise(0.0)
     return (g.select("query", "submitted", "zero_results", "abandoned", rate("zero_results").alias("zero_result_rate"),
                      rate("abandoned").alias("abandonment_rate"), "last_seen", "session_count")

@@ -98,8 +98,9 @@ def _pick(values: list[str], idx: Column) -> Column:
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVENTS view: session = user and UTC day; metadata JSON built from the `k` prop."""
-    ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # parse the JSON prop once; every derived column below reads the parsed value
+    ev = read_table(spark, sf_dir, "events").withColumn("__k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("__k")
     etype = F.col("event_type")
     mapped = None
     for src, dst in EVENT_TYPE_MAP.items():
