@@ -1 +1,139 @@
-"""Registered queries (filled in below)."""
+"""Registered source queries (step 7): recurring expansion over specs derived from the
+customer table, and a statement round trip: the order ledger is written out as bank statement
+files of four layouts (by Spark, into the shared checkpoint folder) and imported back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerspark.plans.registry import register
+from ledgerspark.plans.sqlviews import LEDGER_ORDERS, with_
+from ledgerspark.session import staging_path
+from ledgerspark.sources.entries import expand_recurring
+from ledgerspark.sources.statements import load_statements
+from ledgerspark.sources.tables import ledger_orders, read_table
+
+AS_OF = "1998-12-31"
+
+
+def _specs(spark, sf):
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    start = F.date_add(F.lit("1998-01-01").cast("date"), (k % 60).cast("int"))
+    return c.select(
+        F.concat(F.lit("plan-"), k.cast("string")).alias("description"), F.col("c_name").alias("merchant"),
+        F.col("c_acctbal").alias("amount"),
+        F.when(k % 3 == 0, "daily").when(k % 3 == 1, "weekly").otherwise("monthly").alias("cadence"),
+        start.cast("string").alias("start_date"),
+        F.when(k % 4 == 0, F.lit(None)).otherwise(F.date_add(start, (k % 200).cast("int")).cast("string")).alias("end_date"),
+        F.when(k % 5 == 0, F.lit(None)).otherwise(k % 9).cast("bigint").alias("count"),
+        k.alias("spec_id"))
+
+
+@register("recurring_expand", f"""
+WITH spec AS (
+  SELECT c_custkey AS spec_id, 'plan-' || CAST(c_custkey AS VARCHAR) AS description, c_name AS merchant,
+         c_acctbal AS amount,
+         CASE WHEN c_custkey % 3 = 0 THEN 'daily' WHEN c_custkey % 3 = 1 THEN 'weekly' ELSE 'monthly' END AS cadence,
+         DATE '1998-01-01' + CAST(c_custkey % 60 AS INTEGER) AS start_d,
+         CASE WHEN c_custkey % 4 = 0 THEN DATE '{AS_OF}'
+              ELSE DATE '1998-01-01' + CAST(c_custkey % 60 AS INTEGER) + CAST(c_custkey % 200 AS INTEGER) END AS end_d,
+         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 9 END AS cnt
+  FROM customer),
+valid AS (SELECT * FROM spec WHERE cnt IS NULL OR cnt > 0),
+steps AS (SELECT *, unnest(generate_series(0, greatest(date_diff('day', start_d, end_d), -1))) AS k FROM valid),
+dated AS (SELECT *, CASE WHEN cadence = 'daily' THEN start_d + CAST(k AS INTEGER)
+                         WHEN cadence = 'weekly' THEN start_d + CAST(7 * k AS INTEGER)
+                         ELSE CAST(start_d + to_months(CAST(k AS INTEGER)) AS DATE) END AS d FROM steps)
+SELECT CAST(d AS VARCHAR) AS date, description, merchant, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+       'recurring' AS provider, CAST(k AS BIGINT) AS seq
+FROM dated WHERE d <= end_d AND (cnt IS NULL OR k < cnt)""")
+def recurring_expand(spark, sf):
+    rows, _bad = expand_recurring(_specs(spark, sf), AS_OF)
+    return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
+                       F.col("amount").cast("double").alias("amount"), "provider", "seq")
+
+
+# ---- statement round trip ------------------------------------------------------------------
+
+def _even(col):
+    return F.substring(col, -1, 1).isin("0", "2", "4", "6", "8")
+
+
+def write_statements(spark, sf, out: str) -> str:
+    """Write the order ledger as statement files: TD Visa (no header), Canadian Tire (preamble +
+    header), Home Trust (header, '$'/'(...)' amounts) and Wealthsimple (header), one file per
+    bank and year. Lines carry a position so every file is written in order."""
+    led = ledger_orders(spark, sf)
+    year = F.date_format("date", "yyyy")
+    mdy = F.date_format("date", "MM/dd/yyyy")
+    amt = F.col("amount").cast("string")
+    money = F.concat(F.lit('"$'), F.format_number(F.col("amount").cast("double"), 2), F.lit('"'))
+    pos = F.unix_date("date").cast("bigint") * 100000 + F.abs(F.xxhash64("merchant", "description", "amount")) % 100000
+
+    td_rows = led.filter((F.col("provider") == "f") & _even("merchant")).select(
+        F.concat(F.lit("tdvisa-"), year).alias("file"), pos.alias("pos"),
+        F.when(F.col("description") == "5-LOW",
+               F.concat_ws(",", mdy, F.lit("PAYMENT - THANK YOU"), F.lit(""), amt, F.lit("1000.00")))
+        .otherwise(F.concat_ws(",", mdy, F.col("description"), amt, F.lit(""), F.lit("1000.00"))).alias("line"))
+    ct = led.filter((F.col("provider") == "f") & ~_even("merchant"))
+    ct_rows = ct.select(F.concat(F.lit("canadiantire-"), year).alias("file"), pos.alias("pos"),
+                        F.concat_ws(",", F.date_format("date", "M/d/yyyy"), F.col("description"), F.col("merchant"),
+                                    money).alias("line"))
+    ct_files = ct.select(F.concat(F.lit("canadiantire-"), year).alias("file")).distinct()
+    ct_head = (ct_files.select("file", F.lit(-3).cast("bigint").alias("pos"), F.lit("Card statement export").alias("line"))
+               .unionByName(ct_files.select("file", F.lit(-2).cast("bigint").alias("pos"), F.lit("Account,****1234").alias("line")))
+               .unionByName(ct_files.select("file", F.lit(-1).cast("bigint").alias("pos"),
+                                            F.lit("Transaction Date,Description,Merchant Name,Amount").alias("line"))))
+    ht = led.filter(F.col("provider") == "o")
+    ht_amt = F.when(F.col("description") == "2-HIGH", F.concat(F.lit('"($'), F.format_number(F.col("amount").cast("double"), 2), F.lit(')"'))).otherwise(money)
+    ht_rows = ht.select(F.concat(F.lit("hometrust-"), year).alias("file"), pos.alias("pos"),
+                        F.concat_ws(",", F.lit("1234"), F.lit("A HOLDER"), mdy, mdy, F.lit("Debit"), F.lit("Misc"),
+                                    F.col("merchant"), F.lit("Toronto"), F.lit("ON"), ht_amt).alias("line"))
+    ht_head = ht.select(F.concat(F.lit("hometrust-"), year).alias("file")).distinct().select(
+        "file", F.lit(-1).cast("bigint").alias("pos"),
+        F.lit("Account Number,Cardholder Name,Trans Date,Posting Date,Type,Category,Merchant Name,Merchant City,"
+              "Merchant State,Amount").alias("line"))
+    ws = led.filter(F.col("provider") == "p")
+    ws_type = F.when(F.col("description") == "5-LOW", F.lit("Payment")).otherwise(F.col("description"))
+    ws_amt = F.when(F.col("description") == "5-LOW", F.concat(F.lit("-"), amt)).otherwise(amt)
+    ws_rows = ws.select(F.concat(F.lit("wealthsimple-"), year).alias("file"), pos.alias("pos"),
+                        F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.date_format("date", "yyyy-MM-dd"),
+                                    ws_type, F.col("merchant"), ws_amt, F.lit("CAD")).alias("line"))
+    ws_head = ws.select(F.concat(F.lit("wealthsimple-"), year).alias("file")).distinct().select(
+        "file", F.lit(-1).cast("bigint").alias("pos"),
+        F.lit("transaction_date,post_date,type,details,amount,currency").alias("line"))
+    lines = td_rows.unionByName(ct_rows).unionByName(ct_head).unionByName(ht_rows).unionByName(ht_head) \
+        .unionByName(ws_rows).unionByName(ws_head)
+    # one task per file (hash on file) and lines in order inside it
+    (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
+     .write.mode("overwrite").partitionBy("file").text(out))
+    return out
+
+
+@register("statement_roundtrip", with_(LEDGER_ORDERS) + """
+SELECT CAST(date AS VARCHAR) AS date, description, description AS merchant, CAST(amount AS DOUBLE) AS amount,
+       'tdvisa' AS provider FROM ledger
+WHERE provider = 'f' AND right(merchant, 1) IN ('0', '2', '4', '6', '8') AND description <> '5-LOW'
+UNION ALL
+SELECT CAST(date AS VARCHAR), description, merchant, CAST(amount AS DOUBLE), 'canadiantire' FROM ledger
+WHERE provider = 'f' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8')
+UNION ALL
+SELECT CAST(date AS VARCHAR), merchant, merchant,
+       CAST(CASE WHEN description = '2-HIGH' THEN -amount ELSE amount END AS DOUBLE), 'hometrust' FROM ledger
+WHERE provider = 'o'
+UNION ALL
+SELECT CAST(date AS VARCHAR), description, merchant, CAST(amount AS DOUBLE), 'wealthsimple' FROM ledger
+WHERE provider = 'p' AND description <> '5-LOW'""")
+def statement_roundtrip(spark, sf):
+    out = write_statements(spark, sf, staging_path(spark, "statements"))
+    res = load_statements(spark, out, route_on="path")
+    return res.rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
+                           F.col("amount").cast("double").alias("amount"), "provider")
+
+
+@register("statement_quarantine")
+def statement_quarantine(spark, sf):
+    """Bad lines of the round trip (none expected: every derived line is valid)."""
+    out = write_statements(spark, sf, staging_path(spark, "statements"))
+    return load_statements(spark, out, route_on="path").quarantine
