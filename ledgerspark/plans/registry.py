@@ -27,5 +27,6 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from ledgerspark.plans import (  # noqa: F401
-        event_queries, ledger_queries, pattern_queries, report_queries, source_queries, summary_queries,
+        event_queries, ledger_queries, pattern_queries, report_queries, source_queries, stream_queries,
+        summary_queries,
     )

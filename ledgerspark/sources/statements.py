@@ -48,15 +48,22 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     """(file, name, pos, line) for every physical line of every file under ``path``."""
     paths = path if isinstance(path, (list, tuple)) else [path]
     raw = spark.read.text(list(paths), wholetext=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    return lines_of(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(file, value) rows, one per whole file (batch or a streaming micro-batch) -> lines."""
+    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     return lines.select("file", name.alias("name"), "pos", "line").filter(F.col("line") != "")
 
 
 def read_grid(spark: SparkSession, path) -> DataFrame:
     """(file, name, pos, line, n_cells, cells array<string>); blank cells are NULL."""
-    lines = read_lines(spark, path)
+    return grid_of(read_lines(spark, path))
+
+
+def grid_of(lines: DataFrame) -> DataFrame:
     parsed = F.from_csv("line", _GRID_SCHEMA, {"mode": "PERMISSIVE"})
     cells = F.array(*[parsed[f"c{i}"] for i in range(MAX_CELLS)])
     # a field count that tells a blank trailing cell from a missing one (from_csv cannot)
@@ -267,12 +274,12 @@ def normalize_statement_name(name: Column) -> Column:
 
 
 def load_statements(spark: SparkSession, path, bank_keys: list[str] | None = None, include_payments: bool = False,
-                    strict: bool = False, route_on: str = "name") -> LoadResult:
+                    strict: bool = False, route_on: str = "name", grid: DataFrame | None = None) -> LoadResult:
     """Read every file under ``path`` once as a grid, route each file to its layout, union.
 
     ``route_on='path'`` routes on the whole path (useful for folders written by Spark, whose
-    part-file names carry no bank name)."""
-    grid = read_grid(spark, path)
+    part-file names carry no bank name). ``grid`` lets a streaming micro-batch pass its own."""
+    grid = grid if grid is not None else read_grid(spark, path)
     target = F.col("name") if route_on == "name" else F.col("file")
     grid = grid.withColumn("__bank", route(target, bank_keys)).persist()
     parts, bad = [], []
