@@ -7,7 +7,7 @@ periods (a key missing on one side sums to 0) without a join or a second scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.filters import apply_filters, date_range
@@ -73,21 +73,20 @@ def period_breakdown(ledger: DataFrame, periods: dict, shared: Filters | None =
     Periods are tagged in one scan; the top-N per period is a window over the small grouped
     result, partitioned by period.
     """
-    from pyspark.sql import Window
-
     base = apply_filters(ledger, (shared or Filters()).without_merchant(), with_merchant_amount=True)
-    tag = None
-    for label, (s, e) in periods.items():
-        pred = date_range(s, e)
-        tag = F.when(pred, F.lit(label)) if tag is None else tag.when(pred, F.lit(label))
     # a row may fall in two overlapping periods: explode the list of matching labels
     labels = F.array_compact(F.array(*[F.when(date_range(s, e), F.lit(lbl)) for lbl, (s, e) in periods.items()]))
     tagged = base.withColumn("period", F.explode(labels))
     keycol = F.coalesce(F.col(dimension), F.lit("uncategorized")) if dimension == "category" else F.col(dimension)
     grouped = (tagged.groupBy("period", keycol.alias(dimension))
                .agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("transactions")))
-    w = Window.partitionBy("period").orderBy(F.desc("total"), F.asc(dimension))
-    return grouped.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    # top-N per period as one distributed top-k each (periods are few; groups may be millions)
+    out = None
+    for label in periods:
+        top_p = (grouped.filter(F.col("period") == label).orderBy(F.desc("total"), F.asc(dimension)).limit(top)
+                 .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), F.asc(dimension)))))
+        out = top_p if out is None else out.unionByName(top_p)
+    return out
 
 
 def period_totals_filtered(ledger: DataFrame, periods: dict, shared: Filters | None = None) -> DataFrame:

@@ -23,12 +23,22 @@ MIN_SPIKE_CENTS = 2500                                    # fixed value: 25.00 f
 def charge_gaps(ledger: DataFrame, merchant: str = "merchant") -> DataFrame:
     """Days since the previous charge of the same merchant (NULL for the first).
 
-    A row-level operator, so it needs the window; the ordering is by (date, amount,
-    description) so ties are deterministic. Use C3 for per-merchant cadence instead: it needs
-    no window at all.
+    A merchant may hold a third of all rows, so the window is not ``partitionBy(merchant)``:
+    rows are windowed per (merchant, month) and the first row of each month takes its
+    previous date from a small per-(merchant, month) table (one row per bucket), whose own
+    window spans at most the number of months. The gap depends only on dates, so ties in the
+    (date, amount, description) order do not change any value.
     """
-    w = Window.partitionBy(merchant).orderBy("date", "amount", "description")
-    return ledger.withColumn("gap_days", F.datediff(F.col("date"), F.lag("date").over(w)))
+    month = F.trunc("date", "month")
+    rows = ledger.withColumn("__m", month)
+    within = Window.partitionBy(merchant, "__m").orderBy("date", "amount", "description")
+    rows = rows.withColumn("__prev", F.lag("date").over(within))
+    buckets = rows.groupBy(merchant, "__m").agg(F.max("date").alias("__last"))
+    across = Window.partitionBy(merchant).orderBy("__m")
+    buckets = buckets.select(merchant, "__m", F.lag("__last").over(across).alias("__prev_bucket"))
+    out = rows.join(buckets, [merchant, "__m"], "left")
+    prev = F.coalesce(F.col("__prev"), F.col("__prev_bucket"))
+    return out.withColumn("gap_days", F.datediff(F.col("date"), prev)).drop("__m", "__prev", "__prev_bucket")
 
 
 def recurring(ledger: DataFrame, start=None, end=None, min_occurrences: int = 3,

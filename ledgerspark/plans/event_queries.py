@@ -9,7 +9,7 @@ from ledgerspark.functions.text import DIGIT_BLOB_PATTERN, clean_text, looks_sen
 from ledgerspark.operators import events as E
 from ledgerspark.plans.registry import register
 from ledgerspark.plans.sqlviews import USAGE_EVENTS, with_
-from ledgerspark.sources.tables import read_table, usage_events
+from ledgerspark.sources.tables import read_table, spread, usage_events
 
 TS_FMT = E.ISO_MICROS
 TS_SQL = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -142,7 +142,7 @@ SELECT CAST(event_id AS VARCHAR) AS event_id,
   ',"search_term":"q' || CAST(k AS VARCHAR) || '"}}' AS metadata_json
 FROM c""")
 def sanitize_metadata_q(spark, sf):
-    ev = read_table(spark, sf, "events")
+    ev = spread(read_table(spark, sf, "events"))
     return ev.select(F.col("event_id").cast("string").alias("event_id"),
                      sanitize_metadata(_raw_meta_spark()).alias("metadata_json"))
 

@@ -187,7 +187,7 @@ def amount_buckets(spark, sf):
 from ledgerspark.operators import dedupe as U  # noqa: E402
 from ledgerspark.operators.categorize import categorize  # noqa: E402
 from ledgerspark.sinks.ledger import csv_rows  # noqa: E402
-from ledgerspark.sources.tables import read_table  # noqa: E402
+from ledgerspark.sources.tables import read_table, spread  # noqa: E402
 
 # fixed values: rules for the order ledger in the upsert query
 UPSERT_RULES = [("urgent", ["urgent"]), ("club", ["customer#0000001"]), ("other", [""])]
@@ -226,7 +226,7 @@ def categorize_q(spark, sf):
 SELECT {_case_sql(_many_rules())} AS category, merchant, COUNT(*) AS transactions
 FROM ledger GROUP BY 1, 2""")
 def categorize_many_rules(spark, sf):
-    df = categorize(ledger_lines(spark, sf, categorized=False), _many_rules())
+    df = categorize(spread(ledger_lines(spark, sf, categorized=False)), _many_rules())
     return df.groupBy("category", "merchant").agg(F.count(F.lit(1)).alias("transactions"))
 
 

@@ -64,7 +64,9 @@ def write_statements(spark, sf, out: str) -> str:
     """Write the order ledger as statement files: TD Visa (no header), Canadian Tire (preamble +
     header), Home Trust (header, '$'/'(...)' amounts) and Wealthsimple (header), one file per
     bank and year. Lines carry a position so every file is written in order."""
-    led = ledger_orders(spark, sf)
+    from pyspark import StorageLevel
+
+    led = ledger_orders(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # feeds seven branches
     year = F.date_format("date", "yyyy")
     mdy = F.date_format("date", "MM/dd/yyyy")
     amt = F.col("amount").cast("string")
@@ -108,6 +110,7 @@ def write_statements(spark, sf, out: str) -> str:
     # one task per file (hash on file) and lines in order inside it
     (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(out))
+    led.unpersist()
     return out
 
 

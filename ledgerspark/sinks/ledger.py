@@ -1,10 +1,8 @@
 """K1-K4 writers.
 
 K1 rewrites only the months a batch touches: the old rows of those months are selected by a
-semi-join on ``month`` (partition pruning), merged with the batch, written to a staging folder
-under the shared checkpoint dir (cuts lineage so the read and the overwrite of the same path
-never overlap, and a lost executor recomputes from the staged copy), then swapped in with
-dynamic partition overwrite.
+semi-join on the ``month`` partition column (dynamic partition pruning reads nothing else),
+merged with the batch by key, and swapped in with dynamic partition overwrite.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators.dedupe import KEY, LEDGER_COLS, dedupe_last, upsert
 from ledgerspark.schema import LEDGER
-from ledgerspark.session import staging_path
 
 
 def _with_month(df: DataFrame) -> DataFrame:
@@ -32,8 +29,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*LEDGER_COLS)
 
 
-def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> int:
-    """K1: merge ``batch`` into the month-partitioned ledger at ``path``; returns touched months."""
+def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> None:
+    """K1: merge ``batch`` into the month-partitioned ledger at ``path``."""
     batch = batch.persist()
     months = _with_month(batch).select("month").distinct()
     try:
@@ -48,14 +45,12 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> int
         # semi-join on the partition column: dynamic partition pruning reads touched months only
         touched_old = stored.join(months, "month", "left_semi").select(*LEDGER_COLS)
     merged = _with_month(upsert(touched_old, batch, rules))
-    stage = staging_path(spark, "ledger-upsert")
-    merged.repartition("month").write.mode("overwrite").partitionBy("month").parquet(stage)
-    staged = spark.read.parquet(stage)
-    n_months = staged.select("month").distinct().count()
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Dynamic overwrite writes into a job staging folder and swaps the touched partitions in at
+    # commit, after every task (and so every read of the old rows) has finished; a failed or
+    # retried task never exposes partial partitions.
+    (merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(path))
     batch.unpersist()
-    return n_months
 
 
 def csv_rows(df: DataFrame) -> DataFrame:

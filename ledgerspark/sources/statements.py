@@ -86,12 +86,25 @@ def _column_index(header: Column, fragment: str, trim: bool) -> Column:
     return F.when(exact > 0, exact).otherwise(contains).cast("int")
 
 
-def _attach_header(grid: DataFrame, is_header: Column) -> DataFrame:
-    """Per file: the first header-looking row (``min(pos)``), joined back; rows after it kept."""
+def _attach_header(grid: DataFrame, is_header: Column, indexes: dict) -> DataFrame:
+    """Per file: the first header-looking row (``min(pos)``) and the column indexes resolved
+    from it, computed once per file and joined back; rows after the header kept.
+
+    ``is_header`` should be guarded by a cheap test on the raw line so the array functions
+    only run for candidate lines."""
     headers = (grid.filter(is_header).groupBy("file")
                .agg(F.min_by(F.struct("pos", "cells"), F.col("pos")).alias("h"))
-               .select("file", F.col("h.pos").alias("header_pos"), F.col("h.cells").alias("header")))
-    return grid.join(headers, "file", "left")
+               .select("file", F.col("h.pos").alias("header_pos"),
+                       *[fn(F.col("h.cells")).alias(name) for name, fn in indexes.items()]))
+    return grid.join(headers, "file", "inner").filter(F.col("pos") > F.col("header_pos"))
+
+
+def _line_has(*words: str) -> Column:
+    low = F.lower(F.col("line"))
+    out = None
+    for w in words:
+        out = low.contains(w) if out is None else (out & low.contains(w))
+    return out
 
 
 def _money(text: Column) -> Column:
@@ -132,12 +145,12 @@ def load_amex(grid: DataFrame, include_payments: bool = False, strict: bool = Fa
     amount; blank amount -> row skipped; blank merchant -> description; payment = 'payment
     received' anywhere in the description."""
     lowered = F.transform("cells", lambda c: F.lower(c))
-    is_header = (F.array_contains(lowered, "date") & F.array_contains(lowered, "description")
-                 & F.array_contains(lowered, "amount"))
-    g = _attach_header(grid, F.coalesce(is_header, F.lit(False)))
-    body = g.filter(F.col("pos") > F.col("header_pos"))
-    i_date, i_desc = _column_index(F.col("header"), "date", False), _column_index(F.col("header"), "description", False)
-    i_amt, i_merch = _column_index(F.col("header"), "amount", False), _column_index(F.col("header"), "merchant", False)
+    exact = (F.array_contains(lowered, "date") & F.array_contains(lowered, "description")
+             & F.array_contains(lowered, "amount"))
+    is_header = F.when(_line_has("date", "description", "amount"), F.coalesce(exact, F.lit(False))).otherwise(False)
+    body = _attach_header(grid, is_header, {
+        f"i_{k}": (lambda h, k=k: _column_index(h, k, False)) for k in ("date", "description", "amount", "merchant")})
+    i_date, i_desc, i_amt, i_merch = (F.col("i_date"), F.col("i_description"), F.col("i_amount"), F.col("i_merchant"))
     amt_text = F.regexp_replace(F.coalesce(_cell(i_amt), F.lit("")), r"[^0-9.\-]", "")
     desc = F.trim(F.coalesce(_cell(i_desc), F.lit("")))
     merch = F.trim(F.coalesce(_cell(F.when(i_merch > 0, i_merch).otherwise(i_desc)), F.lit("")))
@@ -157,10 +170,11 @@ def load_canadiantire(grid: DataFrame, include_payments: bool = False, strict: b
     def has(fragment):
         return F.exists(norm, lambda c: F.coalesce(c.contains(fragment), F.lit(False)))
 
-    g = _attach_header(grid, has("date") & has("description") & has("amount"))
-    body = g.filter(F.col("pos") > F.col("header_pos"))
-    i_date, i_desc = _column_index(F.col("header"), "date", True), _column_index(F.col("header"), "description", True)
-    i_amt, i_merch = _column_index(F.col("header"), "amount", True), _column_index(F.col("header"), "merchant", True)
+    exact = has("date") & has("description") & has("amount")
+    is_header = F.when(_line_has("date", "description", "amount"), exact).otherwise(False)
+    body = _attach_header(grid, is_header, {
+        f"i_{k}": (lambda h, k=k: _column_index(h, k, True)) for k in ("date", "description", "amount", "merchant")})
+    i_date, i_desc, i_amt, i_merch = (F.col("i_date"), F.col("i_description"), F.col("i_amount"), F.col("i_merchant"))
     amt_text = F.regexp_replace(F.coalesce(_cell(i_amt), F.lit("")), r"[^0-9.\-]", "")
     desc = F.trim(F.coalesce(_cell(i_desc), F.lit("")))
     merch = F.trim(F.coalesce(_cell(F.when(i_merch > 0, i_merch).otherwise(i_desc)), F.lit("")))
@@ -171,20 +185,22 @@ def load_canadiantire(grid: DataFrame, include_payments: bool = False, strict: b
     return _finish(rows, "canadiantire", F.lower(F.col("description")) == CT_PAYMENT, include_payments, strict)
 
 
-def _header_first(grid: DataFrame) -> DataFrame:
-    """Layouts whose header is the first line of the file."""
-    first = grid.groupBy("file").agg(F.min_by("cells", "pos").alias("header"), F.min("pos").alias("header_pos"))
+def _header_first(grid: DataFrame, indexes: dict) -> DataFrame:
+    """Layouts whose header is the first line of the file; indexes resolved once per file."""
+    first = (grid.groupBy("file").agg(F.min_by(F.struct("pos", "cells"), F.col("pos")).alias("h"))
+             .select("file", F.col("h.pos").alias("header_pos"),
+                     *[fn(F.col("h.cells")).alias(name) for name, fn in indexes.items()]))
     return grid.join(first, "file", "inner").filter(F.col("pos") > F.col("header_pos"))
 
 
 def load_hometrust(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
     """S3: header row 0 with case-sensitive ``Trans Date``, ``Merchant Name``, ``Amount``; date
     M/d/yyyy; amount keeps digits and '.', '(...)' means negative (a plain minus is lost)."""
-    body = _header_first(grid)
-    h = F.col("header")
-    i_date, i_name, i_amt = (F.array_position(h, "Trans Date").cast("int"),
-                             F.array_position(h, "Merchant Name").cast("int"),
-                             F.array_position(h, "Amount").cast("int"))
+    body = _header_first(grid, {
+        "i_date": lambda h: F.array_position(h, "Trans Date").cast("int"),
+        "i_name": lambda h: F.array_position(h, "Merchant Name").cast("int"),
+        "i_amt": lambda h: F.array_position(h, "Amount").cast("int")})
+    i_date, i_name, i_amt = F.col("i_date"), F.col("i_name"), F.col("i_amt")
     raw_amt = F.trim(F.coalesce(_cell(i_amt), F.lit("")))
     digits = F.regexp_replace(raw_amt, r"[^0-9.]", "")
     negative = raw_amt.contains("(") & raw_amt.contains(")")
@@ -217,11 +233,17 @@ def load_wealthsimple(grid: DataFrame, include_payments: bool = False, strict: b
     """Header row 0 must contain transaction_date, type, details, amount (checked trimmed and
     lowercased, read by exact name); blank date or amount -> skipped; description = type or
     details, merchant = details or type; amount parsed as a plain number."""
-    body = _header_first(grid)
-    h = F.col("header")
-    norm = F.transform(h, lambda x: F.lower(F.trim(x)))
-    has_all = reduce_and([F.array_contains(norm, n) for n in ("transaction_date", "type", "details", "amount")])
-    idx = {n: F.array_position(h, n).cast("int") for n in ("transaction_date", "type", "details", "amount")}
+    names = ("transaction_date", "type", "details", "amount")
+
+    def has_all(h):
+        norm = F.transform(h, lambda x: F.lower(F.trim(x)))
+        return reduce_and([F.array_contains(norm, n) for n in names])
+
+    specs = {f"i_{n}": (lambda h, n=n: F.array_position(h, n).cast("int")) for n in names}
+    specs["has_all"] = has_all
+    body = _header_first(grid, specs)
+    idx = {n: F.col(f"i_{n}") for n in names}
+    has_all = F.col("has_all")
     get = lambda n: F.trim(F.coalesce(_cell(idx[n]), F.lit("")))
     d, typ, det, amt = get("transaction_date"), get("type"), get("details"), get("amount")
     desc = F.when(typ != "", typ).otherwise(det)

@@ -42,6 +42,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Before a Python UDF: a frame read from fewer splits than the default parallelism (e.g.
+    one Parquet row group) is spread round-robin so the UDF does not run in one Python worker.
+    At scale a scan has far more splits than cores and this is a no-op. JVM-only plans skip it:
+    there the extra shuffle costs more than it saves."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     """RULES(rank, category, keyword) from an ordered ``[(category, [keywords])]`` list."""
     rows = []
