@@ -56,6 +56,18 @@ def query_transactions(ledger: DataFrame, filters: Filters | None = None, sort_b
     return df.orderBy(*order_columns(sort_by, sort_dir, group_by)).offset(off).limit(lim)
 
 
+def numbered_page(ledger: DataFrame, filters: Filters | None = None, sort_by: str = "date",
+                  sort_dir: str = "asc", group_by: str | None = None, limit: int = PAGE_DEFAULT,
+                  offset: int = 0) -> DataFrame:
+    """The O1 page with ``row`` = offset + position, numbered after the slice (<= 1000 rows,
+    so the unpartitioned window runs over the page only)."""
+    from pyspark.sql import Window
+
+    page = query_transactions(ledger, filters, sort_by, sort_dir, group_by, limit, offset)
+    w = Window.orderBy(*order_columns(sort_by, sort_dir, group_by))
+    return page.withColumn("row", F.row_number().over(w) + F.lit(max(0, int(offset or 0))))
+
+
 def get_transactions(ledger: DataFrame, filters: Filters | None = None, sort_by: str = "date",
                      sort_dir: str = "asc", limit: int | None = None) -> DataFrame:
     """O3: at most 50 rows plus a ``truncated`` flag (true when the cap was reached)."""

@@ -311,3 +311,38 @@ def alldata_dedupe(spark, sf):
     again = pending.select("date", "description", "merchant", "category", currency_text("amount").alias("amount_text"))
     bad = pending.select("date", "description", "merchant", "category", F.lit("n/a").alias("amount_text"))
     return U.alldata_rows(txt.unionByName(again).unionByName(bad), "amount_text")
+
+
+# ---- W4, O4, X3 -----------------------------------------------------------------------------
+
+@register("numbered_page", with_(LEDGER_ORDERS) + f"""
+SELECT {ROWS_SQL}, row_number() OVER (ORDER BY amount ASC, date, merchant, description) + 40 AS row FROM (
+  SELECT * FROM ledger WHERE provider = 'p' ORDER BY amount ASC, date, merchant, description LIMIT 25 OFFSET 40)""")
+def numbered_page(spark, sf):
+    out = paging.numbered_page(ledger_orders(spark, sf), Filters(provider="p"), sort_by="amount", limit=25, offset=40)
+    return out.select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
+        F.col("amount").cast("double").alias("amount"), "category", "provider", "row")
+
+
+@register("top_merchants", with_(LEDGER_LINES) + """
+SELECT merchant, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS transactions FROM ledger
+WHERE category = 'hardware' GROUP BY 1 ORDER BY total DESC, merchant LIMIT 21""")
+def top_merchants(spark, sf):
+    return paging.top_merchants(ledger_lines(spark, sf), Filters(category="hardware"))
+
+
+@register("sql_functions", with_(LEDGER_ORDERS) + """
+SELECT regexp_replace(regexp_replace(lower(merchant), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS merchant_id,
+       strftime(date, '%Y') || '-Q' || CAST(quarter(date) AS VARCHAR) AS quarter,
+       strftime(date, '%G-W%V') AS week, SUM(CAST(amount * 100 AS BIGINT)) AS total_cents
+FROM ledger WHERE date >= DATE '1998-01-01' GROUP BY 1, 2, 3""")
+def sql_functions(spark, sf):
+    from ledgerspark.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    ledger_orders(spark, sf).createOrReplaceTempView("ledger_orders_v")
+    return spark.sql("""
+        SELECT slug(merchant) AS merchant_id, period_key(date, 'quarter') AS quarter, period_key(date, 'week') AS week,
+               SUM(cents(amount)) AS total_cents
+        FROM ledger_orders_v WHERE date >= DATE '1998-01-01' GROUP BY 1, 2, 3""")

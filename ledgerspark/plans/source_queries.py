@@ -62,8 +62,8 @@ def _even(col):
 
 def write_statements(spark, sf, out: str) -> str:
     """Write the order ledger as statement files: TD Visa (no header), Canadian Tire (preamble +
-    header), Home Trust (header, '$'/'(...)' amounts) and Wealthsimple (header), one file per
-    bank and year. Lines carry a position so every file is written in order."""
+    header), Amex (junk rows, then a header; blank amounts and merchants), Home Trust (header,
+    '$'/'(...)' amounts) and Wealthsimple (header), one file per bank and year. Lines carry a position so every file is written in order."""
     from pyspark import StorageLevel
 
     led = ledger_orders(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # feeds seven branches
@@ -87,7 +87,18 @@ def write_statements(spark, sf, out: str) -> str:
                .unionByName(ct_files.select("file", F.lit(-2).cast("bigint").alias("pos"), F.lit("Account,****1234").alias("line")))
                .unionByName(ct_files.select("file", F.lit(-1).cast("bigint").alias("pos"),
                                             F.lit("Transaction Date,Description,Merchant Name,Amount").alias("line"))))
-    ht = led.filter(F.col("provider") == "o")
+    ax = led.filter((F.col("provider") == "o") & _even("merchant"))
+    ax_amt = F.when(F.col("description") == "3-MEDIUM", F.lit("")).otherwise(money)  # blank amount: skipped
+    ax_merch = F.when(F.col("description") == "4-NOT SPECIFIED", F.lit("")).otherwise(F.col("merchant"))
+    ax_rows = ax.select(F.concat(F.lit("amex-"), year).alias("file"), pos.alias("pos"),
+                        F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.col("description"), ax_amt,
+                                    ax_merch).alias("line"))
+    ax_files = ax.select(F.concat(F.lit("amex-"), year).alias("file")).distinct()
+    ax_head = (ax_files.select("file", F.lit(-3).cast("bigint").alias("pos"), F.lit("Summary of account,,,").alias("line"))
+               .unionByName(ax_files.select("file", F.lit(-2).cast("bigint").alias("pos"), F.lit("Prepared,today,,").alias("line")))
+               .unionByName(ax_files.select("file", F.lit(-1).cast("bigint").alias("pos"),
+                                            F.lit("Date,Description,Amount,Merchant").alias("line"))))
+    ht = led.filter((F.col("provider") == "o") & ~_even("merchant"))
     ht_amt = F.when(F.col("description") == "2-HIGH", F.concat(F.lit('"($'), F.format_number(F.col("amount").cast("double"), 2), F.lit(')"'))).otherwise(money)
     ht_rows = ht.select(F.concat(F.lit("hometrust-"), year).alias("file"), pos.alias("pos"),
                         F.concat_ws(",", F.lit("1234"), F.lit("A HOLDER"), mdy, mdy, F.lit("Debit"), F.lit("Misc"),
@@ -106,7 +117,7 @@ def write_statements(spark, sf, out: str) -> str:
         "file", F.lit(-1).cast("bigint").alias("pos"),
         F.lit("transaction_date,post_date,type,details,amount,currency").alias("line"))
     lines = td_rows.unionByName(ct_rows).unionByName(ct_head).unionByName(ht_rows).unionByName(ht_head) \
-        .unionByName(ws_rows).unionByName(ws_head)
+        .unionByName(ws_rows).unionByName(ws_head).unionByName(ax_rows).unionByName(ax_head)
     # one task per file (hash on file) and lines in order inside it
     (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(out))
@@ -124,7 +135,11 @@ WHERE provider = 'f' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8')
 UNION ALL
 SELECT CAST(date AS VARCHAR), merchant, merchant,
        CAST(CASE WHEN description = '2-HIGH' THEN -amount ELSE amount END AS DOUBLE), 'hometrust' FROM ledger
-WHERE provider = 'o'
+WHERE provider = 'o' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8')
+UNION ALL
+SELECT CAST(date AS VARCHAR), description, CASE WHEN description = '4-NOT SPECIFIED' THEN description ELSE merchant END,
+       CAST(amount AS DOUBLE), 'amex' FROM ledger
+WHERE provider = 'o' AND right(merchant, 1) IN ('0', '2', '4', '6', '8') AND description <> '3-MEDIUM'
 UNION ALL
 SELECT CAST(date AS VARCHAR), description, merchant, CAST(amount AS DOUBLE), 'wealthsimple' FROM ledger
 WHERE provider = 'p' AND description <> '5-LOW'""")
