@@ -1,7 +1,8 @@
 """Multi-section plans over one ledger: C12 insight context, C13 query bundle, A21 dashboard.
 
-The reference re-runs a capped query per section; here the (filtered) ledger is persisted once
-and every section is a lazy DataFrame over it. ``tall`` stacks sections into one
+The reference re-runs a capped query per section; here every section is a lazy DataFrame over
+one ledger. With ``persist=True`` the ledger is cached once for all sections and the cached frame
+is returned under ``"_ledger"``, so the caller can ``unpersist()`` it when done. ``tall`` stacks sections into one
 ``(section, rank, label, value)`` frame (each section is already a small top-k).
 """
 
@@ -26,12 +27,12 @@ MAX_BUNDLE = 5
 
 
 def insight_context(ledger: DataFrame, start, end, comparison: str | None = "previous_period",
-                    include=None, limits: dict | None = None, persist: bool = True) -> dict[str, DataFrame]:
+                    include=None, limits: dict | None = None, persist: bool = False) -> dict[str, DataFrame]:
     wanted = set(include or INSIGHT_SECTIONS)
     lim = {**INSIGHT_LIMITS, **(limits or {})}
-    if persist:
-        ledger = ledger.persist(StorageLevel.MEMORY_AND_DISK)
     out: dict[str, DataFrame] = {}
+    if persist:
+        ledger = out["_ledger"] = ledger.persist(StorageLevel.MEMORY_AND_DISK)
     if "totals" in wanted:
         out["totals"] = summaries.spend_summary(ledger, "month", start, end, limit=12)
     if "top_categories" in wanted:
@@ -62,6 +63,8 @@ def tall(sections: dict[str, DataFrame]) -> DataFrame:
     }
     out = None
     for name, df in sections.items():
+        if name.startswith("_"):
+            continue
         label, value, order = spec[name]
         # each section is a small top-k, so a window without partitioning is one tiny task
         part = df.select(F.lit(name).alias("section"),
@@ -71,14 +74,15 @@ def tall(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = True) -> dict[str, DataFrame]:
+def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = False) -> dict[str, DataFrame]:
     """Up to five named compact summaries from an allow-list, over one persisted ledger."""
     from ledgerspark.operators.search import search_dimensions
 
     if len(requests) > MAX_BUNDLE:
         raise ValueError(f"at most {MAX_BUNDLE} queries per bundle")
+    out: dict[str, DataFrame] = {}
     if persist:
-        ledger = ledger.persist(StorageLevel.MEMORY_AND_DISK)
+        ledger = out["_ledger"] = ledger.persist(StorageLevel.MEMORY_AND_DISK)
     tools = {
         "spend_summary": lambda a: summaries.spend_summary(ledger, **a),
         "category_summary": lambda a: summaries.category_summary(ledger, **a),
@@ -89,7 +93,6 @@ def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = True)
         "anomalies": lambda a: patterns.anomalies_transactions(ledger, **a),
         "search_dimensions": lambda a: search_dimensions(ledger, **a),
     }
-    out: dict[str, DataFrame] = {}
     for i, req in enumerate(requests):
         tool = req.get("tool")
         if tool not in tools:
@@ -99,12 +102,13 @@ def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = True)
 
 
 def dashboard(ledger: DataFrame, filters: Filters, page: int = 1, page_size: int = 200,
-              sort_by: str = "date", sort_dir: str = "desc", persist: bool = True) -> dict[str, DataFrame]:
+              sort_by: str = "date", sort_dir: str = "desc", persist: bool = False) -> dict[str, DataFrame]:
     """Overview, categories, periods, merchants (top 15), all-time categories (house rule
     only) and one page of rows, all over one persisted ledger."""
+    out: dict[str, DataFrame] = {}
     if persist:
-        ledger = ledger.persist(StorageLevel.MEMORY_AND_DISK)
-    return {
+        ledger = out["_ledger"] = ledger.persist(StorageLevel.MEMORY_AND_DISK)
+    return out | {
         "overview": summaries.overview(ledger, filters),
         "categories": summaries.summarize_by_category(ledger, filters),
         "periods": summaries.summarize_by_period(ledger, "month", filters),

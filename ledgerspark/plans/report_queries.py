@@ -155,4 +155,5 @@ def _section(name: str, sql: str, label: str, value: str, order: str) -> str:
              "confidence DESC, avg_amount_cents DESC, merchant"),
 ]))
 def insight_context(spark, sf):
-    return bundles.tall(bundles.insight_context(ledger_orders(spark, sf), *_IC, "previous_period"))
+    # one query, one plan: no persist (a persisted view would outlive the call)
+    return bundles.tall(bundles.insight_context(ledger_orders(spark, sf), *_IC, "previous_period", persist=False))

@@ -20,6 +20,11 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a long-lived session runs thousands of jobs: keep the driver's status store small
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "20000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
 
 

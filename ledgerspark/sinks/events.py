@@ -21,6 +21,6 @@ def write_events(spark: SparkSession, path: str, events: DataFrame) -> None:
     except Exception:  # noqa: BLE001 - first write
         merged = batch
     out = dedupe_events(merged.drop("event_date"), "seq").withColumn("event_date", F.to_date("ts"))
-    (out.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date").parquet(path))
     batch.unpersist()

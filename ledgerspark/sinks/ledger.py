@@ -48,7 +48,9 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> Non
     # Dynamic overwrite writes into a job staging folder and swaps the touched partitions in at
     # commit, after every task (and so every read of the old rows) has finished; a failed or
     # retried task never exposes partial partitions.
-    (merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # written straight from the merge's key-hashed partitions: every task writes its share of
+    # each touched month (no repartition by month, which would put a whole month in one task)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(path))
     batch.unpersist()
 
@@ -73,11 +75,14 @@ def write_master_csv(df: DataFrame, path: str) -> None:
 
 
 def write_month_extract(df: DataFrame, path: str, sort: str = "abs") -> None:
-    """K3: one folder per ``MMMM yyyy`` month, rows by abs(amount) (or amount) descending."""
-    from ledgerspark.functions.keys import month_label
+    """K3: one folder per ``MMMM yyyy`` month, rows by abs(amount) (or amount) descending.
+
+    A range partition on (month, key) splits a large month over several tasks whose files are
+    in order (part-00000 holds the largest amounts), instead of one task per month."""
+    from ledgerspark.functions.keys import month_key, month_label
 
     key = F.abs(F.col("amount")) if sort == "abs" else F.col("amount")
-    out = df.withColumn("month", month_label("date")).withColumn("__k", key)
-    (out.repartition("month").sortWithinPartitions("month", F.desc("__k")).drop("__k")
+    out = df.withColumn("month", month_label("date")).withColumn("__mk", month_key("date")).withColumn("__k", key)
+    (out.repartitionByRange("__mk", F.desc("__k")).sortWithinPartitions("__mk", F.desc("__k"))
      .select("month", "date", "description", "merchant", "category", "amount")
      .write.mode("overwrite").option("header", True).partitionBy("month").csv(path))

@@ -44,11 +44,19 @@ class LoadResult:
     unknown_files: DataFrame | None = None
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, name, pos, line) for every physical line of every file under ``path``."""
+def read_files(spark: SparkSession, path, file_filter=None) -> DataFrame:
+    """(file, value): one row per whole file. ``file_filter`` maps the file-path Column to a
+    predicate; Spark prunes files on ``_metadata`` filters, so unmatched files are not read."""
     paths = path if isinstance(path, (list, tuple)) else [path]
     raw = spark.read.text(list(paths), wholetext=True)
-    return lines_of(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
+    if file_filter is not None:
+        raw = raw.filter(file_filter(F.col("_metadata.file_path")))
+    return raw.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def read_lines(spark: SparkSession, path, file_filter=None) -> DataFrame:
+    """(file, name, pos, line) for every physical line of every file under ``path``."""
+    return lines_of(read_files(spark, path, file_filter))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -58,9 +66,9 @@ def lines_of(files: DataFrame) -> DataFrame:
     return lines.select("file", name.alias("name"), "pos", "line").filter(F.col("line") != "")
 
 
-def read_grid(spark: SparkSession, path) -> DataFrame:
+def read_grid(spark: SparkSession, path, file_filter=None) -> DataFrame:
     """(file, name, pos, line, n_cells, cells array<string>); blank cells are NULL."""
-    return grid_of(read_lines(spark, path))
+    return grid_of(read_lines(spark, path, file_filter))
 
 
 def grid_of(lines: DataFrame) -> DataFrame:
@@ -301,14 +309,22 @@ def load_statements(spark: SparkSession, path, bank_keys: list[str] | None = Non
 
     ``route_on='path'`` routes on the whole path (useful for folders written by Spark, whose
     part-file names carry no bank name). ``grid`` lets a streaming micro-batch pass its own."""
-    grid = grid if grid is not None else read_grid(spark, path)
-    target = F.col("name") if route_on == "name" else F.col("file")
-    grid = grid.withColumn("__bank", route(target, bank_keys)).persist()
+    keys = bank_keys or BANK_KEYS
+
+    def routed(col: Column) -> Column:
+        target = col if route_on == "path" else F.regexp_extract(col, r"([^/]+)$", 1)
+        return route(target, keys)
+
     parts, bad = [], []
-    for bank in (bank_keys or BANK_KEYS):
+    for bank in keys:
         if bank not in LOADERS:
             continue
-        res = LOADERS[bank](grid.filter(F.col("__bank") == bank).drop("__bank"), include_payments, strict)
+        if grid is None:
+            # each layout reads only its own files (file pruning on the path), nothing is cached
+            g = read_grid(spark, path, lambda c, b=bank: F.coalesce(routed(c) == b, F.lit(False)))
+        else:
+            g = grid.filter(F.coalesce(routed(F.col("file")) == bank, F.lit(False)))
+        res = LOADERS[bank](g, include_payments, strict)
         parts.append(res.rows)
         bad.append(res.quarantine)
     rows = parts[0]
@@ -317,5 +333,10 @@ def load_statements(spark: SparkSession, path, bank_keys: list[str] | None = Non
     quarantine = bad[0]
     for b in bad[1:]:
         quarantine = quarantine.unionByName(b)
-    unknown = grid.filter(F.col("__bank").isNull()).select("file").distinct()
+    if grid is None:
+        files = spark.read.text(path if isinstance(path, (list, tuple)) else [path], wholetext=True) \
+            .select(F.col("_metadata.file_path").alias("file"))
+    else:
+        files = grid.select("file")
+    unknown = files.filter(routed(F.col("file")).isNull()).distinct()
     return LoadResult(rows, quarantine, unknown)

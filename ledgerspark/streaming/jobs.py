@@ -45,11 +45,12 @@ def stream_statement_import(spark: SparkSession, source: str, ledger_path: str,
     files = reader.load(source).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        grid = grid_of(lines_of(batch))
+        grid = grid_of(lines_of(batch)).persist()  # read by every layout branch, released below
         res = load_statements(spark, None, bank_keys, route_on=route_on, grid=grid)
         rows = res.rows.select("date", "description", "merchant", "amount", "provider",
                                F.col("pos").cast("bigint").alias("seq"))
         write_upsert(spark, ledger_path, rows, rules)
+        grid.unpersist()
 
     return _run(files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
 

@@ -114,10 +114,11 @@ def test_query_bundle(ledger_factory):
 def test_insight_context_limits(ledger_factory):
     led = ledger_factory(L2, L2_RULES)
     ctx = bundles.insight_context(led, "2025-02-01", "2025-02-28", include=["totals", "top_categories", "drivers"],
-                                  limits={"topCategories": 2, "drivers": 2})
-    assert set(ctx) == {"totals", "top_categories", "drivers"}
+                                  limits={"topCategories": 2, "drivers": 2}, persist=True)
+    assert set(ctx) == {"_ledger", "totals", "top_categories", "drivers"}
     assert ctx["top_categories"].count() <= 2
     assert bundles.tall(ctx).count() >= 1
+    ctx["_ledger"].unpersist()
 
 
 def test_dashboard_bundle(ledger_factory):
