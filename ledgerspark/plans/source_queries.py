@@ -63,65 +63,57 @@ def _even(col):
 def write_statements(spark, sf, out: str) -> str:
     """Write the order ledger as statement files: TD Visa (no header), Canadian Tire (preamble +
     header), Amex (junk rows, then a header; blank amounts and merchants), Home Trust (header,
-    '$'/'(...)' amounts) and Wealthsimple (header), one file per bank and year. Lines carry a position so every file is written in order."""
-    from pyspark import StorageLevel
+    '$'/'(...)' amounts) and Wealthsimple (header), one file per bank and year.
 
-    led = ledger_orders(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # feeds seven branches
-    year = F.date_format("date", "yyyy")
-    mdy = F.date_format("date", "MM/dd/yyyy")
+    One projection picks each row's bank and formats its line; one aggregate per file emits the
+    preamble/header lines; a hash repartition on the file name gives one task (and one output
+    file) per statement, with lines in order."""
+    led = ledger_orders(spark, sf)
+    prov, desc, merch = F.col("provider"), F.col("description"), F.col("merchant")
     amt = F.col("amount").cast("string")
     money = F.concat(F.lit('"$'), F.format_number(F.col("amount").cast("double"), 2), F.lit('"'))
+    mdy = F.date_format("date", "MM/dd/yyyy")
+    iso = F.date_format("date", "yyyy-MM-dd")
+    bank = (F.when((prov == "f") & _even("merchant"), "tdvisa").when(prov == "f", "canadiantire")
+            .when((prov == "o") & _even("merchant"), "amex").when(prov == "o", "hometrust")
+            .when(prov == "p", "wealthsimple"))
+    line = (
+        F.when(F.col("bank") == "tdvisa", F.when(desc == "5-LOW", F.concat_ws(",", mdy, F.lit("PAYMENT - THANK YOU"), F.lit(""), amt, F.lit("1000.00")))
+               .otherwise(F.concat_ws(",", mdy, desc, amt, F.lit(""), F.lit("1000.00"))))
+        .when(F.col("bank") == "canadiantire", F.concat_ws(",", F.date_format("date", "M/d/yyyy"), desc, merch, money))
+        .when(F.col("bank") == "amex", F.concat_ws(",", iso, desc, F.when(desc == "3-MEDIUM", F.lit("")).otherwise(money),
+                                                   F.when(desc == "4-NOT SPECIFIED", F.lit("")).otherwise(merch)))
+        .when(F.col("bank") == "hometrust", F.concat_ws(
+            ",", F.lit("1234"), F.lit("A HOLDER"), mdy, mdy, F.lit("Debit"), F.lit("Misc"), merch, F.lit("Toronto"), F.lit("ON"),
+            F.when(desc == "2-HIGH", F.concat(F.lit('"($'), F.format_number(F.col("amount").cast("double"), 2), F.lit(')"')))
+            .otherwise(money)))
+        .otherwise(F.concat_ws(",", iso, iso, F.when(desc == "5-LOW", F.lit("Payment")).otherwise(desc), merch,
+                               F.when(desc == "5-LOW", F.concat(F.lit("-"), amt)).otherwise(amt), F.lit("CAD"))))
     pos = F.unix_date("date").cast("bigint") * 100000 + F.abs(F.xxhash64("merchant", "description", "amount")) % 100000
-
-    td_rows = led.filter((F.col("provider") == "f") & _even("merchant")).select(
-        F.concat(F.lit("tdvisa-"), year).alias("file"), pos.alias("pos"),
-        F.when(F.col("description") == "5-LOW",
-               F.concat_ws(",", mdy, F.lit("PAYMENT - THANK YOU"), F.lit(""), amt, F.lit("1000.00")))
-        .otherwise(F.concat_ws(",", mdy, F.col("description"), amt, F.lit(""), F.lit("1000.00"))).alias("line"))
-    ct = led.filter((F.col("provider") == "f") & ~_even("merchant"))
-    ct_rows = ct.select(F.concat(F.lit("canadiantire-"), year).alias("file"), pos.alias("pos"),
-                        F.concat_ws(",", F.date_format("date", "M/d/yyyy"), F.col("description"), F.col("merchant"),
-                                    money).alias("line"))
-    ct_files = ct.select(F.concat(F.lit("canadiantire-"), year).alias("file")).distinct()
-    ct_head = (ct_files.select("file", F.lit(-3).cast("bigint").alias("pos"), F.lit("Card statement export").alias("line"))
-               .unionByName(ct_files.select("file", F.lit(-2).cast("bigint").alias("pos"), F.lit("Account,****1234").alias("line")))
-               .unionByName(ct_files.select("file", F.lit(-1).cast("bigint").alias("pos"),
-                                            F.lit("Transaction Date,Description,Merchant Name,Amount").alias("line"))))
-    ax = led.filter((F.col("provider") == "o") & _even("merchant"))
-    ax_amt = F.when(F.col("description") == "3-MEDIUM", F.lit("")).otherwise(money)  # blank amount: skipped
-    ax_merch = F.when(F.col("description") == "4-NOT SPECIFIED", F.lit("")).otherwise(F.col("merchant"))
-    ax_rows = ax.select(F.concat(F.lit("amex-"), year).alias("file"), pos.alias("pos"),
-                        F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.col("description"), ax_amt,
-                                    ax_merch).alias("line"))
-    ax_files = ax.select(F.concat(F.lit("amex-"), year).alias("file")).distinct()
-    ax_head = (ax_files.select("file", F.lit(-3).cast("bigint").alias("pos"), F.lit("Summary of account,,,").alias("line"))
-               .unionByName(ax_files.select("file", F.lit(-2).cast("bigint").alias("pos"), F.lit("Prepared,today,,").alias("line")))
-               .unionByName(ax_files.select("file", F.lit(-1).cast("bigint").alias("pos"),
-                                            F.lit("Date,Description,Amount,Merchant").alias("line"))))
-    ht = led.filter((F.col("provider") == "o") & ~_even("merchant"))
-    ht_amt = F.when(F.col("description") == "2-HIGH", F.concat(F.lit('"($'), F.format_number(F.col("amount").cast("double"), 2), F.lit(')"'))).otherwise(money)
-    ht_rows = ht.select(F.concat(F.lit("hometrust-"), year).alias("file"), pos.alias("pos"),
-                        F.concat_ws(",", F.lit("1234"), F.lit("A HOLDER"), mdy, mdy, F.lit("Debit"), F.lit("Misc"),
-                                    F.col("merchant"), F.lit("Toronto"), F.lit("ON"), ht_amt).alias("line"))
-    ht_head = ht.select(F.concat(F.lit("hometrust-"), year).alias("file")).distinct().select(
-        "file", F.lit(-1).cast("bigint").alias("pos"),
-        F.lit("Account Number,Cardholder Name,Trans Date,Posting Date,Type,Category,Merchant Name,Merchant City,"
-              "Merchant State,Amount").alias("line"))
-    ws = led.filter(F.col("provider") == "p")
-    ws_type = F.when(F.col("description") == "5-LOW", F.lit("Payment")).otherwise(F.col("description"))
-    ws_amt = F.when(F.col("description") == "5-LOW", F.concat(F.lit("-"), amt)).otherwise(amt)
-    ws_rows = ws.select(F.concat(F.lit("wealthsimple-"), year).alias("file"), pos.alias("pos"),
-                        F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.date_format("date", "yyyy-MM-dd"),
-                                    ws_type, F.col("merchant"), ws_amt, F.lit("CAD")).alias("line"))
-    ws_head = ws.select(F.concat(F.lit("wealthsimple-"), year).alias("file")).distinct().select(
-        "file", F.lit(-1).cast("bigint").alias("pos"),
-        F.lit("transaction_date,post_date,type,details,amount,currency").alias("line"))
-    lines = td_rows.unionByName(ct_rows).unionByName(ct_head).unionByName(ht_rows).unionByName(ht_head) \
-        .unionByName(ws_rows).unionByName(ws_head).unionByName(ax_rows).unionByName(ax_head)
+    rows = (led.withColumn("bank", bank).filter(F.col("bank").isNotNull())
+            .select(F.concat("bank", F.lit("-"), F.date_format("date", "yyyy")).alias("file"), "bank",
+                    pos.alias("pos"), line.alias("line")))
+
+    def head(*lines):
+        return F.array(*[F.struct(F.lit(-len(lines) + i).cast("bigint").alias("pos"), F.lit(t).alias("line"))
+                         for i, t in enumerate(lines)])
+
+    headers = (rows.groupBy("file").agg(F.first("bank").alias("bank"))
+               .select("file", F.explode(
+                   F.when(F.col("bank") == "canadiantire", head("Card statement export", "Account,****1234",
+                                                                "Transaction Date,Description,Merchant Name,Amount"))
+                   .when(F.col("bank") == "amex", head("Summary of account,,,", "Prepared,today,,",
+                                                       "Date,Description,Amount,Merchant"))
+                   .when(F.col("bank") == "hometrust", head(
+                       "Account Number,Cardholder Name,Trans Date,Posting Date,Type,Category,Merchant Name,"
+                       "Merchant City,Merchant State,Amount"))
+                   .when(F.col("bank") == "wealthsimple", head("transaction_date,post_date,type,details,amount,currency"))
+                   .otherwise(F.array().cast("array<struct<pos:bigint,line:string>>"))).alias("h"))
+               .select("file", "h.pos", "h.line"))
+    lines = rows.drop("bank").unionByName(headers)
     # one task per file (hash on file) and lines in order inside it
     (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(out))
-    led.unpersist()
     return out
 
 

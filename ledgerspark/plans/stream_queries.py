@@ -52,7 +52,7 @@ def stream_sessions(spark, sf):
     src = _stage(ev, spark, "sessions-src", n_files=6, by="ts")
     events_path, sessions_path = staging_path(spark, "sessions-events"), staging_path(spark, "sessions-out")
     jobs.stream_sessions(spark, src, spark.read.parquet(src).schema, events_path, sessions_path,
-                         staging_path(spark, "sessions-ck"), max_files=2)
+                         staging_path(spark, "sessions-ck"), max_files=3)
     return _sessions_out(jobs.read_sessions(spark, sessions_path))
 
 

@@ -85,7 +85,8 @@ def stream_sessions(spark: SparkSession, source: str, schema, events_path: str,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("session_bucket", _bucket()).withColumn("batch_id", F.lit(batch_id)).persist()
-        batch.write.mode("append").partitionBy("session_bucket").parquet(events_path)
+        # a micro-batch is bounded by the trigger: cluster it by bucket so each bucket gets one file
+        batch.repartition("session_bucket").write.mode("append").partitionBy("session_bucket").parquet(events_path)
         touched = batch.select("session_bucket").distinct()
         stored = spark.read.parquet(events_path).join(touched, "session_bucket", "left_semi")
         touched_ids = batch.select("session_id").distinct()
