@@ -49,6 +49,8 @@ def test_category_insight(ledger_factory):
 def test_profile(ledger_factory):
     r = A.profile(ledger_factory(L2, L2_RULES)).first()
     assert (r.transaction_count, r.category_count, r.merchant_count) == (4, 2, 4)
+    r = A.profile(ledger_factory(L2, L2_RULES), approx=True).first()
+    assert (r.category_count, r.merchant_count) == (2, 4)
 
 
 def test_spend_summary_with_comparison(ledger_factory):
