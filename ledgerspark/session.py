@@ -45,14 +45,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_KEY = "ledgerspark.local.checkpointDir"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` from the session (the cluster's
+    shared folder). Only when that is unset (tests, local runs) is a local folder created; it is
+    remembered under a private key because ``spark.checkpoint.dir`` cannot change at runtime."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_KEY, None)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        configured = spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        spark.conf.set(_LOCAL_KEY, configured)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured

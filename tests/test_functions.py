@@ -94,3 +94,34 @@ def test_event_sink_last_wins(spark, tmp_path):
                                                       dt.datetime(2026, 5, 1, 10))], schema))
     got = {r.event_id: r.page for r in spark.read.parquet(path).collect()}
     assert got == {"e1": "/again", "e2": "/b"}
+
+
+def test_checkpoint_dir_when_unset():
+    """Without spark.checkpoint.dir a local folder is created once and reused; the core setting
+    itself is never written (Spark rejects that at runtime)."""
+    from ledgerspark.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+        def set(self, k, v):
+            assert k != "spark.checkpoint.dir"
+            self[k] = v
+
+    class Ctx:
+        d = None
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d
+
+    class FakeSession:
+        conf = Conf()
+        sparkContext = Ctx()
+
+    s = FakeSession()
+    first = checkpoint_dir(s)
+    assert first and checkpoint_dir(s) == first and s.sparkContext.d == first
