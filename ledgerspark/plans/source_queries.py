@@ -80,7 +80,9 @@ def write_statements(spark, sf, out: str) -> str:
     line = (
         F.when(F.col("bank") == "tdvisa", F.when(desc == "5-LOW", F.concat_ws(",", mdy, F.lit("PAYMENT - THANK YOU"), F.lit(""), amt, F.lit("1000.00")))
                .otherwise(F.concat_ws(",", mdy, desc, amt, F.lit(""), F.lit("1000.00"))))
-        .when(F.col("bank") == "canadiantire", F.concat_ws(",", F.date_format("date", "M/d/yyyy"), desc, merch, money))
+        .when(F.col("bank") == "canadiantire", F.concat_ws(",", F.date_format("date", "M/d/yyyy"), desc, merch,
+                                                           # urgent rows lose their amount: bad lines
+                                                           F.when(desc == "1-URGENT", F.lit("")).otherwise(money)))
         .when(F.col("bank") == "amex", F.concat_ws(",", iso, desc, F.when(desc == "3-MEDIUM", F.lit("")).otherwise(money),
                                                    F.when(desc == "4-NOT SPECIFIED", F.lit("")).otherwise(merch)))
         .when(F.col("bank") == "hometrust", F.concat_ws(
@@ -123,7 +125,7 @@ SELECT CAST(date AS VARCHAR) AS date, description, description AS merchant, CAST
 WHERE provider = 'f' AND right(merchant, 1) IN ('0', '2', '4', '6', '8') AND description <> '5-LOW'
 UNION ALL
 SELECT CAST(date AS VARCHAR), description, merchant, CAST(amount AS DOUBLE), 'canadiantire' FROM ledger
-WHERE provider = 'f' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8')
+WHERE provider = 'f' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8') AND description <> '1-URGENT'
 UNION ALL
 SELECT CAST(date AS VARCHAR), merchant, merchant,
        CAST(CASE WHEN description = '2-HIGH' THEN -amount ELSE amount END AS DOUBLE), 'hometrust' FROM ledger
@@ -142,8 +144,11 @@ def statement_roundtrip(spark, sf):
                            F.col("amount").cast("double").alias("amount"), "provider")
 
 
-@register("statement_quarantine")
+@register("statement_quarantine", with_(LEDGER_ORDERS) + """
+SELECT strftime(date, '%-m/%-d/%Y') || ',' || description || ',' || merchant || ',' AS line,
+       'unparsable amount' AS reason
+FROM ledger WHERE provider = 'f' AND right(merchant, 1) NOT IN ('0', '2', '4', '6', '8') AND description = '1-URGENT'""")
 def statement_quarantine(spark, sf):
-    """Bad lines of the round trip (none expected: every derived line is valid)."""
+    """Bad lines of the round trip (D9): the Canadian Tire lines written without an amount."""
     out = write_statements(spark, sf, staging_path(spark, "statements"))
-    return load_statements(spark, out, route_on="path").quarantine
+    return load_statements(spark, out, route_on="path").quarantine.select("line", "reason")

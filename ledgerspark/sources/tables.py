@@ -141,7 +141,8 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").cast("string").alias("event_id"),
         user.alias("user_id"),
-        F.concat(user, F.lit("-"), F.date_format(ts, "yyyyMMdd")).alias("session_id"),
+        # the day of the stored wall-clock value (TIMESTAMP_NTZ): independent of the session zone
+        F.concat(user, F.lit("-"), F.date_format(F.col("ts"), "yyyyMMdd")).alias("session_id"),
         mapped.alias("event_type"),
         _pick(PAGES, k % 4).alias("page"),
         F.when(etype == "view", F.lit(None).cast("string")).otherwise(_pick(COMPONENTS, k % 3)).alias("component"),

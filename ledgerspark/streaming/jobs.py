@@ -116,7 +116,9 @@ def stream_daily_spend(spark: SparkSession, source: str, schema, sink: str, chec
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.load(source).withColumn("ts", F.col("date").cast("timestamp"))
+    # event time = midnight UTC of the ledger date, so one-day windows hold exactly one date
+    # whatever the session time zone
+    rows = reader.load(source).withColumn("ts", F.timestamp_seconds(F.unix_date("date").cast("bigint") * 86400))
     agg = (rows.withWatermark("ts", watermark)
            .groupBy(F.window("ts", "1 day").alias("w"))
            .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions")))
@@ -130,6 +132,7 @@ def stream_daily_spend(spark: SparkSession, source: str, schema, sink: str, chec
 
 def read_daily_spend(spark: SparkSession, sink: str) -> DataFrame:
     d = spark.read.parquet(sink)
+    day = F.date_from_unix_date((F.unix_seconds("day_start") / 86400).cast("int"))
     return (d.groupBy("day_start").agg(F.max_by(F.struct("total", "transactions"), "batch_id").alias("x"))
-            .select(F.to_date("day_start").alias("day"), F.col("x.total").cast(MONEY).alias("total"),
+            .select(day.alias("day"), F.col("x.total").cast(MONEY).alias("total"),
                     F.col("x.transactions").alias("transactions")))

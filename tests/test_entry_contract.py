@@ -38,7 +38,7 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_listed():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    assert set(qs) - set(orc) == {"session_sample", "statement_quarantine"}
+    assert set(qs) - set(orc) == {"session_sample"}
 
 
 @pytest.fixture(scope="module")
