@@ -8,7 +8,6 @@ is exact and stays in the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

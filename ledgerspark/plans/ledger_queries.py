@@ -187,7 +187,7 @@ def amount_buckets(spark, sf):
 from ledgerspark.operators import dedupe as U  # noqa: E402
 from ledgerspark.operators.categorize import categorize  # noqa: E402
 from ledgerspark.sinks.ledger import csv_rows  # noqa: E402
-from ledgerspark.sources.tables import read_table, spread  # noqa: E402
+from ledgerspark.sources.tables import spread  # noqa: E402
 
 # fixed values: rules for the order ledger in the upsert query
 UPSERT_RULES = [("urgent", ["urgent"]), ("club", ["customer#0000001"]), ("other", [""])]
