@@ -53,13 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared folder). Only when that is unset (tests, local runs) is a local folder created; it is
     remembered under a private key because ``spark.checkpoint.dir`` cannot change at runtime."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    try:
+        ctx = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext on the client (e.g. Spark Connect)
+        ctx = None
+    if not configured and ctx is not None:
+        configured = ctx.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
         spark.conf.set(_LOCAL_KEY, configured)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
+    if ctx is not None and not ctx.getCheckpointDir():
+        ctx.setCheckpointDir(configured)
     return configured
 
 

@@ -47,8 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     one Parquet row group) is spread round-robin so the UDF does not run in one Python worker.
     At scale a scan has far more splits than cores and this is a no-op. JVM-only plans skip it:
     there the extra shuffle costs more than it saves."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
