@@ -62,7 +62,7 @@ def stream_import(spark, sf):
     src = write_statements(spark, sf, staging_path(spark, "import-src"))
     ledger = staging_path(spark, "import-ledger")
     jobs.stream_statement_import(spark, src, ledger, staging_path(spark, "import-ck"), UPSERT_RULES,
-                                 route_on="path", max_files=16)
+                                 route_on="path", max_files=24)
     out = read_ledger(spark, ledger)
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
                       F.col("amount").cast("double").alias("amount"), "category", "provider")
