@@ -1,9 +1,9 @@
 """Statement files (S1-S8): a cell-grid reader plus one column-expression mapping per layout.
 
 Reading: ``spark.read.text(wholetext=True)`` gives one row per file (files are read in
-parallel, one task per file), ``posexplode(split)`` numbers the physical lines, and
-``from_csv`` splits each line into up to ``MAX_CELLS`` cells (quotes honoured; one physical
-line = one record, D15). The header of each file is found by ``min(pos)`` over the lines that
+parallel, one task per file), ``posexplode(split)`` numbers the physical lines, and a
+quote-aware split turns each line into up to ``MAX_CELLS`` cells (quotes and doubled quotes
+honoured; one physical line = one record, D15). The header of each file is found by ``min(pos)`` over the lines that
 look like a header (a per-file aggregate), then joined back to that file's lines by file.
 
 Bad rows never abort the import (D9): they go to a quarantine frame ``(file, pos, line,
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ledgerspark.schema import MONEY
 
 MAX_CELLS = 32
-_GRID_SCHEMA = ", ".join(f"c{i} STRING" for i in range(MAX_CELLS))
 
 # ---- fixed values ----------------------------------------------------------------------
 # Routing keys in configuration order; provider := the key found in the lowercase file name.
@@ -71,13 +70,26 @@ def read_grid(spark: SparkSession, path, file_filter=None) -> DataFrame:
     return grid_of(read_lines(spark, path, file_filter))
 
 
+# a comma followed by an even number of quotes up to the end of the line is a field separator;
+# possessive quantifiers keep a malformed line (odd quote count) from backtracking
+_CSV_SPLIT = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+
+
+def _unquote(cell: Column) -> Column:
+    """CSV field text: surrounding quotes removed, doubled quotes unescaped, '' -> NULL."""
+    quoted = cell.startswith('"') & cell.endswith('"') & (F.length(cell) >= 2)
+    inner = F.regexp_replace(F.substring(cell, F.lit(2), F.length(cell) - 2), '""', '"')
+    value = F.when(quoted, inner).otherwise(cell)
+    return F.when(value != "", value)
+
+
 def grid_of(lines: DataFrame) -> DataFrame:
-    parsed = F.from_csv("line", _GRID_SCHEMA, {"mode": "PERMISSIVE"})
-    cells = F.array(*[parsed[f"c{i}"] for i in range(MAX_CELLS)])
-    # a field count that tells a blank trailing cell from a missing one (from_csv cannot)
-    unquoted = F.regexp_replace("line", r'"([^"]|"")*"', "q")
-    n_cells = F.size(F.split(unquoted, ",", -1))
-    return lines.select("file", "name", "pos", "line", n_cells.alias("n_cells"), cells.alias("cells"))
+    """Lines -> cells. The split is computed once per line in its own projection (not inlined
+    per cell), then each of the ``MAX_CELLS`` cells is unquoted; the field count comes from the
+    same split, so a blank trailing cell is told apart from a missing one."""
+    parts = lines.select("*", F.split("line", _CSV_SPLIT, -1).alias("__parts"))
+    cells = F.array(*[_unquote(F.try_element_at("__parts", F.lit(i + 1))) for i in range(MAX_CELLS)])
+    return parts.select("file", "name", "pos", "line", F.size("__parts").alias("n_cells"), cells.alias("cells"))
 
 
 def _cell(idx: Column) -> Column:
