@@ -84,17 +84,17 @@ def _unquote(cell: Column) -> Column:
 
 
 def grid_of(lines: DataFrame) -> DataFrame:
-    """Lines -> cells. The split is computed once per line in its own projection (not inlined
-    per cell), then each of the ``MAX_CELLS`` cells is unquoted; the field count comes from the
-    same split, so a blank trailing cell is told apart from a missing one."""
-    parts = lines.select("*", F.split("line", _CSV_SPLIT, -1).alias("__parts"))
-    cells = F.array(*[_unquote(F.try_element_at("__parts", F.lit(i + 1))) for i in range(MAX_CELLS)])
-    return parts.select("file", "name", "pos", "line", F.size("__parts").alias("n_cells"), cells.alias("cells"))
+    """Lines -> cells: one quote-aware split per line, each field unquoted by a single
+    ``transform`` over that split (so the split is never re-evaluated per cell); the field count
+    tells a blank trailing cell from a missing one."""
+    cells = F.transform(F.split("line", _CSV_SPLIT, -1), _unquote)
+    return lines.select("file", "name", "pos", "line", cells.alias("cells")) \
+        .withColumn("n_cells", F.size("cells"))
 
 
 def _cell(idx: Column) -> Column:
     """Cell at 1-based ``idx`` of ``cells`` (NULL when idx is 0 / missing)."""
-    return F.when(idx > 0, F.element_at("cells", idx))
+    return F.when(idx > 0, F.try_element_at("cells", idx))
 
 
 def _column_index(header: Column, fragment: str, trim: bool) -> Column:
@@ -237,7 +237,7 @@ def load_tdvisa(grid: DataFrame, include_payments: bool = False, strict: bool =
     """No header. Lines with < 3 cells are skipped; c0 date M/d/yyyy, c1 description =
     merchant, c2 amount; when c2 is blank and c3 is not, amount = -abs(c3)."""
     body = grid.filter(F.col("n_cells") >= 3)
-    c = lambda i: F.trim(F.coalesce(F.col("cells")[i], F.lit("")))
+    c = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")))
     fallback = (c(2) == "") & (F.col("n_cells") >= 4) & (c(3) != "")
     raw = F.when(fallback, c(3)).otherwise(c(2))
     cleaned = F.regexp_replace(raw, r"[^0-9.\-]", "")
