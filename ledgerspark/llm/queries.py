@@ -140,3 +140,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerspark.llm.jaccard import jaccard_components
 
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@register()
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by keyed pseudonyms of the same format."""
+    from ledgerspark.llm.pseudonym import pseudonymize
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, key="corpus-key-1")
+
+
+@register()
+def op10_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at cosine 0.95."""
+    from ledgerspark.llm.pivots import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
