@@ -172,11 +172,13 @@ def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", k
         return docs.withColumn("__grade", F.struct(
             F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("expected"),
             F.lit(None).cast("double").alias("tail"), F.lit(True).alias("kept")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the corpus
+    # 2 ** BITS weights, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
 
     @pandas_udf(schema)
     def grade(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = OrdinalModel()
+        m.weights, m.cuts = shared.value
         for part in parts:
             batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], ["t"])
             out = []
