@@ -17,7 +17,8 @@ blocks, with the members of the lists of that component. Every pair that meets i
 compared, too different in size or connected already. Equal sets are one node.
 
 Null and blank texts have no shingles, link with nothing and are their own component; rows with a
-null id get a null component; repeated rows are returned each; other columns are ignored.
+null id get a null component; repeated rows are returned each (an id with several texts gets the
+smallest component of them); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ FREQUENT_FROM, FREQUENT_MOST = 32, 1 << 21  # a bounded table of frequent shingl
 RANGE_BYTES = 32 << 20
 LARGEST_LIGHT = 24
 FILTER_BITS = 26
-BLOCK_SETS = 256
+BLOCK_SETS, BATCH_ROWS = 256, 4000
 
 
 def least_overlap(a: int, b: int, threshold: int) -> int:
@@ -69,6 +71,17 @@ def choose_boundary(histogram: dict[int, int], mean_list: float, threshold: int)
     return min(range(LARGEST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit values as compressed gaps, byte plane by byte plane."""
+    gaps = np.diff(values, prepend=values.dtype.type(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0], dtype=np.uint64).astype("<u4")
+
+
 def _set_sizes(docs: DataFrame, ranges: int) -> DataFrame:
     """One scan of the texts: a row per document (id, size, two set hashes), and rows with the
     upper halves of all shingle hashes as sorted counts by range."""
@@ -84,7 +97,7 @@ def _set_sizes(docs: DataFrame, ranges: int) -> DataFrame:
             for at in np.split(np.arange(len(values)), np.flatnonzero(np.diff(part)) + 1):
                 once = values[at][n[at] == 1]
                 more = values[at][n[at] > 1]
-                rows.append((int(part[at[0]]), once.tobytes(), more.tobytes(), n[at][n[at] > 1].astype("<u4").tobytes()))
+                rows.append((int(part[at[0]]), packed(once), packed(more), n[at][n[at] > 1].astype("<u4").tobytes()))
             k, a, b, c = zip(*rows, strict=True)
             none = [None] * len(rows)
             return pa.RecordBatch.from_arrays(
@@ -118,9 +131,9 @@ _SIZE_SCHEMA = "doc_id bigint, n bigint, s1 bigint, s2 bigint, range bigint, onc
 
 def _count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """The frequent shingles of a range with their counts, and the range's sums for the mean list length."""
-    values = np.concatenate([np.frombuffer(x, "<u4") for c in ("once", "more") for x in pdf[c]])
-    n = np.concatenate([np.ones(sum(map(len, pdf["once"])) // 4, np.int64),
-                        *[np.frombuffer(x, "<u4") for x in pdf["counts"]]])
+    once, more = ([unpacked(x) for x in pdf[c]] for c in ("once", "more"))
+    values = np.concatenate(once + more)
+    n = np.concatenate([np.ones(sum(map(len, once)), np.int64), *[np.frombuffer(x, "<u4") for x in pdf["counts"]]])
     order = np.argsort(values, kind="stable")
     values, n = values[order], n[order]
     first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
@@ -230,7 +243,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the wanted documents, written. Others are passed over by the bitmap
-    before their text is read into sets; the few that slip through are dropped by the joins."""
+    before their text is made a set; the few that slip through are dropped by the joins."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,58 +257,116 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [b[0].cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, SHINGLE)], pa.binary())],
                 ["doc_id", "shingles"])
 
-    return staged(docs.mapInArrow(run, "doc_id bigint, shingles binary")
-                  .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jac-sets")
+    return staged(docs.mapInArrow(run, "doc_id bigint, shingles binary"), "jac-sets")
+
+
+CELL = ["group", "l_block", "r_block"]
+
+
+def _cells(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the left and the right rows of every cell that has both."""
+    cell = pdf[CELL].to_numpy()
+    order = np.lexsort(cell.T[::-1])
+    opens = np.flatnonzero(np.r_[True, (cell[order][1:] != cell[order][:-1]).any(axis=1)])
+    side = pdf["side"].to_numpy()
+    for at in np.split(order, opens[1:]):
+        left, right = at[side[at] == 0], at[side[at] == 1]
+        if len(left) and len(right):
+            yield left, right
+
+
+class _Inverted:
+    """Some ascending or unordered arrays of values as one inverted list."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.n = len(arrays)
+        token = np.concatenate(arrays)
+        owner = np.repeat(np.arange(self.n), [len(x) for x in arrays])
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner = token[order], owner[order]
+
+    def shared(self, values: np.ndarray) -> np.ndarray:
+        """How many of the values stand in each array."""
+        lo, hi = np.searchsorted(self.token, values), np.searchsorted(self.token, values, "right")
+        per = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
 
 
 def _block_links(threshold: int):
-    """Links between the left and the right sets of a block: for every left set, one right set of
-    each label that it links with. The right sets are scanned as one inverted list."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        empty = pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        sets = [np.frombuffer(x, "<u8") for x in right["shingles"]]
+    """Links between the left and the right sets of each cell: for every left set, one right set of
+    each label that it links with."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
         size = np.array([len(x) for x in sets])
-        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        node, label = right["node"].to_numpy(), right["label"].to_numpy()
         src, dst = [], []
-        for x, lx, blob in zip(left["node"], left["label"], left["shingles"], strict=True):
-            s = np.frombuffer(blob, "<u8")
-            lo, hi = np.searchsorted(token, s), np.searchsorted(token, s, "right")
-            per = hi - lo
-            at = np.repeat(lo - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            hit = np.flatnonzero((both * 100 >= threshold * (len(s) + size - both)) & (label != lx))
-            hit = hit[np.unique(label[hit], return_index=True)[1]]
-            src += [x] * len(hit)
-            dst += node[hit].tolist()
-        return pd.DataFrame({"src": src, "dst": dst}) if src else empty
+        for left, right in _cells(pdf):
+            lists = _Inverted([sets[j] for j in right])
+            for i in left:
+                both = lists.shared(sets[i])
+                hit = right[(both * 100 >= threshold * (size[i] + size[right] - both)) & (label[right] != label[i])]
+                hit = hit[np.unique(label[hit], return_index=True)[1]]
+                src += [node[i]] * len(hit)
+                dst += node[hit].tolist()
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
     return run
 
 
-def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links ``(src, dst)`` between ``left`` and ``right(group, node, label)`` rows of equal group
-    and different label, written. A group is cut into blocks of about BLOCK_SETS on either side,
-    so a task holds two blocks however large the group is."""
-    blocks_of = lambda df, name: df.groupBy("group").agg(
-        F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(name))
-    grid = staged(blocks_of(left, "lefts").join(blocks_of(right, "rights"), "group"), "jac-grid")
-    s = sets.select(F.col("doc_id").alias("node"), "shingles")
-
-    def dealt(df, own, others, number):
-        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(f"{number}_block")
-        other = "r" if number == "l" else "l"
+def _block_survivors(threshold: int):
+    """The left and right rows that may link with some row of the other side and another label, by
+    the lists they share: shared shingles lie in both prefixes or behind the prefix of the set
+    whose prefix ends first, so there are at most ``shared lists + size - prefix`` of them."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, label = pdf["n"].to_numpy(np.int64), pdf["label"].to_numpy()
+        behind = -(-threshold * n // 100) - 1
+        keys = pdf["keys"].to_list()
+        live = np.zeros(len(pdf), bool)
+        for left, right in _cells(pdf):
+            lists, m = _Inverted([keys[j] for j in right]), n[right]
+            for i in left:
+                shared = lists.shared(keys[i])
+                small, large = np.minimum(n[i], m), np.maximum(n[i], m)
+                need = -(-threshold * (n[i] + m) // (100 + threshold))
+                ok = ((shared > 0) & (label[right] != label[i]) & (small * 100 >= threshold * large)
+                      & ((shared + np.maximum(behind[i], behind[right]) >= need) | (small <= 2 * LARGEST_LIGHT)))
+                live[i] |= ok.any()
+                live[right[ok]] = True
+        return pdf.loc[live, ["side", "group", "node", "label"]]
+    return run
+
+
+def _blocks(left: DataFrame, right: DataFrame, payload: DataFrame, columns: list[str]):
+    """Rows of both sides with their payload, dealt to the cells of a grid of blocks of about
+    BLOCK_SETS rows for every group; cells are gathered in batches of about BATCH_ROWS rows, so a
+    task's memory is bounded however large a group is."""
+    def blocks_of(df, rows, name):
+        return df.groupBy("group").agg(F.count("*").alias(rows), F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(name))
+
+    grid = staged(blocks_of(left, "nl", "lefts").join(blocks_of(right, "nr", "rights"), "group"), "jac-grid")
+    total = grid.agg(F.sum(F.col("nl") * F.col("rights") + F.col("nr") * F.col("lefts"))).first()[0] or 0
+
+    def dealt(df, own, others, side):
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("lr"[side] + "_block")
         return (df.join(grid, "group").select("group", "node", "label", mine, F.explode(
-            F.sequence(F.lit(0), F.col(others) - 1)).alias(f"{other}_block"))
-            .join(s, "node").select(*cell, F.lit("lr".index(number)).alias("side"), "node", "label", "shingles"))
+            F.sequence(F.lit(0), F.col(others) - 1)).alias("rl"[side] + "_block"))
+            .select(*CELL, F.lit(side).alias("side"), "node", "label"))
 
-    cell = ["group", "l_block", "r_block"]
-    both = dealt(left, "lefts", "rights", "l").union(dealt(right, "rights", "lefts", "r"))
-    return staged(both.groupBy(*cell).applyInPandas(_block_links(threshold), "src bigint, dst bigint"), "jac-links")
+    both = dealt(left, "lefts", "rights", 0).union(dealt(right, "rights", "lefts", 1))
+    batch = F.pmod(F.xxhash64(*CELL), F.lit(max(1, -(-total // BATCH_ROWS)))).alias("batch")
+    return both.join(payload, "node").select(batch, *CELL, "side", "node", "label", *columns).groupBy("batch")
+
+
+def _compare(left: DataFrame, right: DataFrame, lists: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links ``(src, dst)`` between ``left`` and ``right(group, node, label)`` rows of equal group
+    and different label, written. Rows that can't link by their lists are left out before any
+    set is made."""
+    live = staged(_blocks(left, right, lists, ["n", "keys"]).applyInPandas(
+        _block_survivors(threshold), "side int, group bigint, node bigint, label bigint"), "jac-live")
+    sets = _sets_of(docs, live.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("node"), "shingles")
+    sides = [live.where(F.col("side") == k).select("group", "node", "label").distinct() for k in (0, 1)]
+    return staged(_blocks(*sides, sets, ["shingles"]).applyInPandas(
+        _block_links(threshold), "src bigint, dst bigint"), "jac-links")
 
 
 def _near_size(a, b, threshold: int):
@@ -334,11 +405,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     heads = pivots(members).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
     stars = staged(members.join(heads, "key"), "jac-stars")
-    sets = _sets_of(docs, stars.select(F.col("node").alias("doc_id")).distinct())
+    nodes = stars.select(F.col("node").alias("doc_id")).distinct()
+    lists = staged(shared.join(nodes, "doc_id").groupBy("doc_id", "n").agg(F.collect_set("key").alias("keys"))
+                   .select(F.col("doc_id").alias("node"), "n", "keys"), "jac-keys")
     near = stars.where("node <> pivot").where(_near_size(F.col("n"), F.col("pn"), threshold))
     right = staged(near.select(F.col("pivot").alias("group"), "node", F.col("node").alias("label")).distinct(), "jac-right")
     left = right.select("group", F.col("group").alias("node"), F.col("group").alias("label")).distinct()
-    label = connected_components(_compare(left, right, sets, threshold))
+    label = connected_components(_compare(left, right, lists, docs, threshold))
 
     # members outside the component of their list's smallest member meet all members of the list
     home = label.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
@@ -350,7 +423,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = others.join(unsettled.select("key"), "key", "left_semi")
     out = every.where("label <> home")
     sides = [staged(x.select(F.col("home").alias("group"), "node", "label").distinct(), "jac-side") for x in (out, every)]
-    more = _compare(*sides, sets, threshold)
+    more = _compare(*sides, lists, docs, threshold)
     # second round over the components of the first
     a = label.select(F.col("node").alias("src"), F.col("component").alias("ca"))
     b = label.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
@@ -360,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = (same.join(label, same["rep"] == label["node"], "left")
              .select("doc_id", F.coalesce("component", "rep").alias("c"))
              .join(second, F.col("c") == F.col("c1"), "left")
-             .select(F.col("doc_id").alias("__id"), F.coalesce("c2", "c").alias("c")))
+             .groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.coalesce("c2", "c")).alias("c")))
     return (sizes.join(whole, sizes["doc_id"] == whole["__id"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")))
 
