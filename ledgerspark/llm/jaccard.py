@@ -116,7 +116,7 @@ def _set_sizes(docs: DataFrame, ranges: int) -> DataFrame:
                  pa.array(np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                  pa.array(np.array([np.bitwise_xor.reduce(mixed(s + np.uint64(99))) for s in sets], np.uint64).view(np.int64)),
                  pa.array([None] * len(sets), pa.int64()), none, none, none], _SIZE_NAMES)
-            if held > 16_000_000:
+            if held > 4_000_000:
                 yield counts()
                 kept, held = [], 0
         if held:

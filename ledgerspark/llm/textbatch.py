@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20  # bytes of text handled at once (a longer text makes a block of its own)
+BLOCK = 1 << 20  # bytes of text handled at once (a longer text makes a block of its own)
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
