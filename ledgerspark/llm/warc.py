@@ -17,8 +17,8 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
 def write_archive(records: DataFrame, path: str) -> None:
     """``records(value)`` as gzip archive files under ``path``."""
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option(
-        "maxRecordsPerFile", FILE_RECORDS).text(path)
+        "zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _raw_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,8 @@ def archive_pages(pages: DataFrame, path: str) -> str:
 def _read_headers(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _HEADERS.split(", ")] + ["payload"] * payload
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(),
-             pa.string(), pa.int64()] + [pa.string()] * payload
+             pa.string(), pa.int64()] + [pa.binary()] * payload
+    packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
         for file, content in zip(b["path"].to_pylist(), b["content"], strict=True):
             rows = []
@@ -110,7 +111,7 @@ def _read_headers(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[
                     raise ValueError(f"{file}: payload digest of the record at {at} doesn't fit")
                 rows.append((h["WARC-Record-ID"], int(page) if page is not None else None, h.get("WARC-Target-URI"),
                              kind, digest, size, hashlib.md5(body, usedforsecurity=False).hexdigest(),
-                             int(ref) if ref is not None else None, file, at, *([body.decode("utf-8")] * payload)))
+                             int(ref) if ref is not None else None, file, at, *([packer.compress(body)] if payload else [])))
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
                     rows = []
@@ -119,9 +120,10 @@ def _read_headers(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """One row per record of the archive files: headers, file and offset, and the payload if asked for."""
+    """One row per record of the archive files: headers, file and offset, and if asked for the
+    payload as a zstd frame (payloads are shuffled, so they travel compressed)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(lambda it: _read_headers(it, payload), _HEADERS + ", payload string" * payload)
+    return files.mapInArrow(lambda it: _read_headers(it, payload), _HEADERS + ", payload binary" * payload)
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -143,6 +145,7 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def _fresh_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpacker = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
         for r in b.to_pylist():
@@ -156,7 +159,7 @@ def _fresh_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                            ("WARC-Refers-To", record_id(r["refers_file"], r["refers_to"], r["refers_at"])),
                            ("WARC-Refers-To-Target-URI", _line(r["refers_url"])),
                            ("X-Refers-To-Page-ID", _line(r["refers_to"]))]
-            out.append(make_record(fields, "" if revisit else r["payload"]))
+            out.append(make_record(fields, "" if revisit else unpacker.decompress(r["payload"]).decode("utf-8")))
         yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
 
