@@ -37,12 +37,12 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, target_rows:
         weighted = (counts.join(w, counts["source"].eqNullSafe(w["__s"]), "left")
                     .select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight")))
     weighted = staged(weighted, "mix-weights")
-    total = weighted.agg(F.sum("weight").alias("w"), F.sum("n").alias("all"))
-    rows = F.col("all") if target_rows is None else F.lit(target_rows)
+    weight, count = weighted.agg(F.sum("weight"), F.sum("n")).first()
+    rows = F.lit(float((count or 0) if target_rows is None else target_rows))
     mean = F.col("rate") / F.col("draws")
     return staged(
-        weighted.join(F.broadcast(total))  # one row
-        .withColumn("rate", F.when(F.col("w") > 0, rows * F.col("weight") / F.col("w") / F.col("n")).otherwise(0.0))
+        weighted
+        .withColumn("rate", rows * F.col("weight") / F.lit(weight) / F.col("n") if weight else F.lit(0.0))
         .withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
         .withColumn("cdf", F.aggregate(
             F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")),
