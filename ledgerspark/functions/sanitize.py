@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -34,7 +35,6 @@ _digits = re.compile(DIGIT_BLOB_PATTERN)
 _email = re.compile(EMAIL_PATTERN)
 _non_key = re.compile(r"[^a-z0-9_]+")
 _underscores = re.compile(r"_+")
-_DROP = object()
 
 
 def tidy(text: str, limit: int = TEXT_LIMIT) -> str:
@@ -64,64 +64,64 @@ def _suspicious(text: str) -> bool:
     return bool(_any_digit.search(text) and _digits.search(text))
 
 
-def _scalar(key: str | None, value):
-    if value is None:
-        return _DROP
-    if isinstance(value, (bool, int, float)):
+def _plain(key: str | None, value):
+    """A leaf: numbers and booleans as they are, text tidied or redacted; None leaves it out."""
+    if not isinstance(value, str):
         return value
-    if isinstance(value, str):
-        text = tidy(value)
-        if not text:
-            return _DROP
-        if key in SEARCH_KEYS:
-            term = tidy(text)
-            return REDACTED if len(term) > 2 and _suspicious(term) else term
-        if (key and _sensitive_key.search(key)) or _suspicious(text):
-            return REDACTED
-        return text
-    return tidy(str(value))
-
-
-def clean_value(value, key: str | None = None, depth: int = 0):
-    """Sanitize one JSON value; ``_DROP`` means the value is left out of its parent."""
-    if depth > MAX_DEPTH:
-        return _DROP
-    if isinstance(value, dict):
-        out = {}
-        for pos, (raw_key, raw_val) in enumerate(value.items()):
-            if pos >= MAX_KEYS:
-                break
-            k, sensitive = _key_info(str(raw_key))
-            if not k:
-                continue
-            if sensitive:
-                out[k] = REDACTED
-                continue
-            v = clean_value(raw_val, k, depth + 1)
-            if v is not _DROP:
-                out[k] = v
-        return out
-    if isinstance(value, list):
-        kept = [clean_value(item, key, depth + 1) for item in value[:MAX_ITEMS]]
-        return [v for v in kept if v is not _DROP]
-    return _scalar(key, value)
+    text = tidy(value)
+    if key in SEARCH_KEYS:
+        hide = len(text) > 2 and _suspicious(text)
+    else:
+        hide = _suspicious(text) or bool(key and _sensitive_key.search(key))
+    return REDACTED if text and hide else text or None
+
+
+def _fields(obj: dict):
+    """(clean key, sensitive, value) of the first MAX_KEYS fields that keep a name."""
+    for raw, value in islice(obj.items(), MAX_KEYS):
+        name, sensitive = _key_info(raw)
+        if name:
+            yield name, sensitive, value
+
+
+def clean_tree(root):
+    """The sanitized tree, built level by level: each level's values are placed into the containers
+    that the level above made, and what lies below MAX_DEPTH is never visited."""
+    top: list = []
+    level = [(top.append, None, root)]
+    for _ in range(MAX_DEPTH + 1):
+        below = []
+        for place, key, value in level:
+            if isinstance(value, dict):
+                made: dict = {}
+                for name, sensitive, inner in _fields(value):
+                    if sensitive:
+                        made[name] = REDACTED
+                    else:
+                        below.append((partial(made.__setitem__, name), name, inner))
+            elif isinstance(value, list):
+                made = []
+                below += [(made.append, key, inner) for inner in value[:MAX_ITEMS]]
+            else:
+                made = _plain(key, value)
+            if made is not None:
+                place(made)
+        level = below
+    return top[0] if top else None
 
 
 @lru_cache(maxsize=65536)
 def sanitize_json_text(text) -> str:
     """Raw metadata (JSON text, or a bare string) -> canonical sanitized JSON object text."""
-    if text is None or text == "":
-        value = {}
-    else:
-        try:
-            value = json.loads(text)
-        except (TypeError, ValueError):
-            value = text
-    if not value:
-        value = {}
-    cleaned = clean_value(value)
+    try:
+        value = json.loads(text) if text else {}
+    except (TypeError, ValueError):
+        value = text
+    if not isinstance(value, (dict, list, str)) and _suspicious(text):
+        value = text  # a bare card or phone number is text, whether or not it reads as a number
+    cleaned = clean_tree(value or {})
     if not isinstance(cleaned, dict):
-        cleaned = {"value": None if cleaned is _DROP else cleaned}
+        cleaned = {"value": cleaned}
     return json.dumps(cleaned, separators=(",", ":"), sort_keys=True)
 
 

@@ -9,7 +9,7 @@ from ledgerspark.functions.dates import quick_range
 from ledgerspark.functions.money import amount_bucket
 from ledgerspark.operators import filters as P
 from ledgerspark.operators import paging, summaries as A
-from ledgerspark.plans.registry import register
+from ledgerspark.plans.registry import ORACLES, register
 from ledgerspark.plans.sqlviews import LEDGER_LINES, LEDGER_ORDERS, with_
 from ledgerspark.schema import Filters
 from ledgerspark.sources.tables import ledger_lines, ledger_orders
@@ -186,8 +186,8 @@ def amount_buckets(spark, sf):
 # ---- step 2: categorization, dedupe, upsert, extracts -------------------------------------
 from ledgerspark.operators import dedupe as U  # noqa: E402
 from ledgerspark.operators.categorize import categorize  # noqa: E402
-from ledgerspark.sinks.ledger import csv_rows  # noqa: E402
-from ledgerspark.sources.tables import spread  # noqa: E402
+from ledgerspark.session import staging_path
+from ledgerspark.sinks.ledger import csv_rows, read_ledger, write_upsert  # noqa: E402
 
 # fixed values: rules for the order ledger in the upsert query
 UPSERT_RULES = [("urgent", ["urgent"]), ("club", ["customer#0000001"]), ("other", [""])]
@@ -226,7 +226,7 @@ def categorize_q(spark, sf):
 SELECT {_case_sql(_many_rules())} AS category, merchant, COUNT(*) AS transactions
 FROM ledger GROUP BY 1, 2""")
 def categorize_many_rules(spark, sf):
-    df = categorize(spread(ledger_lines(spark, sf, categorized=False)), _many_rules())
+    df = categorize(ledger_lines(spark, sf, categorized=False), _many_rules())
     return df.groupBy("category", "merchant").agg(F.count(F.lit(1)).alias("transactions"))
 
 
@@ -281,6 +281,16 @@ def ledger_upsert(spark, sf):
     return _rows_out(U.upsert(led, _upsert_batch(led), UPSERT_RULES))
 
 
+@register("ledger_upsert_stored", ORACLES["ledger_upsert"])
+def ledger_upsert_stored(spark, sf):
+    """K1 through its writer: a batch merged into a stored, month-partitioned ledger."""
+    led = ledger_orders(spark, sf)
+    path = staging_path(spark, "ledger-stored")
+    led.withColumn("month", F.date_format("date", "yyyy-MM")).write.partitionBy("month").parquet(path)
+    write_upsert(spark, path, _upsert_batch(led), UPSERT_RULES)
+    return _rows_out(read_ledger(spark, path))
+
+
 @register("csv_last_wins", _DUP_SQL + """
 SELECT CAST(date AS VARCHAR) AS date, trim(description) AS description, trim(merchant) AS merchant,
        category, CAST(round(amount, 2) AS DOUBLE) AS amount

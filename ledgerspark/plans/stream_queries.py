@@ -29,7 +29,7 @@ FROM ledger GROUP BY date""")
 def stream_daily_spend(spark, sf):
     src = _stage(ledger_orders(spark, sf).select("date", "amount"), spark, "daily-src")
     sink, ck = staging_path(spark, "daily-sink"), staging_path(spark, "daily-ck")
-    jobs.stream_daily_spend(spark, src, spark.read.parquet(src).schema, sink, ck)
+    jobs.stream_daily_spend(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=1)
     return jobs.read_daily_spend(spark, sink).select(F.date_format("day", "yyyy-MM-dd").alias("day"),
                                                       F.col("total").cast("double").alias("total"), "transactions")
 
@@ -41,11 +41,28 @@ def stream_event_dedupe(spark, sf):
     replay = ev.filter(F.col("event_id").cast("bigint") % 5 == 0)
     src = _stage(ev.unionByName(replay), spark, "events-src")
     sink, ck = staging_path(spark, "dedupe-sink"), staging_path(spark, "dedupe-ck")
-    jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, ck)
+    jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=2)
     return spark.read.parquet(sink).select("event_id", "session_id", "event_type",
                                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
+@register("event_upsert_stored", with_(USAGE_EVENTS) + """
+SELECT DISTINCT event_id, session_id, event_type,
+       strftime(CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN ts + INTERVAL 40 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM usage""")
+def event_upsert_stored(spark, sf):
+    """K5 through its writer, twice: the second batch moves every tenth event to another date."""
+    from ledgerspark.sinks.events import write_events
+
+    ev = usage_events(spark, sf).select("event_id", "session_id", "event_type", "ts")
+    path = staging_path(spark, "events-stored")
+    write_events(spark, path, ev)
+    write_events(spark, path, ev.filter(F.col("event_id").cast("bigint") % 10 == 0)
+                 .withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAY")))
+    return spark.read.parquet(path).select("event_id", "session_id", "event_type",
+                                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
 @register("stream_sessions", with_(USAGE_EVENTS, _SESSION_SQL.format(src="usage")) + f"SELECT {_SESSION_COLS} FROM sess")
 def stream_sessions(spark, sf):
     ev = usage_events(spark, sf).drop("value")

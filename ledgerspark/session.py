@@ -50,7 +50,7 @@ _LOCAL_KEY = "ledgerspark.local.checkpointDir"
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` from the session (the cluster's
-    shared folder). Only when that is unset (tests, local runs) is a local folder created; it is
+    shared folder). Unset, it is an error on a cluster; in local mode a local folder is created and
     remembered under a private key because ``spark.checkpoint.dir`` cannot change at runtime."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_KEY, None)
     try:
@@ -60,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and ctx is not None:
         configured = ctx.getCheckpointDir()
     if not configured:
+        if not getattr(ctx, "master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
         spark.conf.set(_LOCAL_KEY, configured)
     if ctx is not None and not ctx.getCheckpointDir():

@@ -6,21 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.events import dedupe_events
+from ledgerspark.session import staging_path
+from ledgerspark.sinks.ledger import table_exists
 
 
 def write_events(spark: SparkSession, path: str, events: DataFrame) -> None:
-    """Merge normalized ``events`` (with a ``seq`` order column, or 1) into the table at
-    ``path``: only the event dates the batch touches are read and rewritten."""
+    """Merge normalized ``events`` (with a ``seq`` order column, or 1) into the table at ``path``.
+    The dates that the batch touches are rewritten, and those where its ids are stored already:
+    an event that moves to another date leaves its old one."""
     if "seq" not in events.columns:
-        events = events.withColumn("seq", F.lit(1))
+        events = events.withColumn("seq", F.lit(1).cast("bigint"))
     batch = events.withColumn("event_date", F.to_date("ts")).persist()
-    try:
+    first = not table_exists(spark, path)
+    merged, moved = batch, None
+    if not first:
         stored = spark.read.parquet(path)
-        old = stored.join(batch.select("event_date").distinct(), "event_date", "left_semi").withColumn("seq", F.lit(0))
+        moved = stored.join(batch.select("event_id").distinct(), "event_id", "left_semi").select("event_date")
+        touched = batch.select("event_date").union(moved).distinct()
+        old = stored.join(touched, "event_date", "left_semi").withColumn("seq", F.lit(-(2 ** 62)))
         merged = old.unionByName(batch.select(*old.columns))
-    except Exception:  # noqa: BLE001 - first write
-        merged = batch
+    # written aside first: the table is no input of the swap
+    aside = staging_path(spark, "event-upsert")
     out = dedupe_events(merged.drop("event_date"), "seq").withColumn("event_date", F.to_date("ts"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.write.parquet(aside)
+    fresh = spark.read.parquet(aside)
+    emptied = [] if first else [
+        r.event_date for r in moved.distinct().join(fresh.select("event_date").distinct(), "event_date", "left_anti")
+        .collect()]  # one row a date
+    (fresh.hint("rebalance", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date").parquet(path))
+    for day in emptied:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     batch.unpersist()

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators.dedupe import KEY, LEDGER_COLS, dedupe_last, upsert
 from ledgerspark.schema import LEDGER
+from ledgerspark.session import staging_path
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is there. Only its absence counts as a first write; every other
+    problem with it surfaces when it is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def _with_month(df: DataFrame) -> DataFrame:
@@ -20,10 +28,9 @@ def _with_month(df: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The stored ledger; older files without ``provider`` read as NULL (mergeSchema)."""
-    try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table is an empty ledger
+    if not table_exists(spark, path):
         return spark.createDataFrame([], LEDGER)
+    df = spark.read.option("mergeSchema", "true").parquet(path)
     if "provider" not in df.columns:
         df = df.withColumn("provider", F.lit(None).cast("string"))
     return df.select(*LEDGER_COLS)
@@ -33,25 +40,21 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> Non
     """K1: merge ``batch`` into the month-partitioned ledger at ``path``."""
     batch = batch.persist()
     months = _with_month(batch).select("month").distinct()
-    try:
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
-    except Exception:  # noqa: BLE001 - first write: nothing stored yet
-        stored = None
-    if stored is None:
+    if not table_exists(spark, path):
         touched_old = spark.createDataFrame([], LEDGER)
     else:
+        stored = spark.read.option("mergeSchema", "true").parquet(path)  # an unreadable table fails the job
         if "provider" not in stored.columns:
             stored = stored.withColumn("provider", F.lit(None).cast("string"))
         # semi-join on the partition column: dynamic partition pruning reads touched months only
         touched_old = stored.join(months, "month", "left_semi").select(*LEDGER_COLS)
-    merged = _with_month(upsert(touched_old, batch, rules))
-    # Dynamic overwrite writes into a job staging folder and swaps the touched partitions in at
-    # commit, after every task (and so every read of the old rows) has finished; a failed or
-    # retried task never exposes partial partitions.
-    # written straight from the merge's key-hashed partitions: every task writes its share of
-    # each touched month (no repartition by month, which would put a whole month in one task)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(path))
+    # The merged months are written aside first: the table is no input of the swap, and the copy
+    # stays, so a crash during the swap loses nothing. The rebalance splits large months over
+    # tasks and keeps small ones in one file each.
+    aside = staging_path(spark, "ledger-upsert")
+    _with_month(upsert(touched_old, batch, rules)).write.parquet(aside)
+    (spark.read.parquet(aside).hint("rebalance", "month")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
     batch.unpersist()
 
 

@@ -2,7 +2,7 @@
 (S9), recurring rules (S10), the stored ledger (S11, S13) and event batches (S12)."""
 
 from ledgerspark.sources.tables import (
-    CATEGORY_RULES, ledger_lines, ledger_orders, read_table, rules_frame, usage_events,
+    CATEGORY_RULES, ledger_lines, ledger_orders, read_table, usage_events,
 )
 
-__all__ = ["CATEGORY_RULES", "ledger_lines", "ledger_orders", "read_table", "rules_frame", "usage_events"]
+__all__ = ["CATEGORY_RULES", "ledger_lines", "ledger_orders", "read_table", "usage_events"]

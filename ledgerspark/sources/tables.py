@@ -42,28 +42,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Before a Python UDF: a frame read from fewer splits than the default parallelism (e.g.
-    one Parquet row group) is spread round-robin so the UDF does not run in one Python worker.
-    At scale a scan has far more splits than cores and this is a no-op. JVM-only plans skip it:
-    there the extra shuffle costs more than it saves."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
-def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
-    """RULES(rank, category, keyword) from an ordered ``[(category, [keywords])]`` list."""
-    rows = []
-    for rank, (category, keywords) in enumerate(rules if rules is not None else CATEGORY_RULES):
-        for kw in keywords:
-            rows.append((rank, category, kw))
-    return spark.createDataFrame(rows, "rank INT, category STRING, keyword STRING")
-
-
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")

@@ -3,13 +3,12 @@
 T1 statements: a file stream (one row per new file, ``wholetext``) whose micro-batches go
    through the batch loaders and the K1 upsert in ``foreachBatch``. K1 is idempotent (a key
    merge), so a replayed batch after a failure changes nothing.
-T2 events: normalized events deduplicated by id with a watermark
-   (``dropDuplicatesWithinWatermark``: state bounded by the watermark).
+T2 events: every micro-batch is merged by event id into the stored table (K5), last one wins.
 T3 sessions: ``foreachBatch`` appends the batch's events to a bucketed event table, then
    recomputes only the touched sessions from their buckets (dynamic partition pruning) and
    appends the new summaries tagged with the batch id; readers take the latest per session.
-T5 rolling spend: a one-day event-time window with a watermark in update mode; each update is
-   appended with its batch id and readers keep the latest row per window.
+T5 rolling spend: every micro-batch writes its partial sums per day into a partition of its own;
+   readers add them up. No watermark, so no row comes too late.
 All sinks live under the shared checkpoint folder; the checkpoint location makes restarts
 resume exactly where the last committed batch ended.
 """
@@ -58,15 +57,20 @@ def stream_statement_import(spark: SparkSession, source: str, ledger_path: str,
 # ---- T2 -------------------------------------------------------------------------------
 
 def stream_event_dedupe(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                        watermark: str = "1 hour", max_files: int | None = None):
-    """First copy of each event id within the watermark; appended as Parquet to ``sink``."""
+                        max_files: int | None = None):
+    """One row per event id, the last one sent. Every micro-batch is merged into ``sink`` by
+    id (K5), so late and replayed events are neither lost nor doubled."""
+    from ledgerspark.sinks.events import write_events
+
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     ev = reader.load(source).withColumn("ts", F.col("ts").cast("timestamp"))
-    deduped = ev.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return _run(deduped.writeStream.format("parquet").option("path", sink)
-                .option("checkpointLocation", checkpoint).outputMode("append"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_events(spark, sink, batch.withColumn("seq", F.unix_micros("ts")))
+
+    return _run(ev.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
 
 
 # ---- T3 -------------------------------------------------------------------------------
@@ -111,28 +115,23 @@ def read_sessions(spark: SparkSession, sessions_path: str) -> DataFrame:
 # ---- T5 -------------------------------------------------------------------------------
 
 def stream_daily_spend(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                       watermark: str = "7 days", max_files: int | None = None):
-    """T5: spend per UTC day (event time = ledger date), updated as rows arrive."""
+                       max_files: int | None = None):
+    """T5: spend per day, kept as one partial sum per day and micro-batch. A replayed batch
+    overwrites its own partition and no row comes too late, since readers add up all batches."""
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    # event time = midnight UTC of the ledger date, so one-day windows hold exactly one date
-    # whatever the session time zone
-    rows = reader.load(source).withColumn("ts", F.timestamp_seconds(F.unix_date("date").cast("bigint") * 86400))
-    agg = (rows.withWatermark("ts", watermark)
-           .groupBy(F.window("ts", "1 day").alias("w"))
-           .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions")))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("day_start"), "total", "transactions", F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(sink))
+        (batch.groupBy(F.col("date").alias("day"))
+         .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions"))
+         .withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
 
-    return _run(agg.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint))
+    return _run(reader.load(source).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
 
 
 def read_daily_spend(spark: SparkSession, sink: str) -> DataFrame:
-    d = spark.read.parquet(sink)
-    day = F.date_from_unix_date((F.unix_seconds("day_start") / 86400).cast("int"))
-    return (d.groupBy("day_start").agg(F.max_by(F.struct("total", "transactions"), "batch_id").alias("x"))
-            .select(day.alias("day"), F.col("x.total").cast(MONEY).alias("total"),
-                    F.col("x.transactions").alias("transactions")))
+    """Day totals over all micro-batches."""
+    return (spark.read.parquet(sink).groupBy("day")
+            .agg(F.sum("total").cast(MONEY).alias("total"), F.sum("transactions").alias("transactions")))
