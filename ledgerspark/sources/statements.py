@@ -108,7 +108,8 @@ def _column_index(header: Column, fragment: str, trim: bool) -> Column:
 
 def _attach_header(grid: DataFrame, is_header: Column, indexes: dict) -> DataFrame:
     """Per file: the first header-looking row (``min(pos)``) and the column indexes resolved
-    from it, computed once per file and joined back; rows after the header kept.
+    from it, computed once per file and joined back; rows after the header kept. A file without
+    a header keeps all its rows, with a NULL ``header_pos``, so that it is reported.
 
     ``is_header`` should be guarded by a cheap test on the raw line so the array functions
     only run for candidate lines."""
@@ -116,7 +117,15 @@ def _attach_header(grid: DataFrame, is_header: Column, indexes: dict) -> DataFra
                .agg(F.min_by(F.struct("pos", "cells"), F.col("pos")).alias("h"))
                .select("file", F.col("h.pos").alias("header_pos"),
                        *[fn(F.col("h.cells")).alias(name) for name, fn in indexes.items()]))
-    return grid.join(headers, "file", "inner").filter(F.col("pos") > F.col("header_pos"))
+    return grid.join(headers, "file", "left").filter(F.col("header_pos").isNull() | (F.col("pos") > F.col("header_pos")))
+
+
+def _header_fault(*indexes: Column) -> Column:
+    """Why no line of this line's file can be read: its header is missing, or lacks a column."""
+    lacks = indexes[0] == 0
+    for i in indexes[1:]:
+        lacks = lacks | (i == 0)
+    return F.when(F.col("header_pos").isNull(), "no header").when(lacks, "missing column")
 
 
 def _line_has(*words: str) -> Column:
@@ -174,11 +183,12 @@ def load_amex(grid: DataFrame, include_payments: bool = False, strict: bool = Fa
     amt_text = F.regexp_replace(F.coalesce(_cell(i_amt), F.lit("")), r"[^0-9.\-]", "")
     desc = F.trim(F.coalesce(_cell(i_desc), F.lit("")))
     merch = F.trim(F.coalesce(_cell(F.when(i_merch > 0, i_merch).otherwise(i_desc)), F.lit("")))
-    rows = (body.filter(amt_text != "")
+    fault = _header_fault(i_date, i_desc, i_amt)
+    rows = (body.filter(fault.isNotNull() | (amt_text != ""))
             .select("file", "pos", "line",
                     _parse_date(_cell(i_date), FREEFORM_DATES).alias("date"), desc.alias("description"),
                     F.when(merch == "", desc).otherwise(merch).alias("merchant"), _money(amt_text).alias("amount"),
-                    F.when((i_date == 0) | (i_desc == 0) | (i_amt == 0), F.lit("missing column")).alias("__bad")))
+                    fault.alias("__bad")))
     return _finish(rows, "amex", F.col("description").rlike(AMEX_PAYMENT), include_payments, strict)
 
 
@@ -201,7 +211,7 @@ def load_canadiantire(grid: DataFrame, include_payments: bool = False, strict: b
     rows = body.select("file", "pos", "line", _parse_date(_cell(i_date), FREEFORM_DATES).alias("date"),
                        desc.alias("description"), merch.alias("merchant"),
                        _money(F.when(amt_text != "", amt_text)).alias("amount"),
-                       F.when((i_date == 0) | (i_desc == 0) | (i_amt == 0), F.lit("missing column")).alias("__bad"))
+                       _header_fault(i_date, i_desc, i_amt).alias("__bad"))
     return _finish(rows, "canadiantire", F.lower(F.col("description")) == CT_PAYMENT, include_payments, strict)
 
 
@@ -268,7 +278,7 @@ def load_wealthsimple(grid: DataFrame, include_payments: bool = False, strict: b
     d, typ, det, amt = get("transaction_date"), get("type"), get("details"), get("amount")
     desc = F.when(typ != "", typ).otherwise(det)
     merch = F.when(det != "", det).when(typ != "", typ).otherwise(desc)
-    rows = (body.filter((d != "") & (amt != ""))
+    rows = (body.filter(~has_all | ((d != "") & (amt != "")))
             .select("file", "pos", "line", F.try_to_date(d, "yyyy-M-d").alias("date"), desc.alias("description"),
                     merch.alias("merchant"), _money(amt).alias("amount"),
                     F.when(~has_all, F.lit("missing column")).alias("__bad")))

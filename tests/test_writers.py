@@ -55,3 +55,14 @@ def test_bare_card_number_is_redacted():
 
     assert "4111" not in sanitize_json_text("4111111111111111")
     assert sanitize_json_text("5") == '{"value":5}'
+
+
+def test_files_without_header_or_column_are_reported(spark, tmp_path):
+    from ledgerspark.sources.statements import load_statements
+
+    (tmp_path / "amex-2025.csv").write_text("01 Feb 2025,shop,12.50\n02 Feb 2025,cafe,3.00\n")
+    (tmp_path / "wealthsimple-2025.csv").write_text("transaction_date,type,details\n2025-02-01,buy,shop\n")
+    res = load_statements(spark, str(tmp_path), bank_keys=["amex", "wealthsimple"])
+    reasons = {(r.file.rsplit("/", 1)[1], r.reason) for r in res.quarantine.select("file", "reason").collect()}
+    assert reasons == {("amex-2025.csv", "no header"), ("wealthsimple-2025.csv", "missing column")}
+    assert res.rows.count() == 0
