@@ -34,7 +34,9 @@ def _run(writer, trigger_once: bool = True):
 
 def stream_statement_import(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, rules,
                             bank_keys=None, route_on: str = "name", max_files: int | None = None):
-    """Import every new statement file under ``source`` into the ledger at ``ledger_path``."""
+    """Import every new statement file under ``source`` into the ledger at ``ledger_path``.
+    Lines that can't be read and files of no known layout go to ``<ledger_path>-quarantine``, a
+    partition per micro-batch, so a replay writes them once."""
     from ledgerspark.sinks.ledger import write_upsert
     from ledgerspark.sources.statements import grid_of, lines_of, load_statements
 
@@ -49,6 +51,11 @@ def stream_statement_import(spark: SparkSession, source: str, ledger_path: str,
         rows = res.rows.select("date", "description", "merchant", "amount", "provider",
                                F.col("pos").cast("bigint").alias("seq"))
         write_upsert(spark, ledger_path, rows, rules)
+        unknown = res.unknown_files.select("file", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("line"),
+                                           F.lit("unknown file").alias("reason"))
+        (res.quarantine.select("file", "pos", "line", "reason").unionByName(unknown)
+         .withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{ledger_path}-quarantine"))
         grid.unpersist()
 
     return _run(files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
