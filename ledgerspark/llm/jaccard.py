@@ -39,7 +39,7 @@ from ledgerspark.llm.textbatch import blocks, mixed, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 80
 FREQUENT_FROM, FREQUENT_MOST = 32, 1 << 21  # a bounded table of frequent shingles orders the lists
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20
 LARGEST_LIGHT = 24
 FILTER_BITS = 26
 BLOCK_SETS, BATCH_ROWS = 256, 4000
