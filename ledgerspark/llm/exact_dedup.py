@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerspark.llm.common import ascii_lower, staged
 
-_HASHES = "hi bigint, lo bigint, sha string"
+_HASHES = StructType([StructField("hi", LongType()), StructField("lo", LongType()), StructField("sha", StringType())])
 
 
 @pandas_udf(_HASHES)
