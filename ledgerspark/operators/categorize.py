@@ -3,23 +3,19 @@
 Semantics: the first category (in rule order) having any keyword contained in the lowercase
 merchant or lowercase description; otherwise ``misc``. An empty keyword matches everything.
 
-Two physical forms, picked by rule count (rules are configuration, so their size is known):
-
-* up to ``INLINE_LIMIT`` keywords: one ``CASE WHEN contains(...)`` chain, fully inside
-  whole-stage codegen, no shuffle, no join;
-* more keywords: an Aho-Corasick automaton built once per task from the rule list inside an
-  Arrow ``pandas_udf`` (one pass per text instead of one ``contains`` per keyword). The rule
-  list travels with the UDF closure, and its size is checked against ``MAX_UDF_KEYWORDS``.
+One physical form whatever the number of rules: a ``CASE`` with one ``rlike`` per category, whose
+pattern is the category's keywords as quoted alternatives (compiled once per task). It stays in
+whole-stage codegen, needs no join or shuffle, and its size grows by one expression a category.
+Texts and keywords are lower-cased by the same function.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-INLINE_LIMIT = 256
-MAX_UDF_KEYWORDS = 2_000_000
 DEFAULT_CATEGORY = "misc"
 
 
@@ -29,67 +25,25 @@ def _normalize_rules(rules) -> list[tuple[str, list[str]]]:
     return [(str(c), [str(x) for x in (kws or [])]) for c, kws in rules]
 
 
+def _any_of(keywords: list[str]) -> Column:
+    """A pattern that finds any of the keywords, lower-cased by Spark (folded to a literal)."""
+    return F.lower(F.lit("|".join(re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", k) for k in keywords)))
+
+
 def category_expr(rules, merchant: str = "merchant", description: str = "description",
                   default: str = DEFAULT_CATEGORY) -> Column:
-    """The inline CASE form of F1."""
+    """F1 as a Column."""
     name = F.lower(F.coalesce(F.col(merchant), F.lit("")))
     desc = F.lower(F.coalesce(F.col(description), F.lit("")))
     expr = None
     for category, keywords in _normalize_rules(rules):
         if not keywords:
             continue
-        cond = None
-        for kw in keywords:
-            kwl = kw.lower()
-            hit = F.lit(True) if kwl == "" else (name.contains(kwl) | desc.contains(kwl))
-            cond = hit if cond is None else (cond | hit)
-        expr = F.when(cond, F.lit(category)) if expr is None else expr.when(cond, F.lit(category))
+        found = F.lit(True) if "" in keywords else (F.rlike(name, _any_of(keywords)) | F.rlike(desc, _any_of(keywords)))
+        expr = F.when(found, F.lit(category)) if expr is None else expr.when(found, F.lit(category))
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def _automaton_udf(rules, default: str):
-    flat = []
-    for rank, (category, keywords) in enumerate(_normalize_rules(rules)):
-        for kw in keywords:
-            flat.append((rank, category, kw.lower()))
-    if len(flat) > MAX_UDF_KEYWORDS:
-        raise ValueError(f"{len(flat)} keywords exceed the checked bound {MAX_UDF_KEYWORDS}")
-    categories = [c for c, _ in _normalize_rules(rules)]
-
-    @F.pandas_udf(T.StringType())
-    def _categorize(merchant, description):
-        import ahocorasick
-        import pandas as pd
-
-        auto = ahocorasick.Automaton()
-        always = None
-        for rank, _cat, kw in flat:
-            if kw == "":
-                always = rank if always is None else min(always, rank)
-                continue
-            prev = auto.get(kw, None) if kw in auto else None
-            auto.add_word(kw, rank if prev is None else min(prev, rank))
-        has_words = len(auto) > 0
-        if has_words:
-            auto.make_automaton()
-        out = []
-        for m, d in zip(merchant.fillna(""), description.fillna("")):
-            best = always
-            if has_words:
-                for text in (m.lower(), d.lower()):
-                    for _end, rank in auto.iter(text):
-                        if best is None or rank < best:
-                            best = rank
-            out.append(categories[best] if best is not None else default)
-        return pd.Series(out, dtype=object)
-
-    return _categorize
-
-
 def categorize(df: DataFrame, rules, merchant: str = "merchant", description: str = "description",
                out: str = "category", default: str = DEFAULT_CATEGORY) -> DataFrame:
-    n_keywords = sum(len(kws) for _, kws in _normalize_rules(rules))
-    if n_keywords <= INLINE_LIMIT:
-        return df.withColumn(out, category_expr(rules, merchant, description, default))
-    udf = _automaton_udf(rules, default)
-    return df.withColumn(out, udf(F.col(merchant), F.col(description)))
+    return df.withColumn(out, category_expr(rules, merchant, description, default))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.filters import apply_filters, date_range
+from ledgerspark.operators.filters import apply_filters, at_most, date_range
 from ledgerspark.operators.summaries import compact_rows, group_key
 from ledgerspark.schema import Filters
 
@@ -51,7 +51,7 @@ def compare_periods(ledger: DataFrame, a, b, group_by: str = "category", limit:
            .select("key", F.coalesce("label_a", "label_b").alias("label"), "current_cents", "baseline_cents",
                    (F.col("current_cents") - F.col("baseline_cents")).alias("delta_cents"))
            .orderBy(F.desc(F.abs(F.col("delta_cents"))), F.asc("key")))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 def top_drivers(ledger: DataFrame, current, baseline, dimension: str = "category",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import as_date
 from ledgerspark.functions.keys import slug
-from ledgerspark.schema import Filters
+from ledgerspark.schema import MONEY, Filters
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +55,21 @@ def month_filter(month: str, col: str = "date") -> Column:
     return (F.col(col) >= F.lit(first)) & (F.col(col) < F.lit(add_months(first, 1)))
 
 
+def money_bound(value, rounding: str) -> Column:
+    """An amount bound in the ledger's own DECIMAL type, so that it reaches the Parquet scan. Bounds
+    with more than two places move to the next amount inside the range."""
+    return F.lit(Decimal(str(value)).quantize(Decimal("0.01"), rounding)).cast(MONEY)
+
+
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; all of them without a limit. A limit below 1 is an error."""
+    if limit is None:
+        return df
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return df.limit(limit)
+
+
 def predicates(f: Filters, with_merchant_amount: bool = True) -> list[Column]:
     """The filter builder. The short form (summaries) has no merchant/amount predicates."""
     preds: list[Column] = []
@@ -71,9 +87,9 @@ def predicates(f: Filters, with_merchant_amount: bool = True) -> list[Column]:
         if f.merchant:
             preds.append(merchant_like(f.merchant))
         if f.min_amount is not None:
-            preds.append(F.col("amount") >= F.lit(float(f.min_amount)))
+            preds.append(F.col("amount") >= money_bound(f.min_amount, ROUND_CEILING))
         if f.max_amount is not None:
-            preds.append(F.col("amount") <= F.lit(float(f.max_amount)))
+            preds.append(F.col("amount") <= money_bound(f.max_amount, ROUND_FLOOR))
         if f.merchant_regex:
             preds.append(merchant_regex(f.merchant_regex))
     return preds
@@ -89,22 +105,14 @@ def apply_filters(df: DataFrame, f: Filters | None, with_merchant_amount: bool =
 def id_filter(df: DataFrame, ids, col: str, blank_label: str = "uncategorized") -> DataFrame:
     """Keep a row when slug(col) or the raw label is in ``ids``.
 
-    ``ids`` is an argument list; a very long list is turned into a DataFrame and semi-joined.
+    ``ids`` is an argument list of the caller and becomes one hashed set, whatever its length.
     """
     values = [str(x).strip() for x in (ids or []) if str(x).strip()]
     if not values:
         return df
     label = category_or_uncategorized(col, blank_too=True) if col == "category" \
         else F.coalesce(F.col(col), F.lit(""))
-    if len(values) <= 1000:
-        return df.filter(slug(label).isin(values) | label.isin(values))
-    ids_df = df.sparkSession.createDataFrame([(v,) for v in values], "id STRING").distinct()
-    keyed = df.withColumn("__slug", slug(label)).withColumn("__label", label)
-    # two disjoint semi-joins (slug hit; else raw-label hit): no OR join, no row dedupe
-    by_slug = keyed.join(ids_df, keyed["__slug"] == ids_df["id"], "left_semi")
-    by_label = (keyed.join(ids_df, keyed["__slug"] == ids_df["id"], "left_anti")
-                .join(ids_df, F.col("__label") == ids_df["id"], "left_semi"))
-    return by_slug.unionByName(by_label).drop("__slug", "__label")
+    return df.filter(slug(label).isin(values) | label.isin(values))
 
 
 def text_search(query: str) -> Column:

@@ -11,12 +11,12 @@ from ledgerspark.operators.summaries import compact_rows
 from ledgerspark.schema import Filters
 
 SORT_COLUMNS = ("date", "amount", "merchant", "category", "description", "provider")
+KEYSET = ("date", "id", "amount_cents", "description", "merchant", "provider", "category")
 TIE_BREAKERS = ("date", "merchant", "description", "amount", "category", "provider")
 
 # ---- fixed values: per-surface limits ---------------------------------------------------
 PAGE_MAX, PAGE_DEFAULT = 1000, 200          # dashboard page
 TOOL_ROWS_MAX, TOOL_ROWS_DEFAULT = 100, 25  # compact row tools
-TOOL_GROUPS_MAX, TOOL_GROUPS_DEFAULT = 50, 20
 ASSIST_RAW, ASSIST_AGG = 50, 20             # assistant tools
 FIELD_ALLOWLIST = ("id", "date", "amountCents", "merchant", "category", "account", "description", "notes")
 DEFAULT_FIELDS = ("id", "date", "amountCents", "merchant", "category")
@@ -70,11 +70,11 @@ def numbered_page(ledger: DataFrame, filters: Filters | None = None, sort_by: st
 
 def get_transactions(ledger: DataFrame, filters: Filters | None = None, sort_by: str = "date",
                      sort_dir: str = "asc", limit: int | None = None) -> DataFrame:
-    """O3: at most 50 rows plus a ``truncated`` flag (true when the cap was reached)."""
+    """O3: at most 50 rows plus a ``truncated`` flag (true when 50 rows came back)."""
     lim = clamp(limit, ASSIST_RAW, ASSIST_RAW)
     page = query_transactions(ledger, filters, sort_by, sort_dir, limit=lim)
     n = page.select(F.count(F.lit(1))).scalar()
-    return page.withColumn("truncated", n >= lim)
+    return page.withColumn("truncated", n >= ASSIST_RAW)
 
 
 def find_page(ledger: DataFrame, start, end, limit: int | None = None, cursor: str | None = None,
@@ -118,19 +118,30 @@ def _whole():
 
 
 def keyset_page(ledger: DataFrame, after_date=None, after_id: str | None = None, limit: int = TOOL_ROWS_DEFAULT,
-                start=None, end=None, **row_filters) -> DataFrame:
-    """O2 for deep paging: rows strictly after ``(after_date, after_id)`` in (date, id) order.
-
-    A predicate instead of an offset, so page N costs the same as page 1 (a pushed-down range
-    filter plus a top-k), where an offset grows linearly with depth.
+                start=None, end=None, last=None, seen: int = 1, **row_filters) -> DataFrame:
+    """O2 for deep paging, in the order of all columns (``KEYSET``, date and id first).
+
+    ``last`` is the last row of the page before (a Row or mapping with the KEYSET columns) and
+    ``seen`` how many rows equal to it were shown so far (1, unless the ledger holds equal rows). The
+    page starts from that row by a predicate and passes over those ``seen``, so every row is shown
+    once and page N costs the same as page 1 (a pushed-down date bound plus a top-k), where an
+    offset grows with depth. ``after_date`` and ``after_id`` alone start after that date and id.
     """
     from ledgerspark.functions.dates import as_date
 
     rows = compact_rows(ledger, start, end, **row_filters)
-    if after_date is not None:
+    skip = 0
+    if last is not None:
+        types = dict(rows.select(*KEYSET).dtypes)
+        mark = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in KEYSET])
+        rows = rows.filter(F.struct(*KEYSET) >= mark)
+        if last["date"] is not None:
+            rows = rows.filter(F.col("date") >= F.lit(as_date(last["date"])))
+        skip = seen
+    elif after_date is not None:
         d = F.lit(as_date(after_date))
         rows = rows.filter((F.col("date") > d) | ((F.col("date") == d) & (F.col("id") > F.lit(after_id or ""))))
-    return rows.orderBy("date", "id", "amount_cents").limit(clamp(limit, TOOL_ROWS_DEFAULT, TOOL_ROWS_MAX))
+    return rows.orderBy(*KEYSET).offset(skip).limit(clamp(limit, TOOL_ROWS_DEFAULT, TOOL_ROWS_MAX))
 
 
 def top_merchants(ledger: DataFrame, filters: Filters | None = None, limit: int | None = None) -> DataFrame:

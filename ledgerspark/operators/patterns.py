@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.keys import month_key
-from ledgerspark.operators.filters import apply_filters
+from ledgerspark.operators.filters import apply_filters, at_most
 from ledgerspark.operators.summaries import compact_rows, group_rows
 from ledgerspark.schema import Filters
 
@@ -23,22 +23,19 @@ MIN_SPIKE_CENTS = 2500                                    # fixed value: 25.00 f
 def charge_gaps(ledger: DataFrame, merchant: str = "merchant") -> DataFrame:
     """Days since the previous charge of the same merchant (NULL for the first).
 
-    A merchant may hold a third of all rows, so the window is not ``partitionBy(merchant)``:
-    rows are windowed per (merchant, month) and the first row of each month takes its
-    previous date from a small per-(merchant, month) table (one row per bucket), whose own
-    window spans at most the number of months. The gap depends only on dates, so ties in the
-    (date, amount, description) order do not change any value.
+    A merchant may hold a third of all rows, so no window runs over rows: the gap depends on the
+    merchant's days only. Days come from an aggregate (one row per merchant and day) and the window
+    runs over them. Equal rows are counted, so that only one copy of a day's first charge (by
+    amount, description, then the other columns) gets the gap; the day's other charges get 0.
     """
-    month = F.trunc("date", "month")
-    rows = ledger.withColumn("__m", month)
-    within = Window.partitionBy(merchant, "__m").orderBy("date", "amount", "description")
-    rows = rows.withColumn("__prev", F.lag("date").over(within))
-    buckets = rows.groupBy(merchant, "__m").agg(F.max("date").alias("__last"))
-    across = Window.partitionBy(merchant).orderBy("__m")
-    buckets = buckets.select(merchant, "__m", F.lag("__last").over(across).alias("__prev_bucket"))
-    out = rows.join(buckets, [merchant, "__m"], "left")
-    prev = F.coalesce(F.col("__prev"), F.col("__prev_bucket"))
-    return out.withColumn("gap_days", F.datediff(F.col("date"), prev)).drop("__m", "__prev", "__prev_bucket")
+    rest = list(dict.fromkeys(["amount", "description", *[c for c in ledger.columns if c not in (merchant, "date")]]))
+    rows = ledger.groupBy(merchant, "date", *rest).agg(F.count(F.lit(1)).alias("__n"))
+    days = rows.groupBy(F.col(merchant).alias("__m"), F.col("date").alias("__d")).agg(F.min(F.struct(*rest)).alias("__first"))
+    days = days.withColumn("__prev", F.lag("__d").over(Window.partitionBy("__m").orderBy("__d")))
+    out = rows.join(days, rows[merchant].eqNullSafe(days["__m"]) & rows["date"].eqNullSafe(days["__d"]))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    opens = (F.col("__copy") == 1) & F.struct(*rest).eqNullSafe(F.col("__first"))
+    return out.select(*ledger.columns, F.datediff("date", F.when(opens, F.col("__prev")).otherwise(F.col("date"))).alias("gap_days"))
 
 
 def recurring(ledger: DataFrame, start=None, end=None, min_occurrences: int = 3,
@@ -71,7 +68,7 @@ def recurring(ledger: DataFrame, start=None, end=None, min_occurrences: int = 3,
         F.expr("sum_cents div n").alias("avg_amount_cents"), "last_amount_cents",
         F.date_format("last", "yyyy-MM-dd").alias("last_date"), conf.alias("confidence"), "category",
     ).orderBy(F.desc("confidence"), F.desc("avg_amount_cents"), F.asc("merchant"))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 def recurring_months(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20) -> DataFrame:
@@ -91,7 +88,7 @@ def recurring_months(ledger: DataFrame, filters: Filters | None = None, limit: i
         F.col("sum_amount").cast("double").alias("total"),
         F.date_format("latest", "yyyy-MM-dd").alias("latest_date"),
     ).orderBy(F.desc(F.size("months")), F.desc("total"), F.asc("merchant"))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 def _merchant_stats(rows: DataFrame, value: str, key: Column) -> DataFrame:
@@ -117,7 +114,7 @@ def anomalies_transactions(ledger: DataFrame, start, end, sensitivity: str = "me
                    (F.col("amount_cents") - expected).alias("delta_cents"),
                    F.lit(0.7).alias("confidence"), F.lit("transaction_spike").alias("explanation_code"))
            .orderBy(F.desc("delta_cents"), F.asc("id")))
-    return out.limit(max(1, min(int(limit), 20))) if limit else out
+    return at_most(out, limit)
 
 
 def anomalies_groups(ledger: DataFrame, start, end, dimension: str = "category",
@@ -136,7 +133,7 @@ def anomalies_groups(ledger: DataFrame, start, end, dimension: str = "category",
                    (F.col("total_cents") - expected).alias("delta_cents"), F.lit(0.65).alias("confidence"),
                    F.lit(f"{dimension}_spike").alias("explanation_code"))
            .orderBy(F.desc("delta_cents"), F.asc("label")))
-    return out.limit(max(1, min(int(limit), 20))) if limit else out
+    return at_most(out, limit)
 
 
 def unusual_spend(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20) -> DataFrame:
@@ -154,7 +151,7 @@ def unusual_spend(ledger: DataFrame, filters: Filters | None = None, limit: int
            .select("date", "description", "merchant", "amount", "category", "provider",
                    mean.alias("merchant_average"), (amt - mean).alias("difference"))
            .orderBy(F.desc("difference"), F.asc("date"), F.asc("merchant"), F.asc("description")))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 # ---- C8: category insight ---------------------------------------------------------------

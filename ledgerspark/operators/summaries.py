@@ -6,13 +6,15 @@ as a separate small job and inlines the value, so there is no cross join and no
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.keys import iso_week_key, month_key, period_key, slug, tx_id
 from ledgerspark.functions.money import cents
 from ledgerspark.operators.filters import (
-    apply_filters, category_or_uncategorized, date_range, id_filter, text_search,
+    apply_filters, at_most, category_or_uncategorized, date_range, id_filter, money_bound, text_search,
 )
 from ledgerspark.schema import Filters
 
@@ -48,7 +50,7 @@ def summarize_by_merchant(ledger: DataFrame, filters: Filters | None = None, lim
     out = (df.groupBy("merchant")
            .agg(_total().alias("total"), F.count(F.lit(1)).alias("transactions"))
            .orderBy(F.desc("total"), F.asc("merchant")))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 def overview(ledger: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -104,9 +106,9 @@ def compact_rows(ledger: DataFrame, start=None, end=None, category_ids=None, mer
     if rng is not None:
         df = df.filter(rng)
     if min_cents is not None:
-        df = df.filter(F.col("amount") >= F.lit(round(min_cents / 100.0, 2)))
+        df = df.filter(F.col("amount") >= money_bound(Decimal(min_cents) / 100, ROUND_CEILING))
     if max_cents is not None:
-        df = df.filter(F.col("amount") <= F.lit(round(max_cents / 100.0, 2)))
+        df = df.filter(F.col("amount") <= money_bound(Decimal(max_cents) / 100, ROUND_FLOOR))
     if search and search.strip():
         df = df.filter(text_search(search))
     df = id_filter(df, category_ids, "category")
@@ -189,7 +191,7 @@ def spend_summary(ledger: DataFrame, group_by: str = "category", start=None, end
                .withColumn("delta_cents", F.col("total_cents") - F.col("base_cents"))
                .drop("base_cents"))
     out = out.orderBy(F.desc("total_cents"), F.asc("key"))
-    return out.limit(limit) if limit else out
+    return at_most(out, limit)
 
 
 def merchant_summary(ledger: DataFrame, search: str, start=None, end=None, limit: int = 10) -> DataFrame:

@@ -190,6 +190,8 @@ def event_upsert_sessions(spark, sf):
     return _sessions_out(E.session_summary(E.dedupe_events(_resent(spark, sf), "seq")))
 
 
-@register("session_sample")
+@register("session_sample", with_(USAGE_EVENTS) + """
+SELECT event_id, session_id, event_type FROM usage
+WHERE CAST('0x' || substr(md5(session_id), 1, 7) AS BIGINT) % 10000 < 2500""")
 def session_sample(spark, sf):
     return E.sample_sessions(usage_events(spark, sf), 0.25).select("event_id", "session_id", "event_type")

@@ -194,7 +194,7 @@ UPSERT_RULES = [("urgent", ["urgent"]), ("club", ["customer#0000001"]), ("other"
 
 
 def _many_rules():
-    """A large rule set built from a rule (exercises the automaton path): brand digits and
+    """A large rule set built from a rule (hundreds of keywords): brand digits and
     part-name words spread over seven categories; one keyword per brand number."""
     rules: dict[str, list[str]] = {}
     for i in range(300):

@@ -75,9 +75,3 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/staging/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss; never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

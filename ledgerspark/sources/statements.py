@@ -2,7 +2,7 @@
 
 Reading: ``spark.read.text(wholetext=True)`` gives one row per file (files are read in
 parallel, one task per file), ``posexplode(split)`` numbers the physical lines, and a
-quote-aware split turns each line into up to ``MAX_CELLS`` cells (quotes and doubled quotes
+quote-aware split turns each line into its cells (quotes and doubled quotes
 honoured; one physical line = one record, D15). The header of each file is found by ``min(pos)`` over the lines that
 look like a header (a per-file aggregate), then joined back to that file's lines by file.
 
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from ledgerspark.schema import MONEY
 
-MAX_CELLS = 32
-
 # ---- fixed values ----------------------------------------------------------------------
 # Routing keys in configuration order; provider := the key found in the lowercase file name.
 BANK_KEYS = ["amex", "canadiantire", "tdvisa", "hometrust", "wealthsimple"]

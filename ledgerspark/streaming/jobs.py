@@ -6,7 +6,8 @@ T1 statements: a file stream (one row per new file, ``wholetext``) whose micro-b
 T2 events: every micro-batch is merged by event id into the stored table (K5), last one wins.
 T3 sessions: ``foreachBatch`` appends the batch's events to a bucketed event table, then
    recomputes only the touched sessions from their buckets (dynamic partition pruning) and
-   appends the new summaries tagged with the batch id; readers take the latest per session.
+   appends the new summaries tagged with the batch id; readers take the latest per session. An
+   event sent again under another session touches both: the old one is recomputed without it.
 T5 rolling spend: every micro-batch writes its partial sums per day into a partition of its own;
    readers add them up. No watermark, so no row comes too late.
 All sinks live under the shared checkpoint folder; the checkpoint location makes restarts
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators.events import dedupe_events, session_summary
 from ledgerspark.schema import MONEY
+from ledgerspark.sinks.ledger import table_exists
 
 SESSION_BUCKETS = 64
+SUMMARY = ("user_id", "started_at", "ended_at", "duration_seconds", "event_count", "first_page", "last_page",
+           "last_event_at")
 
 
 def _run(writer, trigger_once: bool = True):
@@ -95,6 +99,15 @@ def stream_sessions(spark: SparkSession, source: str, schema, events_path: str,
     ev = reader.load(source)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # one row per event id: of several in a batch the latest
+        batch = (dedupe_events(batch.withColumn("seq", F.struct("ts", "session_id")), "seq").select(*batch.columns)
+                 .withColumn("gone", F.lit(False)))
+        if table_exists(spark, events_path):
+            # an event sent again under another session leaves a mark in each session that held it
+            held = spark.read.parquet(events_path).select("event_id", F.col("session_id").alias("held_by"))
+            moved = (batch.join(held, "event_id").where(~F.col("held_by").eqNullSafe(F.col("session_id"))).distinct()
+                     .withColumn("session_id", F.col("held_by")).withColumn("gone", F.lit(True)).drop("held_by"))
+            batch = batch.unionByName(moved)
         batch = batch.withColumn("session_bucket", _bucket()).withColumn("batch_id", F.lit(batch_id)).persist()
         # a micro-batch is bounded by the trigger: cluster it by bucket so each bucket gets one file
         batch.repartition("session_bucket").write.mode("append").partitionBy("session_bucket").parquet(events_path)
@@ -102,9 +115,15 @@ def stream_sessions(spark: SparkSession, source: str, schema, events_path: str,
         stored = spark.read.parquet(events_path).join(touched, "session_bucket", "left_semi")
         touched_ids = batch.select("session_id").distinct()
         events = stored.join(touched_ids, "session_id", "left_semi")
-        # a replayed batch appends its events again: keep one copy per event id (latest batch)
-        events = dedupe_events(events.withColumnRenamed("batch_id", "seq"), "seq")
-        summary = session_summary(events).withColumn("batch_id", F.lit(batch_id))
+        # a replayed batch appends its events again: keep one copy per session and event id (latest batch)
+        rest = [c for c in events.columns if c not in ("event_id", "session_id", "batch_id")]
+        events = (events.groupBy("session_id", "event_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("e"))
+                  .select("session_id", "event_id", "e.*").where("not gone"))
+        # a session that lost all its events is written with no events, and readers leave it out
+        summary = (touched_ids.alias("t").join(session_summary(events).alias("s"),
+                                               F.expr("t.session_id <=> s.session_id"), "left")
+                   .select("t.session_id", *[F.col(f"s.{c}") for c in SUMMARY], F.lit(batch_id).alias("batch_id"))
+                   .withColumn("event_count", F.coalesce("event_count", F.lit(0).cast("bigint"))))
         summary.write.mode("append").parquet(sessions_path)
         batch.unpersist()
 
@@ -116,7 +135,7 @@ def read_sessions(spark: SparkSession, sessions_path: str) -> DataFrame:
     s = spark.read.parquet(sessions_path)
     cols = [c for c in s.columns if c not in ("session_id", "batch_id")]
     return (s.groupBy("session_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
-            .select("session_id", "s.*"))
+            .select("session_id", "s.*").where("event_count > 0"))
 
 
 # ---- T5 -------------------------------------------------------------------------------

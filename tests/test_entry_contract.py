@@ -40,7 +40,7 @@ def test_every_query_has_an_oracle_or_is_listed():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     core = {q for q in qs if not re.match(r"op\d+_|pipeline$", q)}  # the corpus queries have tests of their own
-    assert core - set(orc) == {"session_sample"}
+    assert core - set(orc) == set()
 
 
 @pytest.fixture(scope="module")
