@@ -1,6 +1,7 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
-``token_pieces`` tokenizes whole texts (byte-level BPE plus an end id) and cuts documents longer
+``token_pieces`` tokenizes whole texts (byte-level BPE, added tokens inside texts included, plus an
+end id) and cuts documents longer
 than the capacity; all pieces but the first are full. Full pieces are sequences by themselves. The
 others are dealt at random to provinces of about ``PROVINCE`` pieces. Every province is packed by
 ``ISLANDS`` islands that hold the same pieces but different populations. A chromosome is a
@@ -18,6 +19,8 @@ any other row, each on its own; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,13 +41,19 @@ _POPULATION = "province bigint, island int, rank int, bins int, waste double, ge
 
 
 def load_encoder(path: str | None = None):
-    """The byte-level BPE vocabulary as ranks: the same ids as its ``tokenizers`` file."""
+    """The byte-level BPE vocabulary as ranks, with the added tokens of the ``tokenizers`` file
+    beside it (if there is one): ``encode(text, allowed_special="all")`` gives the same ids."""
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if os.path.exists(whole := os.path.splitext(path)[0] + ".json"):
+        with open(whole, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -62,7 +71,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
         for b in batches:
             out = ([], [], [], [], [], [])
             for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-                ids = encoder.encode_ordinary(text or "")
+                ids = encoder.encode(text or "", allowed_special="all")
                 ids.append(end_id)
                 ids = np.array(ids, "<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):

@@ -89,6 +89,23 @@ def test_packing_matches_the_tokenizer_and_nears_the_bound(spark):
     assert least <= check_packed(rows, 1024) <= least + 2
 
 
+def test_packing_finds_added_tokens_inside_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerspark.llm.packing import pack_documents
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, e + e, f"x   {e}   y", f"{e}\n", f"é{e}'s", "<|endoftext|", f"<{e}>", f"<|endof{e}text|>", f"1{e}2 " * 700]
+    rows = pack_documents(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)]), with_ids=True).collect()
+    for k, t in enumerate(texts):
+        pieces = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece)
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(bytes(p.ids) for p in pieces), "<u4").tolist() == want + [2]
+        assert (50256 in want) == (e in t)
+
+
 def test_packing_odd_rows(spark):
     from ledgerspark.llm.packing import pack_documents
 
