@@ -3,14 +3,16 @@
 Validated values are permuted within their format by a keyed Feistel network, so equal values get
 equal pseudonyms in every document and different values stay different:
 
-* card numbers (13-19 digits with a right Luhn digit): first digit kept, check digit recomputed
+* card numbers (13-19 digits in whole groups with a right Luhn digit): first digit kept, check digit recomputed
 * phone numbers (North American, and others after +): country part kept, area and exchange codes valid
 * social security numbers (valid area, group, serial) and IPv4 addresses (octets of 0-255)
 * dates (year-month-day, day.month.year, month/day/year or, where the first number is over 12,
   day/month/year): permuted among the days of their 400-year cycle
 * e-mail addresses: letters and digits of the local part; the domain stays
 
-Numbers that fail their check are left as they are. A value is an array of symbols with a radix
+Fixed formats come first, then cards as they are usually written, phones, and cards in any other
+groups; a number that fails a check is tried in shorter groups and by the formats behind, and stays
+as it is when none fits. A value is an array of symbols with a radix
 each; round i adds a keyed hash of one half to the other, symbol by symbol modulo the radix, which
 can be undone whatever the radices. Null text stays null; ids, repeated rows and other columns are untouched.
 """
@@ -29,11 +31,17 @@ IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
         r"(?![0-9A-Za-z]|[./-][0-9])")
-PHONE = (r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
-         r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})(?![0-9A-Za-z])")
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = f"{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{DATE}|{CARD}|{PHONE})"
-ESCAPE, ESCAPED, MARK = "\ue000", "\ue000\ue001", "\ue000\ue002"
+AMERICAN = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+# 8-15 digits up to the end of a group; an American phone behind them is a value of its own
+PHONE = (rf"(?<![0-9A-Za-z+])(?=[0-9+(])(?:{AMERICAN}"
+         rf"|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7}}(?:(?![ .-]{AMERICAN})[ .-]?\(?[0-9]\)?){{0,7}}(?![0-9A-Za-z]))")
+FIXED = f"{EMAIL}|(?=[0-9])(?:{IP}|{SSN}|{DATE})"
+# 13 or more digits in groups, and the digits of a card as it is usually written: an issuer's first digits, and its groups
+RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
+PLAIN_RUN = r"(?<!\+)" + RUN
+ISSUER, USUAL = "^(?:3|4|5[1-5]|6|2[2-7])", "^(?:1[3-9]|4,4,4,4|4,6,[45])$"
+CARD_GROUPS = 19
+ESCAPE, ESCAPED, MARK, CUT = "\ue000", "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,10 +108,51 @@ def _card(m: Column, key: Column) -> Column:
         middle = F.slice(d, F.lit(2), F.size(d) - 2)
         new = F.concat(F.slice(d, 1, 1), feistel(middle, F.transform(middle, lambda x: F.lit(10)), F.concat(key, F.lit("card"))))
         full = let(new, lambda n: F.concat(n, F.array(((10 - _luhn(F.concat(n, F.array(F.lit(0)))) % 10) % 10).cast("int"))))
-        return F.when(_luhn(d) % 10 == 0, _fill(m, "[0-9]", full.cast("array<string>"))).otherwise(m)
+        return _fill(m, "[0-9]", full.cast("array<string>"))
     return let(_digits(m), body)
 
 
+def _cards(run: Column, key: Column, usual: bool) -> Column:
+    """A run of digit groups with the valid cards in it replaced and marked, from left to right.
+    A card takes whole groups: as many as possible, or those of a usual grouping."""
+    digits = lambda t: F.translate(t, " -", "")
+
+    def valid(window, n):
+        def check(groups):
+            number = F.array_join(groups, "")
+            ok = F.length(number).between(13, 19)
+            if usual:
+                shape = F.array_join(F.transform(groups, lambda g: F.length(g).cast("string")), ",")
+                ok = ok & shape.rlike(USUAL) & number.rlike(ISSUER)
+            return F.when(ok, _luhn(_digits(number)) % 10 == 0).otherwise(False)
+        return let(F.slice(window, F.lit(1), n), check)
+
+    def longest(window):
+        fit = F.filter(F.sequence(F.lit(1), F.size(window)), lambda n: valid(window, n))
+        return F.coalesce(F.array_max(fit), F.lit(0))
+
+    def body(tokens):
+        plain = F.transform(tokens, digits)
+        sizes = let(plain, lambda g: F.transform(g, lambda _, i: let(F.slice(g, i + 1, F.lit(CARD_GROUPS)), longest)))
+        # one letter a group: a where no card starts, else the number of its groups; a card's groups start no other
+        codes = F.array_join(F.transform(sizes, lambda n: F.char(n + 97)), "")
+        steps = F.regexp_extract_all(codes, F.lit("|".join(
+            ["a"] + [f"{chr(97 + n)}[a-t]{{{n - 1}}}" for n in range(1, CARD_GROUPS + 1)])), F.lit(0))
+        marks = F.split(F.array_join(F.transform(steps, lambda x: F.when(x == "a", F.lit("-")).otherwise(
+            F.concat(F.lit("S"), F.repeat(F.lit("C"), F.length(x) - 1)))), ""), "(?!$)")
+
+        def placed(m):
+            def token(t, i):
+                ends = (m[i] != "-") & (F.coalesce(F.get(m, i + 1), F.lit("-")) != "C")
+                return F.concat(F.when(m[i] == "S", F.concat(F.regexp_extract(t, "^[ -]?", 0), F.lit(MARK), digits(t))).otherwise(t),
+                                F.when(ends, MARK).otherwise(""))
+            return F.array_join(F.transform(tokens, token), "")
+        return let(marks, placed)
+
+    marked = let(F.split(run, "(?<=[0-9])(?=[ -])"), body)
+    return F.array_join(F.transform(F.split(marked, MARK), lambda p, i: F.when(i % 2 == 1, _card(p, key)).otherwise(p)), MARK)
+
+
 def _phone(m: Column, key: Column) -> Column:
     american = (m.rlike(r"^(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}$")
                 & F.length(F.regexp_replace(m, "[^0-9]", "")).isin(10, 11))
@@ -116,7 +165,7 @@ def _phone(m: Column, key: Column) -> Column:
         new = let(F.struct(low.alias("low"), radices.alias("radices")),
                   lambda w: feistel(w["low"], w["radices"], F.concat(key, F.lit("phone"))))
         out = F.concat(F.slice(d, F.lit(1), lead), F.transform(new, lambda x, k: F.when(code(k), x + 2).otherwise(x)))
-        return F.when(F.size(d).between(8, 15), _fill(m, "[0-9]", out.cast("array<string>"))).otherwise(m)
+        return F.when(F.size(d).between(8, 15), _fill(m, "[0-9]", out.cast("array<string>")))
 
     def start(d):
         n = F.size(d)
@@ -131,7 +180,7 @@ def _ip(m: Column, key: Column) -> Column:
     def body(octets):
         new = feistel(octets, F.array(*[F.lit(256)] * 4), F.concat(key, F.lit("ip")))
         return F.when(F.forall(octets, lambda x: x <= 255) & ~m.rlike(r"(^|\.)0[0-9]"),
-                      F.array_join(new.cast("array<string>"), ".")).otherwise(m)
+                      F.array_join(new.cast("array<string>"), "."))
     return let(_ints(F.split(m, r"\.")), body)
 
 
@@ -142,7 +191,7 @@ def _ssn(m: Column, key: Column) -> Column:
         new = let(F.array(area, p[1] - 1, p[2] - 1), lambda v: feistel(
             v, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.concat(key, F.lit("ssn"))))
         return F.when(right, let(new, lambda n: F.format_string(
-            "%03d-%02d-%04d", F.when(n[0] >= 665, n[0] + 2).otherwise(n[0] + 1), n[1] + 1, n[2] + 1))).otherwise(m)
+            "%03d-%02d-%04d", F.when(n[0] >= 665, n[0] + 2).otherwise(n[0] + 1), n[1] + 1, n[2] + 1)))
     return let(_ints(F.split(m, "-")), body)
 
 
@@ -164,8 +213,8 @@ def _day(m: Column, form: str, key: Column) -> Column:
         new = let(symbols, lambda v: feistel(v, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(key, F.lit("date"))))
         return let(new, lambda n: F.date_format(
             F.date_add(first, (since - place + n[0] * CYCLE_RADICES[1] + n[1]).cast("int")), form))
-    return F.coalesce(let(F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first),
-                          lambda since: F.when(since.isNotNull(), body(since))), m)
+    return let(F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first),
+               lambda since: F.when(since.isNotNull(), body(since)))
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -189,17 +238,29 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def pseudonym(value: Column, key: Column) -> Column:
-    """The pseudonym of one value that matches a format as a whole."""
+    """The pseudonym of a value of a fixed format; null when it fails its check."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (F.when(value.contains("@"), _email(value, key)).when(whole(IP), _ip(value, key))
-            .when(whole(SSN), _ssn(value, key)).when(whole(DATE), _date(value, key))
-            .when(whole(CARD), _card(value, key)).otherwise(_phone(value, key)))
+            .when(whole(SSN), _ssn(value, key)).otherwise(_date(value, key)))
+
+
+def _unmarked(text: Column, pattern: str, body) -> Column:
+    """``text`` with ``body`` of every match of the pattern in the parts outside of marks."""
+    def inside(part):
+        pieces = F.split(F.regexp_replace(part, pattern, f"{CUT}$0{CUT}"), CUT)
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, body(p)).otherwise(p)), "")
+    return F.array_join(F.transform(F.split(text, MARK), lambda p, i: F.when(
+        (i % 2 == 0) & p.rlike("[0-9@]"), inside(p)).otherwise(p)), MARK)
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the values in ``text_col`` replaced. Texts are split at the values, whole."""
+    """``docs`` with the values in ``text_col`` replaced. Every pass replaces and marks the valid
+    values of its formats in what the passes before it left; what fails its check is left to the next."""
+    k = F.lit(key)
+    marked = lambda value, p: F.coalesce(F.concat(F.lit(MARK), value, F.lit(MARK)), p)
     text = F.col(f"`{text_col}`")
-    safe = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED))
-    parts = F.split(F.regexp_replace(safe, ANY, f"{MARK}$0{MARK}"), MARK)
-    new = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, pseudonym(p, F.lit(key))).otherwise(p)), "")
-    return docs.withColumn(text_col, F.replace(new, F.lit(ESCAPED), F.lit(ESCAPE)))
+    docs = docs.withColumn(text_col, F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED)))
+    for pattern, body in ((FIXED, lambda p: marked(pseudonym(p, k), p)), (PLAIN_RUN, lambda p: _cards(p, k, True)),
+                          (PHONE, lambda p: marked(_phone(p, k), p)), (RUN, lambda p: _cards(p, k, False))):
+        docs = docs.withColumn(text_col, _unmarked(text, pattern, body))  # a column each: one would nest too deep to resolve
+    return docs.withColumn(text_col, F.replace(F.replace(text, F.lit(MARK), F.lit("")), F.lit(ESCAPED), F.lit(ESCAPE)))

@@ -250,6 +250,25 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other != got[0]
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    from ledgerspark.llm.pseudonym import pseudonymize
+
+    card, spaced, phone, other = "4111111111111111", "4111 1111 1111 1111", "724-555-7058", "212-555-1234"
+    rows = [f"{card} 737", f"{spaced} 12/27", f"{spaced} 737", f"2024 {spaced}", f"in 2024 {phone}", f"{phone} 4321", f"{phone} {other}",
+            f"{spaced} {phone}", f"{spaced} {spaced}", "3782 822463 10005 2024-01-05", "2024 123-45-6789", "+44 20 7946 0958 2024",
+            f"+44 20 7946 0958 {phone}", f"{card} a", f"{spaced} a", f"{phone} a", f"{other} a", "+44 20 7946 0958 a", "411111 1111 111111 99",
+            "1 2 3 4 5", "4111 1111 1111 1112 7", "9" * 40, "\ue000" + spaced + " 7"]
+    got = [r.text for r in pseudonymize(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), "k").collect()]
+    pc, ps, pp, po, pi = (got[k][:-2] for k in range(13, 18))
+    assert all(a != b for a, b in ((pc, card), (ps, spaced), (pp, phone), (po, other), (pi, "+44 20 7946 0958")))
+    assert got[:9] == [f"{pc} 737", f"{ps} 12/27", f"{ps} 737", f"2024 {ps}", f"in 2024 {pp}", f"{pp} 4321", f"{pp} {po}", f"{ps} {pp}", f"{ps} {ps}"]
+    assert "3782 822463 10005" not in got[9] and "2024-01-05" not in got[9] and luhn(re.sub(r"\D", "", got[9][:17])) % 10 == 0
+    assert got[10].startswith("2024 ") and "123-45-6789" not in got[10]
+    assert got[11:13] == [f"{pi} 2024", f"{pi} {pp}"]
+    assert got[18].endswith(" 99") and "411111 1111 111111" not in got[18]
+    assert got[19:22] == rows[19:22] and got[22] == "\ue000" + ps + " 7"
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from ledgerspark.llm.pseudonym import pseudonymize
 
