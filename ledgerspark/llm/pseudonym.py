@@ -4,10 +4,11 @@ Validated values are permuted within their format by a keyed Feistel network, so
 equal pseudonyms in every document and different values stay different:
 
 * card numbers (13-19 digits in whole groups with a right Luhn digit): first digit kept, check digit recomputed
-* phone numbers (North American, and others after +): country part kept, area and exchange codes valid
+* phone numbers (North American with or without separators, and others of 8-15 digits after +, in
+  groups of any size): country part kept, area and exchange codes valid
 * social security numbers (valid area, group, serial) and IPv4 addresses (octets of 0-255)
-* dates (year-month-day, day.month.year, month/day/year or, where the first number is over 12,
-  day/month/year): permuted among the days of their 400-year cycle
+* dates (year-month-day, also before a time; day.month.year, month/day/year or, where the first
+  number is over 12, day/month/year; days and months of one or two digits): permuted among the days of their 400-year cycle
 * e-mail addresses: letters and digits of the local part; the domain stays
 
 Fixed formats come first, then cards as they are usually written, phones, and cards in any other
@@ -29,9 +30,10 @@ EPOCH, CYCLE, CYCLE_RADICES = "1700-01-01", 146097, (189, 773)  # 189 * 773 days
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
-        r"(?![0-9A-Za-z]|[./-][0-9])")
-AMERICAN = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+DATE = (r"(?<![0-9A-Za-z./-])(?<!\+[0-9]{1,3} )(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+        r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
+        r"(?!(?![Tt][0-9]{2})[0-9A-Za-z]|[./-][0-9])")
+AMERICAN = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
 # 8-15 digits up to the end of a group; an American phone behind them is a value of its own
 PHONE = (rf"(?<![0-9A-Za-z+])(?=[0-9+(])(?:{AMERICAN}"
          rf"|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7}}(?:(?![ .-]{AMERICAN})[ .-]?\(?[0-9]\)?){{0,7}}(?![0-9A-Za-z]))")
@@ -196,25 +198,32 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
-    out = m
-    day_first = F.substring(m, 1, 2).cast("int") > 12
-    for shape, form in (("^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy")):
-        out = F.when(m.rlike(shape), _day(m, form, key)).otherwise(out)
-    return (F.when(m.contains("/") & day_first, _day(m, "dd/MM/yyyy", key))
-            .when(m.contains("/"), _day(m, "MM/dd/yyyy", key)).otherwise(out))
-
-
-def _day(m: Column, form: str, key: Column) -> Column:
+    """Day and month keep their places; one written with one digit gets no leading zero."""
     first = F.lit(EPOCH).cast("date")
+    iso = m.contains("-")
+    day_first = m.contains(".") | (m.contains("/") & (F.substring_index(m, "/", 1).cast("int") > 12))
 
-    def body(since):
-        place = F.pmod(since, F.lit(CYCLE))
+    def body(p):
+        year, one, two = (F.when(iso, p[i]).otherwise(p[j]) for i, j in ((0, 2), (1, 0), (2, 1)))
+        day, month = (F.when(day_first, x).otherwise(y) for x, y in ((one, two), (two, one)))
+        since = F.datediff(F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")),
+                                              F.lit("yyyy-MM-dd")).cast("date"), first)
+        return F.struct(since.alias("since"), F.length(one).alias("one"), F.length(two).alias("two"))
+
+    def moved(v):
+        place = F.pmod(v["since"], F.lit(CYCLE))
         symbols = F.array(F.floor(place / CYCLE_RADICES[1]).cast("int"), (place % CYCLE_RADICES[1]).cast("int"))
-        new = let(symbols, lambda v: feistel(v, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(key, F.lit("date"))))
-        return let(new, lambda n: F.date_format(
-            F.date_add(first, (since - place + n[0] * CYCLE_RADICES[1] + n[1]).cast("int")), form))
-    return let(F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first),
-               lambda since: F.when(since.isNotNull(), body(since)))
+        new = let(symbols, lambda s: feistel(s, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(key, F.lit("date"))))
+        return let(let(new, lambda n: F.date_add(first, (v["since"] - place + n[0] * CYCLE_RADICES[1] + n[1]).cast("int"))), lambda d: written(v, d))
+
+    def written(v, d):
+        part = lambda n, size: F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), size), F.lit("0"))
+        day, month, year = F.dayofmonth(d), F.month(d), F.date_format(d, "yyyy")
+        one, two = (part(F.when(day_first, x).otherwise(y), v[k]) for x, y, k in ((day, month, "one"), (month, day, "two")))
+        return F.when(iso, F.concat_ws("-", year, one, two)).when(
+            m.contains("."), F.concat_ws(".", one, two, year)).otherwise(F.concat_ws("/", one, two, year))
+
+    return let(let(F.split(m, "[./-]"), body), lambda v: F.when(v["since"].isNotNull(), moved(v)))
 
 
 def _email(m: Column, key: Column) -> Column:

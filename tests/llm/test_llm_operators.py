@@ -269,6 +269,23 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert got[19:22] == rows[19:22] and got[22] == "\ue000" + ps + " 7"
 
 
+def test_pseudonyms_of_common_forms(spark):
+    from ledgerspark.llm.pseudonym import pseudonymize
+
+    rows = ["2024-02-29T10:00:00", "1/2/2020", "01/02/2020", "2.1.2020", "2020-1-2", "13/2/2020", "+33 6 12 34 56 78", "+61 4 1234 5678",
+            "7245557058", "17245557058", "+17245557058", "724-555-7058", "2024-02-29", "1245557058", "2024-02-30T10:00:00", "13/13/2020", "2024-02-29Tx"]
+    got = [r.text for r in pseudonymize(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), "k").collect()]
+    assert all(a != b for a, b in zip(got[:13], rows, strict=False)) and got[13:] == rows[13:]
+    assert got[0] == got[12] + "T10:00:00"
+    month, day, year = map(int, got[1].split("/"))
+    assert got[1] == f"{month}/{day}/{year}" and got[2] == f"{month:02d}/{day:02d}/{year}"
+    assert got[3] == f"{day}.{month}.{year}" and got[4] == f"{year}-{month}-{day}"
+    for k in (6, 7):
+        assert got[k][:3] == rows[k][:3] and re.sub(r"\d", "9", got[k]) == re.sub(r"\d", "9", rows[k])
+    plain = re.sub(r"\D", "", got[11])
+    assert got[8:11] == [plain, "1" + plain, "+1" + plain] and re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", plain)
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from ledgerspark.llm.pseudonym import pseudonymize
 
