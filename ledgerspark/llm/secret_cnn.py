@@ -7,13 +7,16 @@ candidates inside base findings are positive, the others negative, and every pos
 with a negative's context, so that the value counts and not only the words before it. Scores are
 calibrated on held-out findings, and each character class has the highest threshold that keeps the wanted recall there.
 
-Training takes the findings of at most ``MAX_DOCS`` documents, chosen by a hash of their id (a
-documented bound); every text is scanned whole. Null text is empty; other columns are ignored;
-repeated rows are reported each; an empty table or one without findings gets no ``net`` spans.
+Training looks for findings in every document. It takes about ``MAX_FINDINGS`` windows of either
+label (a documented bound), chosen by a hash of (document id, start), and at most ``RUN_WINDOWS`` of
+a run, evenly spread; every text is scanned whole. A label with fewer than 4 windows is both trained
+on and calibrated on. Null text is empty; other columns are ignored; repeated rows are reported each;
+only a table in which no candidate lies in a base finding, or every one does, gets no ``net`` spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,7 +35,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 MIN_RUN, LEFT, BODY, RIGHT = 16, 24, 64, 8
 WINDOW = LEFT + BODY + RIGHT
 EMBED, WIDTH, FILTERS = 8, 5, 24
-MAX_DOCS, MAX_FINDINGS = 20_000, 12_000
+MAX_FINDINGS, RUN_WINDOWS = 12_000, 4
 RECALL = 0.98
 _TOKEN = np.zeros(128, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
@@ -179,35 +182,61 @@ def candidates(codes: np.ndarray, base: list[tuple[int, int, int]]) -> list[tupl
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS,
+def labelled(doc, text: str, below: dict[bool, int]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, label) of the candidates whose hash is under the bound of their label."""
+    codes = code_points(text)
+    for s, e, hit in candidates(codes, base_spans(text, codes)):
+        h = hashlib.blake2b(f"{doc}:{s}".encode(), digest_size=4).digest()
+        if int.from_bytes(h, "big") < below[hit]:
+            yield s, e, hit
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_findings: int = MAX_FINDINGS, recall: float = RECALL) -> CharNet | None:
-    """A network from the labelled findings of a bounded sample; None without positives and negatives."""
-    total = docs.count()
-    share = min(1.0, max_docs / max(total, 1))
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(1 << 30))
-    sample = docs.where(h < int(share * (1 << 30))).select(F.col(text_col))
+    """A network from a bounded sample of the labelled findings of all documents; None only if the
+    documents have no positive or no negative one."""
+    texts = docs.select(F.col(id_col), F.col(text_col))
+    everything = {label: 1 << 32 for label in (True, False)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {True: 0, False: 0}
+        for b in batches:
+            for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+                for s, e, hit in labelled(doc, text or "", everything):
+                    n[hit] += min(RUN_WINDOWS, -(-(e - s) // BODY))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["label", "n"])
+
+    total = {r.label: r.n for r in texts.mapInArrow(count, "label boolean, n bigint")
+             .groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if not total.get(True) or not total.get(False):
+        return None
+    below = {label: min(1 << 32, -(-(max_findings << 32) // n)) for label, n in total.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text in b[0].to_pylist():
+            for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
                 text = text or ""
-                codes = code_points(text)
-                for s, e, hit in candidates(codes, base_spans(text, codes)):
-                    rows += [(w.tobytes(), hit) for w in windows(codes, s, e)]
+                codes = None
+                for s, e, hit in labelled(doc, text, below):
+                    codes = code_points(text) if codes is None else codes
+                    w = windows(codes, s, e)
+                    rows += [(w[k].tobytes(), hit) for k in np.linspace(0, len(w) - 1, min(len(w), RUN_WINDOWS)).astype(int)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()),
                                               pa.array([r[1] for r in rows], pa.bool_())], ["window", "label"])
 
-    found = sample.mapInArrow(run, "window binary, label boolean")
-    rows = sorted({(bytes(r.window), r.label) for label in (True, False)
-                   for r in found.where(F.col("label") == label).limit(max_findings).toLocalIterator()})
+    rows = sorted({(bytes(r.window), r.label) for r in texts.mapInArrow(run, "window binary, label boolean").collect()})
     x = np.array([np.frombuffer(w, np.uint8) for w, _ in rows]).reshape(-1, WINDOW)
     y = np.array([label for _, label in rows], np.float32)
-    if len(y) < 50 or not 5 <= y.sum() <= len(y) - 5:
+    if not 0 < y.sum() < len(y):
         return None
     r = np.random.default_rng(1)
-    held = r.random(len(y)) < 0.25
-    good, bad = x[~held & (y == 1)], x[~held & (y == 0)]
+    held, kept = np.zeros(len(y), bool), np.ones(len(y), bool)
+    for label in (0, 1):
+        at = r.permutation(np.flatnonzero(y == label))
+        held[at[:max(1, len(at) // 4)] if len(at) >= 4 else at] = True
+        kept[at[:len(at) // 4]] = False
+    good, bad = x[kept & (y == 1)], x[kept & (y == 0)]
     other = bad[r.integers(len(bad), size=len(good))]
     moved = np.where(good >= 128, good, np.where(other < 128, other, 0))
     xs = np.concatenate([good, moved, bad])

@@ -317,6 +317,19 @@ def test_secret_base_spans_equal_brute_force(spark):
         assert [x for x in g.spans.split(",") if x and not x.startswith("net")] == [x for x in base.split(",") if x]
 
 
+def test_secret_network_is_trained_on_few_and_rare_findings(spark):
+    from ledgerspark.llm.secret_cnn import scan, train
+
+    plain = [(k, f"see the page number_{k}_of_the_long_book", "a") for k in range(30)]
+    rare = [(100, "key " + "0a1b2c3d" * 5, "a"), (101, "key " + "9f8e7d6c" * 5, "a")]
+    docs = docs_of(spark, plain + rare)
+    net = train(docs)
+    assert net is not None and train(docs, max_findings=1) is not None
+    assert (train(docs.repartition(5)).p["out"] == net.p["out"]).all()
+    assert scan(docs, net).count() == 32
+    assert train(docs_of(spark, plain)) is None and train(docs_of(spark, rare)) is None and train(docs_of(spark, [])) is None
+
+
 def test_secret_network_learns_and_is_calibrated():
     from ledgerspark.llm.secret_cnn import CharNet, code_points, windows
 
