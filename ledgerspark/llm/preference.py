@@ -2,9 +2,9 @@
 
 Input: two turn tables ``(pair_id, turn, role, text)``, chosen and rejected. The longest common
 prefix of turns (equal turn, role and text) is rendered once as the prompt; the turns after it
-become the chosen and the rejected completion. The result has one row per rendered turn, so a
-conversation of any length is spread over tasks: no group is gathered. ``loss_start``/``loss_end``
-mark the characters of ``rendered`` that count in the loss (assistant turns of a completion, from
+become the chosen and the rejected completion. The result has one row per rendered turn (the texts
+of a part are its rows in the order of turns; they are not joined), so a conversation of any length
+is spread over tasks: no group is gathered. ``loss_start``/``loss_end`` mark the characters of ``rendered`` that count in the loss (assistant turns of a completion, from
 the content to the end mark); both are 0 where the whole segment is masked.
 
 Null texts and roles count as empty. Null turns come after all others. Of several rows for one
@@ -29,7 +29,7 @@ def _turns(df: DataFrame, side: str) -> DataFrame:
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``(pair_id, part, turn, role, rendered, loss_start, loss_end, prompt_turns)`` with part in
+    """``(pair_id, part, turn, role, rendered, loss_start, loss_end)`` with part in
     prompt, chosen, rejected."""
     both = _turns(chosen, "c").join(_turns(rejected, "r"), ["pair_id", "turn"], "full")
     same = F.col("c").isNotNull() & F.col("r").isNotNull() & (F.col("c") == F.col("r"))
@@ -53,7 +53,8 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def pairs_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from plain conversations: a conversation up to its last assistant
     turn is chosen; the rejected one ends with the last assistant turn of its neighbour (the id
-    with the lowest bit flipped; empty when there is none)."""
+    with the lowest bit flipped; empty when there is none). As in the query's SQL, conversations
+    without an assistant turn, turns behind the last assistant turn and null turns are left out."""
     t = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     last = (t.where(F.col("role") == "assistant").groupBy("pair_id")
             .agg(F.max(F.struct("turn", "text")).alias("last")))

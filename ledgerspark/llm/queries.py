@@ -48,7 +48,8 @@ FROM x
 
 @register(_PREFERENCE_SQL)
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against its neighbour's last answer: prompt, chosen and rejected segments."""
+    """Conversations up to their last assistant turn (those without one give no row, as in the SQL)
+    against their neighbour's last answer: one row per turn of prompt, chosen and rejected."""
     from ledgerspark.llm.preference import pairs_from_conversations, preference_segments
 
     return preference_segments(*pairs_from_conversations(read_table(spark, sf_dir, "conversations")))
