@@ -1,11 +1,13 @@
 """Secret scan: a character convolutional network over every candidate and its context.
 
 Base findings come from three fixed patterns and are always reported. Candidates are all maximal
-runs of ``MIN_RUN`` or more token characters; those that no base finding touches are scored by the
-network and reported as kind ``net`` when they pass. The network is trained on labelled findings:
+runs of ``MIN_RUN`` or more token characters; those that no base finding touches, and what base
+findings leave of the others (again ``MIN_RUN`` or more characters), are scored by the network and reported as kind ``net`` when they pass. The network is trained on labelled findings:
 candidates inside base findings are positive, the others negative, and every positive also appears
 with a negative's context, so that the value counts and not only the words before it. Scores are
-calibrated on held-out findings, and each character class has the highest threshold that keeps the wanted recall there.
+calibrated on held-out findings, and each character class has the highest threshold that keeps the wanted recall there,
+but none below 0.5, and a class with fewer than 20 held-out positives the one of all classes and none
+below 0.9: such floors put precision before the wanted recall.
 
 Training looks for findings in every document. It takes about ``MAX_FINDINGS`` windows of either
 label (a documented bound), chosen by a hash of (document id, start), and at most ``RUN_WINDOWS`` of
@@ -147,7 +149,8 @@ class CharNet:
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
-        """Platt scaling and, for every character class, the highest threshold with that recall."""
+        """Platt scaling and, for every character class, the highest threshold with that recall,
+        raised to the floors of 0.5 and, for classes with fewer than 20 positives, 0.9."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(500):
@@ -182,6 +185,23 @@ def candidates(codes: np.ndarray, base: list[tuple[int, int, int]]) -> list[tupl
     return out
 
 
+def free_parts(codes: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of candidates that no base finding covers, from MIN_RUN characters on."""
+    k = 0
+    reach = sorted((s, e) for s, _, e in base)
+    for s, e in runs(codes, _TOKEN, MIN_RUN):
+        while k < len(reach) and reach[k][1] <= s:
+            k += 1
+        j = k
+        while j < len(reach) and reach[j][0] < e:
+            if reach[j][0] - s >= MIN_RUN:
+                yield s, reach[j][0]
+            s = max(s, reach[j][1])
+            j += 1
+        if e - s >= MIN_RUN:
+            yield s, e
+
+
 def labelled(doc, text: str, below: dict[bool, int]) -> Iterator[tuple[int, int, bool]]:
     """(start, end, label) of the candidates whose hash is under the bound of their label."""
     codes = code_points(text)
@@ -258,11 +278,10 @@ def scan(docs: DataFrame, net: CharNet | None, id_col: str = "doc_id", text_col:
                 base = base_spans(text, codes)
                 spans.append(list(base))
                 if net is not None:
-                    for s, e, hit in candidates(codes, base):
-                        if not hit:
-                            w = windows(codes, s, e)
-                            pending.append(w)
-                            at += [(i, s, e)] * len(w)
+                    for s, e in free_parts(codes, base):
+                        w = windows(codes, s, e)
+                        pending.append(w)
+                        at += [(i, s, e)] * len(w)
             if pending:
                 for i, s, e in sorted({at[j] for j in np.flatnonzero(net.secret(np.concatenate(pending)))}):
                     spans[i].append((s, 3, e))
