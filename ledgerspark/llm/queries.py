@@ -158,3 +158,17 @@ def op10_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerspark.llm.pivots import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@register()
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the tokenization automaton and decoded again."""
+    import public_tokenizers
+
+    from ledgerspark.llm.bpe_automaton import Vocabulary, decode, encode
+
+    vocabulary = Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    both = decode(encode(read_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
