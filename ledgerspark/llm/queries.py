@@ -172,3 +172,17 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@register()
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of byte-level BPE with the piece model, scored by the corpus."""
+    import public_tokenizers
+
+    from ledgerspark.llm.alignment import align, pair_counts, scores
+
+    aligned = align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                    public_tokenizers.path("piece_bpe_32k.model"), keep_groups=False)
+    return scores(aligned, pair_counts(aligned.postings)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"),
+        "document_sum")

@@ -100,3 +100,93 @@ def test_encode_and_decode_odd_rows(spark, vocabulary, library):
     assert encode(docs.limit(0), vocabulary).count() == 0
     odd = spark.createDataFrame([(1, [320, None, 99_999, 49_407]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert [r.text for r in decode(odd, vocabulary).orderBy("doc_id").collect()] == ["a</w> <|endoftext|>", None, ""]
+
+
+# ---- 13 alignment ---------------------------------------------------------------------------
+def brute_alignment(rows):
+    """Rows of (doc_id, text) -> per row its digest, by plain loops over tokens."""
+    import sentencepiece
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    a_tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_tok.encode_special_tokens = True
+    b_tok = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in prints)}
+    a_bytes = lambda i: bytes(byte[c] for c in a_tok.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_tok.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b_tok.is_byte(i) else p.replace("▁", " ").encode()
+
+    count, found = Counter(), []
+    for doc, text in rows:
+        a, b = (a_tok.encode(" " + text, add_special_tokens=False).ids, b_tok.encode(text)) if text else ([], [])
+        if not text or not b"".join(map(a_bytes, a)) == b"".join(map(b_bytes, b)) == (" " + text).encode():
+            found.append((doc, 0, 0, 0, [], ""))
+            continue
+        links, groups, i, j, at_a, at_b, ga, gb = [], [], 0, 0, len(a_bytes(a[0])), len(b_bytes(b[0])), [a[0]], [b[0]]
+        while True:
+            links.append((a[i], b[j]))
+            if at_a == at_b:
+                groups.append((ga, gb))
+                if i + 1 == len(a):
+                    break
+                i, j = i + 1, j + 1
+                at_a, at_b, ga, gb = at_a + len(a_bytes(a[i])), at_b + len(b_bytes(b[j])), [a[i]], [b[j]]
+            elif at_a < at_b:
+                i += 1
+                at_a += len(a_bytes(a[i]))
+                ga.append(a[i])
+            else:
+                j += 1
+                at_b += len(b_bytes(b[j]))
+                gb.append(b[j])
+        count.update(links)
+        text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        found.append((doc, len(a), len(b), len(groups), links, text))
+    most = Counter()
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    return [(d, na, nb, ng, len(ls), sum(count[x] == most[x[1]] for x in ls), sum(count[x] for x in ls),
+             hashlib.sha256(g.encode()).hexdigest() if g else "") for d, na, nb, ng, ls, g in found], count
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_op13_on_the_documents(spark):
+    from ledgerspark.llm.queries import op13_pair_bitmaps
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = [tuple(r) for r in op13_pair_bitmaps(spark, SMALL).select(*COLUMNS).collect()]
+    assert sorted(got) == sorted(brute_alignment(docs)[0])
+
+
+def test_alignment_odd_rows_blocks_and_planes(spark, monkeypatch):
+    """Small blocks, so that pairs meet in several; hot pairs, so that bit sets and planes are used."""
+    from ledgerspark.llm import alignment
+
+    monkeypatch.setattr(alignment, "BLOCK_DOCS", 400)
+    monkeypatch.setattr(alignment, "STEP_BYTES", 3000)
+    rnd = random.Random(3)
+    rows = [(1, None), (2, ""), (3, "Hello  world"), (3, "Hello  world"), (None, "no id"), (4, "lit \u2581 piece"), (5, "<s> </s> <|endoftext|>"),
+            (6, "é中😀\x00 x\t\n"), (7, " " * 20_000 + "z"), (8, "the " * 5000), (9, " "), (10, "\u0301a")]
+    rows += [(100 + k, "the cat sat on the mat " * rnd.choice([1, 1, 2, 3, 9]) + "".join(rnd.choices("ab é?1", k=9))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pair", F.lit("clash")).coalesce(2)
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(docs, *paths)
+    counts = alignment.pair_counts(aligned.postings)
+    out = alignment.scores(aligned, counts).withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
+    want, links = brute_alignment(rows)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r) for r in out.select(*COLUMNS).collect()), key=key) == sorted(want, key=key)
+    assert {(r.a, r.b): r.links for r in counts.collect()} == dict(links)
+    kinds = {(r.plane, r.dense) for r in aligned.postings.select("plane", "dense").distinct().collect()}
+    assert {(0, True), (0, False), (1, False), (2, True)} <= kinds and aligned.postings.select("block").distinct().count() > 3
+    the = counts.orderBy(F.desc("documents")).first()
+    assert the.documents <= len(rows) and the.documents > 1000
+    empty = alignment.align(docs.limit(0), *paths)
+    assert alignment.scores(empty, alignment.pair_counts(empty.postings)).count() == 0
