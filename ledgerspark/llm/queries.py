@@ -186,3 +186,46 @@ def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(aligned, pair_counts(aligned.postings)).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"),
         "document_sum")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebooks by common table expressions, one for each round."""
+    nearest = ("SELECT vec_id, p, min({{'d': list_sum(list_transform(list_zip(v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, 'e': e}}) AS m "
+               "FROM parts JOIN book{k} USING (p) GROUP BY vec_id, p")
+    step = """
+a{k} AS MATERIALIZED (""" + nearest + """),
+s{k} AS (SELECT p, m.e AS e, j, floor(sum(v[j]) / count(*))::BIGINT AS x FROM a{k} JOIN parts USING (vec_id, p), range(1, 17) r(j) GROUP BY 1, 2, 3),
+book{n} AS MATERIALIZED (SELECT p, e, coalesce(u.w, b.w) AS w FROM book{k} b
+  LEFT JOIN (SELECT p, e, list(x ORDER BY j) AS w FROM s{k} GROUP BY 1, 2) u USING (p, e)),"""
+    return ("""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, q[p * 16 + 1 : p * 16 + 16] AS v FROM kept, range(0, 4) r(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS w FROM parts
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256),""" + "".join(step.format(k=k, n=k + 1) for k in range(rounds))
+            + "last AS (" + nearest.format(k=rounds) + """),
+coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM last GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(w, 'string_agg', ','), ',' ORDER BY p, e)) FROM book""" + str(rounds) + """) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)""")
+
+
+@register(_codes_sql())
+def op12_code_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as four codes, with errors and the codebooks' digest."""
+    import hashlib
+
+    from ledgerspark.llm.code_trie import compress
+    from ledgerspark.llm.common import staged
+
+    found = compress(read_table(spark, sf_dir, "embeddings"))
+    codes = found.codes.select("row.vec_id", "row.label", "code", "error", F.size("numbers").alias("length"))
+    by_label = staged(codes.groupBy(F.col("label").alias("__label"))
+                      .agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("__sum")), "trie-labels")
+    digest = F.lit(None).cast("string")
+    for n, book in found.codebooks.items():
+        digest = F.when(F.col("length") == n, hashlib.sha256(",".join(map(str, book.ravel().tolist())).encode()).hexdigest()).otherwise(digest)
+    return codes.join(by_label, codes["label"].eqNullSafe(by_label["__label"])).select(
+        "vec_id", F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"), "error",
+        F.least("__sum", F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("bigint").alias("label_error"),
+        digest.alias("codebooks_sha256"))
