@@ -14,6 +14,7 @@ from ledgerspark.operators.categorize import categorize
 
 KEY = ("date", "description", "merchant", "amount")
 LEDGER_COLS = ("date", "description", "merchant", "amount", "category", "provider")
+ARRIVAL = {"src_ord": "int", "src_key": "string", "seq": "bigint"}  # order of arrival inside a batch
 
 
 def union_sources(*sources: DataFrame, positions: list | None = None) -> DataFrame:
@@ -53,18 +54,19 @@ def prepare_batch(batch: DataFrame, rules) -> DataFrame:
         "amount",
         "category",
         F.when(prov == "", F.lit(None)).otherwise(prov).alias("provider"),
-        *(["seq"] if "seq" in batch.columns else []),
+        *[c for c in ARRIVAL if c in batch.columns],
     )
 
 
 def upsert(existing: DataFrame, batch: DataFrame, rules) -> DataFrame:
     """K1 merge: insert new keys; on a key conflict category := newest, provider :=
-    COALESCE(old, new) (first non-null in sequence). Old rows rank before the batch."""
+    COALESCE(old, new) (first non-null in sequence). Old rows rank before the batch, whose rows
+    rank by those of the ``ARRIVAL`` columns that it has (source, file, line)."""
     new = prepare_batch(batch, rules)
-    if "seq" not in new.columns:
-        new = new.withColumn("seq", F.lit(0).cast("bigint"))
-    old = existing.select(*LEDGER_COLS).withColumn("__rank", F.struct(F.lit(0).alias("s"), F.lit(0).cast("bigint").alias("q")))
-    new = new.select(*LEDGER_COLS, F.struct(F.lit(1).alias("s"), F.col("seq").cast("bigint").alias("q")).alias("__rank"))
+    value = {c: F.col(c).cast(t) if c in new.columns else F.lit(None).cast(t) for c, t in ARRIVAL.items()}
+    old = existing.select(*LEDGER_COLS).withColumn(
+        "__rank", F.struct(F.lit(0).alias("new"), *[F.lit(None).cast(t).alias(c) for c, t in ARRIVAL.items()]))
+    new = new.select(*LEDGER_COLS, F.struct(F.lit(1).alias("new"), *[v.alias(c) for c, v in value.items()]).alias("__rank"))
     both = old.unionByName(new)
     return (both.groupBy(*KEY)
             .agg(F.max_by("category", "__rank").alias("category"),

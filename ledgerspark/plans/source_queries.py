@@ -60,14 +60,17 @@ def _even(col):
     return F.substring(col, -1, 1).isin("0", "2", "4", "6", "8")
 
 
-def write_statements(spark, sf, out: str) -> str:
+PARTS = 64  # tasks that write statements: more than there are statements, so that most are split
+
+
+def write_statements(spark, sf, out: str, whole: bool = False) -> str:
     """Write the order ledger as statement files: TD Visa (no header), Canadian Tire (preamble +
     header), Amex (junk rows, then a header; blank amounts and merchants), Home Trust (header,
     '$'/'(...)' amounts) and Wealthsimple (header), one file per bank and year.
 
     One projection picks each row's bank and formats its line; one aggregate per file emits the
-    preamble/header lines; a hash repartition on the file name gives one task (and one output
-    file) per statement, with lines in order."""
+    preamble/header lines; a range partition by statement and line writes a statement's lines in
+    order over the part files of its folder (``whole``: into one)."""
     led = ledger_orders(spark, sf)
     prov, desc, merch = F.col("provider"), F.col("description"), F.col("merchant")
     amt = F.col("amount").cast("string")
@@ -113,8 +116,8 @@ def write_statements(spark, sf, out: str) -> str:
                    .otherwise(F.array().cast("array<struct<pos:bigint,line:string>>"))).alias("h"))
                .select("file", "h.pos", "h.line"))
     lines = rows.drop("bank").unionByName(headers)
-    # one task per file (hash on file) and lines in order inside it
-    (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
+    dealt = lines.repartition("file") if whole else lines.repartitionByRange(PARTS, "file", "pos")
+    (dealt.sortWithinPartitions("file", "pos").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(out))
     return out
 
@@ -152,3 +155,63 @@ def statement_quarantine(spark, sf):
     """Bad lines of the round trip (D9): the Canadian Tire lines written without an amount."""
     out = write_statements(spark, sf, staging_path(spark, "statements"))
     return load_statements(spark, out, route_on="path").quarantine.select("line", "reason")
+
+
+# A line of every layout with every fault that it can have, by the order's priority.
+_FAULTS = {
+    "amex": ("01", "iso", "PAYMENT RECEIVED", "Date,Description,Amount,Merchant", None, "{d},{desc},{a},{m}"),
+    "canadiantire": ("23", "us", "payment", "Transaction Date,Description,Merchant Name,Amount", None, "{d},{desc},{m},{a}"),
+    "hometrust": ("45", "us", "payment", "Trans Date,Merchant Name,Amount", "Trans Date,Merchant Name,Total", "{d},{desc},{a}"),
+    "tdvisa": ("67", "us", "PAYMENT - THANK YOU", None, None, "{d},{desc},{a},,1000.00"),
+    "wealthsimple": ("89", "iso", "Payment", "transaction_date,type,details,amount", "transaction_date,type,details,total",
+                     "{d},{desc},{m},{a}"),
+}
+
+
+def _fault_sql() -> str:
+    parts = []
+    for bank, (digits, style, payment, header, lacking, line) in _FAULTS.items():
+        date = "strftime(date, '%Y-%m-%d')" if style == "iso" else "strftime(date, '%m/%d/%Y')"
+        pieces = {"d": f"CASE WHEN description = '1-URGENT' THEN 'someday' ELSE {date} END",
+                  "desc": f"CASE WHEN description = '5-LOW' THEN '{payment}' ELSE description END", "m": "merchant",
+                  "a": "CASE WHEN description = '2-HIGH' THEN '1.2.3' ELSE CAST(amount AS VARCHAR) END"}
+        text = "'" + line + "'"
+        for k, v in pieces.items():
+            text = text.replace("{" + k + "}", f"' || {v} || '")
+        no_header = "'no header'" if header and not lacking else "'missing column'" if lacking else "NULL"
+        parts.append(f"""SELECT '{bank}' AS bank, {text} AS line,
+CASE description WHEN '1-URGENT' THEN 'unparsable date' WHEN '2-HIGH' THEN 'unparsable amount'
+     WHEN '4-NOT SPECIFIED' THEN {no_header} WHEN '5-LOW' THEN 'payment not negative' END AS reason
+FROM ledger WHERE right(merchant, 1) IN ('{digits[0]}', '{digits[1]}')""")
+    return "SELECT bank, line, reason FROM (" + "\nUNION ALL ".join(parts) + ") WHERE reason IS NOT NULL"
+
+
+@register("statement_faults", with_(LEDGER_ORDERS) + _fault_sql())
+def statement_faults(spark, sf):
+    """D9 in all five layouts: bad dates, bad amounts, positive payments, statements without a header
+    and headers that lack a column, found in files of any number of blocks."""
+    led = ledger_orders(spark, sf)
+    desc, amount = F.col("description"), F.col("amount").cast("string")
+    out = staging_path(spark, "faults")
+    body, heads = None, []
+    for bank, (digits, style, payment, header, lacking, line) in _FAULTS.items():
+        date = F.date_format("date", "yyyy-MM-dd" if style == "iso" else "MM/dd/yyyy")
+        value = {"d": F.when(desc == "1-URGENT", "someday").otherwise(date),
+                 "desc": F.when(desc == "5-LOW", payment).otherwise(desc), "m": F.col("merchant"),
+                 "a": F.when(desc == "2-HIGH", "1.2.3").otherwise(amount)}
+        cells = [value[c[1:-1]] if c.startswith("{") else F.lit(c) for c in line.split(",")]
+        kind = F.when(desc == "4-NOT SPECIFIED", "b").otherwise("a")
+        rows = led.filter(F.substring("merchant", -1, 1).isin(*digits)).select(
+            F.concat(F.lit(f"{bank}-"), kind, F.date_format("date", "-yyyy")).alias("file"),
+            F.lit(1).alias("pos"), F.concat_ws(",", *cells).alias("line"))
+        body = rows if body is None else body.unionByName(rows)
+        heads += [(f"{bank}-{k}", h) for k, h in (("a", header), ("b", lacking)) if h]
+    files = body.select("file").distinct()
+    head = F.lit(None).cast("string")
+    for start, text in heads:
+        head = F.when(F.col("file").startswith(start), text).otherwise(head)
+    headers = files.select("file", F.lit(0).alias("pos"), head.alias("line")).filter("line is not null")
+    (body.unionByName(headers).repartitionByRange(PARTS, "file", "pos").sortWithinPartitions("file", "pos")
+     .select("file", "line").write.partitionBy("file").text(out))
+    bad = load_statements(spark, out, route_on="path", include_payments=True).quarantine
+    return bad.select(F.regexp_extract("file", r"file=([a-z]+)-", 1).alias("bank"), "line", "reason")

@@ -76,7 +76,7 @@ def stream_sessions(spark, sf):
 @register("stream_import", "WITH rt AS (" + ORACLES["statement_roundtrip"] + f""")
 SELECT date, description, merchant, amount, {_case_sql(UPSERT_RULES)} AS category, provider FROM rt""")
 def stream_import(spark, sf):
-    src = write_statements(spark, sf, staging_path(spark, "import-src"))
+    src = write_statements(spark, sf, staging_path(spark, "import-src"), whole=True)
     ledger = staging_path(spark, "import-ledger")
     jobs.stream_statement_import(spark, src, ledger, staging_path(spark, "import-ck"), UPSERT_RULES,
                                  route_on="path", max_files=24)
@@ -85,4 +85,31 @@ def stream_import(spark, sf):
                       F.col("amount").cast("double").alias("amount"), "category", "provider")
 
 
+@register("stream_import_shared", with_(LEDGER_ORDERS) + """
+SELECT DISTINCT CAST(date AS VARCHAR) AS date, merchant, CAST(amount AS DOUBLE) AS amount,
+       CASE WHEN right(merchant, 1) < '4' THEN 'hometrust' WHEN right(merchant, 1) > '6' THEN 'tdvisa'
+            WHEN year(date) % 2 = 0 THEN 'tdvisa' ELSE 'hometrust' END AS provider
+FROM ledger WHERE provider = 'o'""")
+def stream_import_shared(spark, sf):
+    """T1 where charges occur in the files of two banks: the provider is that of the file whose name
+    comes first (Home Trust in odd years, TD Visa in even ones), whatever the lines' numbers."""
+    led = ledger_orders(spark, sf).filter("provider = 'o'")
+    year, last = F.date_format("date", "yyyy"), F.substring("merchant", -1, 1)
+    even = year % 2 == 0
+    us = F.date_format("date", "MM/dd/yyyy")
+    trust = led.filter(last <= "6").select(
+        F.concat(F.when(even, "b").otherwise("a"), F.lit("-hometrust-"), year).alias("file"), F.lit(1).alias("pos"),
+        F.concat_ws(",", us, "merchant", F.col("amount").cast("string")).alias("line"))
+    visa = led.filter(last >= "4").select(
+        F.concat(F.when(even, "a").otherwise("b"), F.lit("-tdvisa-"), year).alias("file"), F.lit(1).alias("pos"),
+        F.concat_ws(",", us, "merchant", F.col("amount").cast("string"), F.lit(""), F.lit("0")).alias("line"))
+    headers = trust.select("file").distinct().select("file", F.lit(0).alias("pos"), F.lit("Trans Date,Merchant Name,Amount").alias("line"))
+    src, ledger = staging_path(spark, "shared-src"), staging_path(spark, "shared-ledger")
+    (trust.unionByName(visa).unionByName(headers).repartition("file").sortWithinPartitions("file", "pos")
+     .select("file", "line").write.partitionBy("file").text(src))
+    jobs.stream_statement_import(spark, src, ledger, staging_path(spark, "shared-ck"), UPSERT_RULES, route_on="path")
+    return read_ledger(spark, ledger).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "merchant",
+                                             F.col("amount").cast("double").alias("amount"), "provider")
+
+
 assert "statement_roundtrip" in QUERIES

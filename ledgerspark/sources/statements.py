@@ -1,10 +1,16 @@
-"""Statement files (S1-S8): a cell-grid reader plus one column-expression mapping per layout.
+"""Statement files (S1-S8): numbered lines, one header per statement, one mapping per layout.
 
-Reading: ``spark.read.text(wholetext=True)`` gives one row per file (files are read in
-parallel, one task per file), ``posexplode(split)`` numbers the physical lines, and a
-quote-aware split turns each line into its cells (quotes and doubled quotes
-honoured; one physical line = one record, D15). The header of each file is found by ``min(pos)`` over the lines that
-look like a header (a per-file aggregate), then joined back to that file's lines by file.
+Reading: files are read as lines, so a file of any size is split over tasks (``maxPartitionBytes``).
+A line knows its file, the start of its block in the file (``_metadata.file_block_start``) and its
+place among the task's lines. One aggregate over all layouts counts the lines of every block and
+keeps, of each block, the first line that looks like its layout's header; it has one row a block. A
+prefix sum over a statement's blocks then gives every line its number, and the first header of the
+statement the indexes of its columns. Both go back to the lines by (file, block), and one projection
+turns the lines of all layouts into ledger rows: two scans, whatever the number of layouts.
+
+A statement is a file, or a folder of Spark part files (``part-...``) read in name order, of which
+only the first holds the header. Lines are split into cells by a quote-aware split (quotes and
+doubled quotes honoured; one physical line = one record, D15).
 
 Bad rows never abort the import (D9): they go to a quarantine frame ``(file, pos, line,
 reason)``; ``strict=True`` turns them into a job failure with ``raise_error`` instead.
@@ -12,9 +18,10 @@ reason)``; ``strict=True`` turns them into a job failure with ``raise_error`` in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.schema import MONEY
@@ -34,38 +41,39 @@ FREEFORM_DATES = ["yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d", "d MMM yyyy", "MMM d, yy
 # ---------------------------------------------------------------------------------------
 
 
+
 @dataclass
 class LoadResult:
-    rows: DataFrame          # LEDGER columns + provider, file, pos
+    rows: DataFrame          # LEDGER columns + provider, file, pos (the line's number in its statement)
     quarantine: DataFrame    # file, pos, line, reason
     unknown_files: DataFrame | None = None
 
 
-def read_files(spark: SparkSession, path, file_filter=None) -> DataFrame:
-    """(file, value): one row per whole file. ``file_filter`` maps the file-path Column to a
-    predicate; Spark prunes files on ``_metadata`` filters, so unmatched files are not read."""
-    paths = path if isinstance(path, (list, tuple)) else [path]
-    raw = spark.read.text(list(paths), wholetext=True)
-    if file_filter is not None:
-        raw = raw.filter(file_filter(F.col("_metadata.file_path")))
-    return raw.select(F.col("_metadata.file_path").alias("file"), "value")
+_NAME = r"([^/]+)$"
+_PART = r"^(.*)/part-\d[^/]*$"
 
 
 def read_lines(spark: SparkSession, path, file_filter=None) -> DataFrame:
-    """(file, name, pos, line) for every physical line of every file under ``path``."""
-    return lines_of(read_files(spark, path, file_filter))
+    """(file, block, at, line) for every physical line of every file under ``path``. ``file_filter``
+    maps the file-path Column to a predicate; Spark prunes files on it, so others are not read."""
+    paths = path if isinstance(path, (list, tuple)) else [path]
+    raw = spark.read.option("lineSep", "\n").text(list(paths))
+    if file_filter is not None:
+        raw = raw.filter(file_filter(F.col("_metadata.file_path")))
+    return lines_of(raw.select(F.col("_metadata.file_path").alias("file"),
+                               F.col("_metadata.file_block_start").alias("block"), "value"))
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(file, value) rows, one per whole file (batch or a streaming micro-batch) -> lines."""
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    return lines.select("file", name.alias("name"), "pos", "line").filter(F.col("line") != "")
+def lines_of(raw: DataFrame) -> DataFrame:
+    """(file, block, value) rows in file order (a scan or a streaming micro-batch of one) -> lines.
+    ``at`` grows along a block, which one task reads as a whole."""
+    return raw.select("file", "block", F.monotonically_increasing_id().alias("at"),
+                      F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def read_grid(spark: SparkSession, path, file_filter=None) -> DataFrame:
-    """(file, name, pos, line, n_cells, cells array<string>); blank cells are NULL."""
-    return grid_of(read_lines(spark, path, file_filter))
+    """The numbered lines that the layouts' loaders take; ``cells_of`` splits one into cells."""
+    return read_lines(spark, path, file_filter)
 
 
 # a comma followed by an even number of quotes up to the end of the line is a field separator;
@@ -81,18 +89,20 @@ def _unquote(cell: Column) -> Column:
     return F.when(value != "", value)
 
 
-def grid_of(lines: DataFrame) -> DataFrame:
-    """Lines -> cells: one quote-aware split per line, each field unquoted by a single
-    ``transform`` over that split (so the split is never re-evaluated per cell); the field count
-    tells a blank trailing cell from a missing one."""
-    cells = F.transform(F.split("line", _CSV_SPLIT, -1), _unquote)
-    return lines.select("file", "name", "pos", "line", cells.alias("cells")) \
-        .withColumn("n_cells", F.size("cells"))
+def cells_of(line) -> Column:
+    """The cells of a line: one quote-aware split, each field unquoted by a single ``transform``
+    over it; blank cells are NULL, and the number of cells tells a blank one from a missing one."""
+    return F.transform(F.split(line, _CSV_SPLIT, -1), _unquote)
+
+
+def _cell(i: int) -> Column:
+    """The cell under the layout's column ``i`` (NULL where the header lacks it)."""
+    at = F.try_element_at("idx", F.lit(i + 1))
+    return F.when(at > 0, F.try_element_at("cells", at))
 
 
-def _cell(idx: Column) -> Column:
-    """Cell at 1-based ``idx`` of ``cells`` (NULL when idx is 0 / missing)."""
-    return F.when(idx > 0, F.try_element_at("cells", idx))
+def _text(i: int) -> Column:
+    return F.trim(F.coalesce(_cell(i), F.lit("")))
 
 
 def _column_index(header: Column, fragment: str, trim: bool) -> Column:
@@ -104,33 +114,10 @@ def _column_index(header: Column, fragment: str, trim: bool) -> Column:
     return F.when(exact > 0, exact).otherwise(contains).cast("int")
 
 
-def _attach_header(grid: DataFrame, is_header: Column, indexes: dict) -> DataFrame:
-    """Per file: the first header-looking row (``min(pos)``) and the column indexes resolved
-    from it, computed once per file and joined back; rows after the header kept. A file without
-    a header keeps all its rows, with a NULL ``header_pos``, so that it is reported.
-
-    ``is_header`` should be guarded by a cheap test on the raw line so the array functions
-    only run for candidate lines."""
-    headers = (grid.filter(is_header).groupBy("file")
-               .agg(F.min_by(F.struct("pos", "cells"), F.col("pos")).alias("h"))
-               .select("file", F.col("h.pos").alias("header_pos"),
-                       *[fn(F.col("h.cells")).alias(name) for name, fn in indexes.items()]))
-    return grid.join(headers, "file", "left").filter(F.col("header_pos").isNull() | (F.col("pos") > F.col("header_pos")))
-
-
-def _header_fault(*indexes: Column) -> Column:
-    """Why no line of this line's file can be read: its header is missing, or lacks a column."""
-    lacks = indexes[0] == 0
-    for i in indexes[1:]:
-        lacks = lacks | (i == 0)
-    return F.when(F.col("header_pos").isNull(), "no header").when(lacks, "missing column")
-
-
-def _line_has(*words: str) -> Column:
-    low = F.lower(F.col("line"))
-    out = None
+def _line_has(words) -> Column:
+    low, out = F.lower(F.col("line")), F.lit(True)
     for w in words:
-        out = low.contains(w) if out is None else (out & low.contains(w))
+        out = out & low.contains(w)
     return out
 
 
@@ -143,153 +130,241 @@ def _parse_date(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.try_to_date(t, p) for p in patterns])
 
 
-def _finish(rows: DataFrame, provider: str, is_payment: Column, include_payments: bool, strict: bool) -> LoadResult:
-    """Payment rule (P11), validation and quarantine common to every layout."""
-    reason = (F.when(F.col("__bad").isNotNull(), F.col("__bad"))
-              .when(F.col("date").isNull(), F.lit("unparsable date"))
-              .when(F.col("amount").isNull(), F.lit("unparsable amount"))
-              .when(F.lit(include_payments) & is_payment & (F.col("amount") >= 0), F.lit("payment not negative")))
-    tagged = rows.withColumn("__reason", reason).withColumn("__payment", is_payment)
-    if strict:
-        tagged = tagged.withColumn("__check", F.when(F.col("__reason").isNotNull(),
-                                                     F.raise_error(F.concat(F.lit(f"{provider}: "), F.col("__reason"),
-                                                                            F.lit(" in "), F.col("file")))))
-    good = (tagged.filter(F.col("__reason").isNull() & (F.lit(include_payments) | ~F.col("__payment")))
-            .select("date", "description", "merchant", "amount",
-                    F.lit(None).cast("string").alias("category"), F.lit(provider).alias("provider"), "file", "pos"))
-    bad = tagged.filter(F.col("__reason").isNotNull()).select("file", "pos", "line", F.col("__reason").alias("reason"))
-    if strict:
-        # evaluating the check column over every row fails the job on the first bad row
-        good = (tagged.filter((F.lit(include_payments) | ~F.col("__payment")) | F.col("__reason").isNotNull())
-                .select("date", "description", "merchant", "amount", "__check",
-                        F.lit(None).cast("string").alias("category"), F.lit(provider).alias("provider"), "file", "pos")
-                .filter(F.col("__check").isNull()).drop("__check"))
-    return LoadResult(good, bad)
+@dataclass(frozen=True)
+class Layout:
+    """How one bank's lines are read, in Columns over ``line``, ``cells`` and ``idx`` (the header's
+    1-based indexes of the layout's columns, 0: lacking). ``words`` are what a header line contains
+    in lower case; only such lines are tested by ``header`` (cells -> whether it is one)."""
 
+    parse: Callable[[], dict[str, Column]]  # date, description, merchant, amount[, skip]
+    payment: Callable[[], Column]           # P11, over the parsed description
+    words: tuple[str, ...] = ()
+    header: Callable[[Column], Column] | None = None
+    indexes: Callable[[Column], list[Column]] | None = None
+    needed: int = 0                         # the first so many indexes must be found
+    first: bool = False                     # the header is the statement's first line with text
 
-def load_amex(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
-    """header = first row whose cells (lowercase, untrimmed) include date, description and
-    amount; blank amount -> row skipped; blank merchant -> description; payment = 'payment
-    received' anywhere in the description."""
-    lowered = F.transform("cells", lambda c: F.lower(c))
-    exact = (F.array_contains(lowered, "date") & F.array_contains(lowered, "description")
-             & F.array_contains(lowered, "amount"))
-    is_header = F.when(_line_has("date", "description", "amount"), F.coalesce(exact, F.lit(False))).otherwise(False)
-    body = _attach_header(grid, is_header, {
-        f"i_{k}": (lambda h, k=k: _column_index(h, k, False)) for k in ("date", "description", "amount", "merchant")})
-    i_date, i_desc, i_amt, i_merch = (F.col("i_date"), F.col("i_description"), F.col("i_amount"), F.col("i_merchant"))
-    amt_text = F.regexp_replace(F.coalesce(_cell(i_amt), F.lit("")), r"[^0-9.\-]", "")
-    desc = F.trim(F.coalesce(_cell(i_desc), F.lit("")))
-    merch = F.trim(F.coalesce(_cell(F.when(i_merch > 0, i_merch).otherwise(i_desc)), F.lit("")))
-    fault = _header_fault(i_date, i_desc, i_amt)
-    rows = (body.filter(fault.isNotNull() | (amt_text != ""))
-            .select("file", "pos", "line",
-                    _parse_date(_cell(i_date), FREEFORM_DATES).alias("date"), desc.alias("description"),
-                    F.when(merch == "", desc).otherwise(merch).alias("merchant"), _money(amt_text).alias("amount"),
-                    fault.alias("__bad")))
-    return _finish(rows, "amex", F.col("description").rlike(AMEX_PAYMENT), include_payments, strict)
 
+def _exact_names(*names: str):
+    return lambda cells: [F.array_position(cells, n).cast("int") for n in names]
 
-def load_canadiantire(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
-    """header = first row where some trimmed-lowercase cell contains date, some description
-    and some amount (a preamble may precede it); blank amount -> error; payment = 'payment'."""
-    norm = F.transform("cells", lambda c: F.lower(F.trim(c)))
+
+# ---- S1 Amex: the first line whose cells (lowercase, untrimmed) include date, description and
+# amount; blank amount -> row skipped; blank merchant -> description; payment = 'payment received'
+# anywhere in the description
+
+def _amex_header(cells: Column) -> Column:
+    low = F.transform(cells, F.lower)
+    return F.array_contains(low, "date") & F.array_contains(low, "description") & F.array_contains(low, "amount")
+
+
+def _named_indexes(trim: bool):
+    return lambda cells: [_column_index(cells, n, trim) for n in ("date", "description", "amount", "merchant")]
+
+
+def _merchant_or_description() -> Column:
+    return F.when(F.try_element_at("idx", F.lit(4)) > 0, _text(3)).otherwise(_text(1))
+
+
+def _parse_amex() -> dict[str, Column]:
+    amount = F.regexp_replace(F.coalesce(_cell(2), F.lit("")), r"[^0-9.\-]", "")
+    merchant = _merchant_or_description()
+    return {"date": _parse_date(_cell(0), FREEFORM_DATES), "description": _text(1),
+            "merchant": F.when(merchant == "", _text(1)).otherwise(merchant), "amount": _money(amount), "skip": amount == ""}
+
+
+# ---- S2 Canadian Tire: the first line where some trimmed lowercase cell contains date, some
+# description and some amount (a preamble may precede it); blank amount -> error; payment = 'payment'
+
+def _canadiantire_header(cells: Column) -> Column:
+    norm = F.transform(cells, lambda c: F.lower(F.trim(c)))
 
     def has(fragment):
         return F.exists(norm, lambda c: F.coalesce(c.contains(fragment), F.lit(False)))
 
-    exact = has("date") & has("description") & has("amount")
-    is_header = F.when(_line_has("date", "description", "amount"), exact).otherwise(False)
-    body = _attach_header(grid, is_header, {
-        f"i_{k}": (lambda h, k=k: _column_index(h, k, True)) for k in ("date", "description", "amount", "merchant")})
-    i_date, i_desc, i_amt, i_merch = (F.col("i_date"), F.col("i_description"), F.col("i_amount"), F.col("i_merchant"))
-    amt_text = F.regexp_replace(F.coalesce(_cell(i_amt), F.lit("")), r"[^0-9.\-]", "")
-    desc = F.trim(F.coalesce(_cell(i_desc), F.lit("")))
-    merch = F.trim(F.coalesce(_cell(F.when(i_merch > 0, i_merch).otherwise(i_desc)), F.lit("")))
-    rows = body.select("file", "pos", "line", _parse_date(_cell(i_date), FREEFORM_DATES).alias("date"),
-                       desc.alias("description"), merch.alias("merchant"),
-                       _money(F.when(amt_text != "", amt_text)).alias("amount"),
-                       _header_fault(i_date, i_desc, i_amt).alias("__bad"))
-    return _finish(rows, "canadiantire", F.lower(F.col("description")) == CT_PAYMENT, include_payments, strict)
-
-
-def _header_first(grid: DataFrame, indexes: dict) -> DataFrame:
-    """Layouts whose header is the first line of the file; indexes resolved once per file."""
-    first = (grid.groupBy("file").agg(F.min_by(F.struct("pos", "cells"), F.col("pos")).alias("h"))
-             .select("file", F.col("h.pos").alias("header_pos"),
-                     *[fn(F.col("h.cells")).alias(name) for name, fn in indexes.items()]))
-    return grid.join(first, "file", "inner").filter(F.col("pos") > F.col("header_pos"))
+    return has("date") & has("description") & has("amount")
 
 
-def load_hometrust(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
-    """S3: header row 0 with case-sensitive ``Trans Date``, ``Merchant Name``, ``Amount``; date
-    M/d/yyyy; amount keeps digits and '.', '(...)' means negative (a plain minus is lost)."""
-    body = _header_first(grid, {
-        "i_date": lambda h: F.array_position(h, "Trans Date").cast("int"),
-        "i_name": lambda h: F.array_position(h, "Merchant Name").cast("int"),
-        "i_amt": lambda h: F.array_position(h, "Amount").cast("int")})
-    i_date, i_name, i_amt = F.col("i_date"), F.col("i_name"), F.col("i_amt")
-    raw_amt = F.trim(F.coalesce(_cell(i_amt), F.lit("")))
-    digits = F.regexp_replace(raw_amt, r"[^0-9.]", "")
-    negative = raw_amt.contains("(") & raw_amt.contains(")")
+def _parse_canadiantire() -> dict[str, Column]:
+    amount = F.regexp_replace(F.coalesce(_cell(2), F.lit("")), r"[^0-9.\-]", "")
+    return {"date": _parse_date(_cell(0), FREEFORM_DATES), "description": _text(1), "merchant": _merchant_or_description(),
+            "amount": _money(F.when(amount != "", amount))}
+
+
+# ---- S3 Home Trust: first line with case-sensitive ``Trans Date``, ``Merchant Name``, ``Amount``; date
+# M/d/yyyy; amount keeps digits and '.', '(...)' means negative (a plain minus is lost)
+
+def _parse_hometrust() -> dict[str, Column]:
+    raw = _text(2)
+    digits = F.regexp_replace(raw, r"[^0-9.]", "")
     value = _money(F.when(digits != "", digits))
-    name = F.trim(F.coalesce(_cell(i_name), F.lit("")))
-    rows = body.select("file", "pos", "line", F.try_to_date(F.trim(_cell(i_date)), "M/d/yyyy").alias("date"),
-                       name.alias("description"), name.alias("merchant"),
-                       F.when(negative, -value).otherwise(value).alias("amount"),
-                       F.when((i_date == 0) | (i_name == 0) | (i_amt == 0), F.lit("missing column")).alias("__bad"))
-    return _finish(rows, "hometrust", F.lower(F.col("description")).isin(*HOMETRUST_PAYMENTS), include_payments, strict)
+    return {"date": F.try_to_date(F.trim(_cell(0)), "M/d/yyyy"), "description": _text(1), "merchant": _text(1),
+            "amount": F.when(raw.contains("(") & raw.contains(")"), -value).otherwise(value)}
 
 
-def load_tdvisa(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
-    """No header. Lines with < 3 cells are skipped; c0 date M/d/yyyy, c1 description =
-    merchant, c2 amount; when c2 is blank and c3 is not, amount = -abs(c3)."""
-    body = grid.filter(F.col("n_cells") >= 3)
-    c = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")))
-    fallback = (c(2) == "") & (F.col("n_cells") >= 4) & (c(3) != "")
-    raw = F.when(fallback, c(3)).otherwise(c(2))
-    cleaned = F.regexp_replace(raw, r"[^0-9.\-]", "")
+# ---- S4 TD Visa: no header; lines with < 3 cells are skipped; c0 date M/d/yyyy, c1 description =
+# merchant, c2 amount; when c2 is blank and c3 is not, amount = -abs(c3)
+
+def _parse_tdvisa() -> dict[str, Column]:
+    c = [F.trim(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit(""))) for i in range(4)]
+    credit = (c[2] == "") & (F.size("cells") >= 4) & (c[3] != "")
+    cleaned = F.regexp_replace(F.when(credit, c[3]).otherwise(c[2]), r"[^0-9.\-]", "")
     value = _money(F.when(cleaned != "", cleaned))
-    rows = body.select("file", "pos", "line", F.try_to_date(c(0), "M/d/yyyy").alias("date"),
-                       c(1).alias("description"), c(1).alias("merchant"),
-                       F.when(fallback, -F.abs(value)).otherwise(value).alias("amount"),
-                       F.lit(None).cast("string").alias("__bad"))
-    return _finish(rows, "tdvisa", F.lower(F.col("description")) == TDVISA_PAYMENT, include_payments, strict)
+    return {"date": F.try_to_date(c[0], "M/d/yyyy"), "description": c[1], "merchant": c[1],
+            "amount": F.when(credit, -F.abs(value)).otherwise(value), "skip": F.size("cells") < 3}
 
 
-def load_wealthsimple(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
-    """Header row 0 must contain transaction_date, type, details, amount (checked trimmed and
-    lowercased, read by exact name); blank date or amount -> skipped; description = type or
-    details, merchant = details or type; amount parsed as a plain number."""
-    names = ("transaction_date", "type", "details", "amount")
-
-    def has_all(h):
-        norm = F.transform(h, lambda x: F.lower(F.trim(x)))
-        return reduce_and([F.array_contains(norm, n) for n in names])
-
-    specs = {f"i_{n}": (lambda h, n=n: F.array_position(h, n).cast("int")) for n in names}
-    specs["has_all"] = has_all
-    body = _header_first(grid, specs)
-    idx = {n: F.col(f"i_{n}") for n in names}
-    has_all = F.col("has_all")
-    get = lambda n: F.trim(F.coalesce(_cell(idx[n]), F.lit("")))
-    d, typ, det, amt = get("transaction_date"), get("type"), get("details"), get("amount")
+# ---- S5 Wealthsimple: first line must contain transaction_date, type, details, amount (checked trimmed
+# and lowercased, read by exact name); blank date or amount -> skipped; description = type or
+# details, merchant = details or type; amount parsed as a plain number
+
+_WS_NAMES = ("transaction_date", "type", "details", "amount")
+
+
+def _wealthsimple_indexes(cells: Column) -> list[Column]:
+    norm, has_all = F.transform(cells, lambda c: F.lower(F.trim(c))), F.lit(True)
+    for n in _WS_NAMES:
+        has_all = has_all & F.coalesce(F.array_contains(norm, n), F.lit(False))
+    return [F.when(has_all, 1).otherwise(0), *_exact_names(*_WS_NAMES)(cells)]
+
+
+def _parse_wealthsimple() -> dict[str, Column]:
+    d, typ, det, amt = (_text(i) for i in range(1, 5))
     desc = F.when(typ != "", typ).otherwise(det)
-    merch = F.when(det != "", det).when(typ != "", typ).otherwise(desc)
-    rows = (body.filter(~has_all | ((d != "") & (amt != "")))
-            .select("file", "pos", "line", F.try_to_date(d, "yyyy-M-d").alias("date"), desc.alias("description"),
-                    merch.alias("merchant"), _money(amt).alias("amount"),
-                    F.when(~has_all, F.lit("missing column")).alias("__bad")))
-    return _finish(rows, "wealthsimple", F.lower(F.col("description")).isin(*WS_PAYMENTS), include_payments, strict)
-
-
-def reduce_and(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out & c
+    return {"date": F.try_to_date(d, "yyyy-M-d"), "description": desc,
+            "merchant": F.when(det != "", det).when(typ != "", typ).otherwise(desc), "amount": _money(amt),
+            "skip": (d == "") | (amt == "")}
+
+
+def _described(*texts: str):
+    return lambda: F.lower("description").isin(*texts)
+
+
+LAYOUTS: dict[str, Layout] = {
+    "amex": Layout(_parse_amex, lambda: F.col("description").rlike(AMEX_PAYMENT), ("date", "description", "amount"),
+                   _amex_header, _named_indexes(False), 3),
+    "canadiantire": Layout(_parse_canadiantire, _described(CT_PAYMENT), ("date", "description", "amount"),
+                           _canadiantire_header, _named_indexes(True), 3),
+    "tdvisa": Layout(_parse_tdvisa, _described(TDVISA_PAYMENT)),
+    "hometrust": Layout(_parse_hometrust, _described(*HOMETRUST_PAYMENTS), ("trans date", "merchant name", "amount"),
+                        lambda cells: F.lit(True), _exact_names("Trans Date", "Merchant Name", "Amount"), 3, True),
+    "wealthsimple": Layout(_parse_wealthsimple, _described(*WS_PAYMENTS), _WS_NAMES,
+                           lambda cells: F.lit(True), _wealthsimple_indexes, 1, True),
+}
+
+
+def _by_bank(layouts: dict[str, Layout], of) -> Column:
+    """``of(layout)`` for the line's layout; no CASE where there is only one."""
+    out = None
+    for bank, layout in layouts.items():
+        value = of(layout)
+        if len(layouts) == 1:
+            return value
+        out = F.when(F.col("bank") == bank, value) if out is None else out.when(F.col("bank") == bank, value)
     return out
 
 
+def block_table(lines: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
+    """One row per block: its first ``at`` and number of lines, the lines of its statement before it,
+    and the statement's header line (``header_pos``, ``idx``). ``lines``: (bank, statement, file,
+    block, at, line)."""
+    none = F.lit(None).cast("string")
+    header = _by_bank(layouts, lambda x: F.when(
+        _line_has(x.words), F.when(x.header(cells_of("line")), F.col("line"))) if x.header else none)
+    # grouped by what a header-like line is, and by nothing for all others: plain counters per group
+    counted = (lines.withColumn("header", header)
+               .groupBy("bank", "statement", "file", "block", F.when(F.col("header").isNotNull(), F.col("at")).alias("header_at"), "header")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"),
+                    F.min(F.when(F.col("line") != "", F.col("at"))).alias("text")))
+    blocks = counted.groupBy("bank", "statement", "file", "block").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.min("text").alias("text"),
+        F.min(F.when(F.col("header_at").isNotNull(), F.struct("header_at", "header"))).alias("h"))
+    whole = Window.partitionBy("statement")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("before", before)
+    place = lambda at: F.col("before") + at - F.col("first")
+    blocks = (blocks.withColumn("text_pos", F.min(place(F.col("text"))).over(whole))
+              .withColumn("h", F.min(F.when(F.col("h").isNotNull(), F.struct(place(F.col("h.header_at")).alias("pos"),
+                                                                            F.col("h.header").alias("line")))).over(whole)))
+    position = _by_bank(layouts, lambda x: F.col("text_pos") if x.first else F.col("h.pos"))
+    cells = cells_of(F.when(F.col("h.pos") == F.col("header_pos"), F.col("h.line")))
+    index = _by_bank(layouts, lambda x: F.array(*x.indexes(F.col("header_cells"))) if x.indexes else F.array().cast("array<int>"))
+    return (blocks.withColumn("header_pos", position).withColumn("header_cells", cells)
+            .select("file", "block", "first", "n", "before", "header_pos",
+                    F.when(F.col("header_cells").isNotNull(), index).alias("idx")))
+
+
+def _fault(layout: Layout) -> Column:
+    """Why no line of this line's statement can be read: its header is missing, or lacks a column."""
+    if not layout.needed:
+        return F.lit(None).cast("string")
+    lacks = F.col("idx").isNull()
+    for i in range(layout.needed):
+        lacks = lacks | (F.coalesce(F.try_element_at("idx", F.lit(i + 1)), F.lit(0)) == 0)
+    missing = F.when(lacks, "missing column")
+    return missing if layout.first else F.when(F.col("header_pos").isNull(), "no header").otherwise(missing)
+
+
+def _load(lines: DataFrame, layouts: dict[str, Layout], include_payments: bool, strict: bool) -> LoadResult:
+    """All layouts' lines -> ledger rows and quarantine (one projection, P11, validation)."""
+    blocks = block_table(lines, layouts)
+    at = F.col("at") - F.col("first")
+    # a block read by another task than when it was counted would get wrong numbers: fail instead
+    pos = F.when((at >= 0) & (at < F.col("n")), F.col("before") + at).otherwise(
+        F.raise_error(F.lit("a file changed while it was read")).cast("bigint"))
+    body = (lines.join(blocks, ["file", "block"]).filter(F.col("line") != "")
+            .select("bank", "file", pos.cast("int").alias("pos"), "line", cells_of("line").alias("cells"), "idx", "header_pos")
+            .filter(F.col("header_pos").isNull() | (F.col("pos") > F.col("header_pos"))))
+    parsed = {name: layout.parse() for name, layout in layouts.items()}
+    of = {id(layout): parsed[name] for name, layout in layouts.items()}
+    fields = [_by_bank(layouts, lambda x, c=c: of[id(x)][c]).alias(c) for c in ("date", "description", "merchant", "amount")]
+    skip = _by_bank(layouts, lambda x: of[id(x)].get("skip", F.lit(False)))
+    rows = body.select("bank", "file", "pos", "line", *fields, _by_bank(layouts, _fault).alias("__bad"), skip.alias("__skip"))
+    reason = (F.when(F.col("__bad").isNotNull(), F.col("__bad"))
+              .when(F.col("date").isNull(), F.lit("unparsable date"))
+              .when(F.col("amount").isNull(), F.lit("unparsable amount"))
+              .when(F.lit(include_payments) & F.col("__payment") & (F.col("amount") >= 0), F.lit("payment not negative")))
+    tagged = (rows.filter(F.col("__bad").isNotNull() | ~F.coalesce("__skip", F.lit(False)))
+              .withColumn("__payment", _by_bank(layouts, lambda x: x.payment())).withColumn("__reason", reason))
+    kept = F.lit(include_payments) | ~F.col("__payment")
+    ledger = ["date", "description", "merchant", "amount", F.lit(None).cast("string").alias("category"),
+              F.col("bank").alias("provider"), "file", "pos"]
+    if strict:  # evaluating the check column over every row fails the job on the first bad row
+        check = F.when(F.col("__reason").isNotNull(), F.raise_error(F.concat("bank", F.lit(": "), "__reason", F.lit(" in "), "file")))
+        good = (tagged.withColumn("__check", check).filter(kept | F.col("__reason").isNotNull())
+                .select(*ledger, "__check").filter(F.col("__check").isNull()).drop("__check"))
+    else:
+        good = tagged.filter(F.col("__reason").isNull() & kept).select(*ledger)
+    return LoadResult(good, tagged.filter(F.col("__reason").isNotNull()).select(
+        "file", "pos", "line", F.col("__reason").alias("reason")))
+
+
+def load_layout(bank: str, grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    """Every file of ``grid`` (``read_grid``) as a statement of one bank."""
+    lines = grid.withColumn("bank", F.lit(bank)).withColumn("statement", F.col("file"))
+    return _load(lines, {bank: LAYOUTS[bank]}, include_payments, strict)
+
+
+def load_amex(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    return load_layout("amex", grid, include_payments, strict)
+
+
+def load_canadiantire(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    return load_layout("canadiantire", grid, include_payments, strict)
+
+
+def load_hometrust(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    return load_layout("hometrust", grid, include_payments, strict)
+
+
+def load_tdvisa(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    return load_layout("tdvisa", grid, include_payments, strict)
+
+
+def load_wealthsimple(grid: DataFrame, include_payments: bool = False, strict: bool = False) -> LoadResult:
+    return load_layout("wealthsimple", grid, include_payments, strict)
+
+
 LOADERS = {
     "amex": load_amex,
     "canadiantire": load_canadiantire,
@@ -325,38 +400,26 @@ def normalize_statement_name(name: Column) -> Column:
 
 def load_statements(spark: SparkSession, path, bank_keys: list[str] | None = None, include_payments: bool = False,
                     strict: bool = False, route_on: str = "name", grid: DataFrame | None = None) -> LoadResult:
-    """Read every file under ``path`` once as a grid, route each file to its layout, union.
+    """Read every known file under ``path`` once, each line by its file's layout.
 
     ``route_on='path'`` routes on the whole path (useful for folders written by Spark, whose
-    part-file names carry no bank name). ``grid`` lets a streaming micro-batch pass its own."""
+    part-file names carry no bank name) and takes a folder of part files as one statement;
+    ``'files'`` routes the same way but takes each file as a statement. ``grid`` lets a streaming
+    micro-batch pass its own lines."""
     keys = bank_keys or BANK_KEYS
-
-    def routed(col: Column) -> Column:
-        target = col if route_on == "path" else F.regexp_extract(col, r"([^/]+)$", 1)
-        return route(target, keys)
-
-    parts, bad = [], []
-    for bank in keys:
-        if bank not in LOADERS:
-            continue
-        if grid is None:
-            # each layout reads only its own files (file pruning on the path), nothing is cached
-            g = read_grid(spark, path, lambda c, b=bank: F.coalesce(routed(c) == b, F.lit(False)))
-        else:
-            g = grid.filter(F.coalesce(routed(F.col("file")) == bank, F.lit(False)))
-        res = LOADERS[bank](g, include_payments, strict)
-        parts.append(res.rows)
-        bad.append(res.quarantine)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    quarantine = bad[0]
-    for b in bad[1:]:
-        quarantine = quarantine.unionByName(b)
-    if grid is None:
-        files = spark.read.text(path if isinstance(path, (list, tuple)) else [path], wholetext=True) \
-            .select(F.col("_metadata.file_path").alias("file"))
+    layouts = {k: LAYOUTS[k] for k in keys if k in LAYOUTS}
+
+    def routed(file: Column) -> Column:
+        return route(F.regexp_extract(file, _NAME, 1) if route_on == "name" else file, keys)
+
+    known = lambda file: F.coalesce(routed(file).isin(*layouts), F.lit(False))
+    lines = read_lines(spark, path, known) if grid is None else grid.filter(known(F.col("file")))
+    folder = F.regexp_extract("file", _PART, 1)
+    statement = F.when(folder != "", folder).otherwise(F.col("file")) if route_on == "path" else F.col("file")
+    res = _load(lines.withColumn("bank", routed(F.col("file"))).withColumn("statement", statement),
+                layouts, include_payments, strict)
+    if grid is None:  # the files' names alone: their content is not read
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     else:
         files = grid.select("file")
-    unknown = files.filter(routed(F.col("file")).isNull()).distinct()
-    return LoadResult(rows, quarantine, unknown)
+    return LoadResult(res.rows, res.quarantine, files.filter(routed(F.col("file")).isNull()).distinct())

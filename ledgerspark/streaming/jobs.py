@@ -1,8 +1,8 @@
 """T1-T5 on Structured Streaming.
 
-T1 statements: a file stream (one row per new file, ``wholetext``) whose micro-batches go
-   through the batch loaders and the K1 upsert in ``foreachBatch``. K1 is idempotent (a key
-   merge), so a replayed batch after a failure changes nothing.
+T1 statements: a stream of lines (files are split over tasks) whose micro-batches go through the
+   batch loaders and the K1 upsert in ``foreachBatch``, in the order of file and line. K1 is
+   idempotent (a key merge), so a replayed batch after a failure changes nothing.
 T2 events: every micro-batch is merged by event id into the stored table (K5), last one wins.
 T3 sessions: ``foreachBatch`` appends the batch's events to a bucketed event table, then
    recomputes only the touched sessions from their buckets (dynamic partition pruning) and
@@ -38,22 +38,23 @@ def _run(writer, trigger_once: bool = True):
 
 def stream_statement_import(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, rules,
                             bank_keys=None, route_on: str = "name", max_files: int | None = None):
-    """Import every new statement file under ``source`` into the ledger at ``ledger_path``.
-    Lines that can't be read and files of no known layout go to ``<ledger_path>-quarantine``, a
+    """Import every new statement file under ``source`` into the ledger at ``ledger_path``. Rows
+    of a micro-batch arrive in the order of their files' names and lines. Lines that can't be read and files of no known layout go to ``<ledger_path>-quarantine``, a
     partition per micro-batch, so a replay writes them once."""
     from ledgerspark.sinks.ledger import write_upsert
-    from ledgerspark.sources.statements import grid_of, lines_of, load_statements
+    from ledgerspark.sources.statements import lines_of, load_statements
 
-    reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.load(source).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = reader.load(source).select(F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.file_block_start").alias("block"), "value")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        grid = grid_of(lines_of(batch)).persist()  # read by every layout branch, released below
-        res = load_statements(spark, None, bank_keys, route_on=route_on, grid=grid)
+        grid = lines_of(batch).persist()  # read by the header scan, the rows and the quarantine; released below
+        res = load_statements(spark, None, bank_keys, route_on="files" if route_on == "path" else route_on, grid=grid)
         rows = res.rows.select("date", "description", "merchant", "amount", "provider",
-                               F.col("pos").cast("bigint").alias("seq"))
+                               F.col("file").alias("src_key"), F.col("pos").cast("bigint").alias("seq"))
         write_upsert(spark, ledger_path, rows, rules)
         unknown = res.unknown_files.select("file", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("line"),
                                            F.lit("unknown file").alias("reason"))
