@@ -9,11 +9,12 @@ is exact and stays in the JVM.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.sanitize import sanitize_metadata
 from ledgerspark.functions.text import clean_text, normalize_key
+from ledgerspark.session import staging_path
 
 SEARCH_EVENTS = ("search_submitted", "search_zero_results", "search_abandoned")
 NON_FEATURE_EVENTS = ("session_started", "session_ended", "page_view")
@@ -30,11 +31,12 @@ def _first(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*cols) if cols else F.lit(None).cast("string")
 
 
-def normalize_events(raw: DataFrame) -> DataFrame:
-    """camel/snake aliases, defaults (anonymous / interaction / '/'), length limits
-    64/120/80, sanitized metadata (X1), timestamp default now. A missing id becomes a hash of
-    the payload (D11), so a replayed event dedupes instead of getting a fresh random id."""
-    payload = F.to_json(F.struct(*[F.col(c) for c in raw.columns]))
+READING = ("file", "seq", "arrival")  # where an event was read, no part of what was sent
+
+
+def _event_columns(raw: DataFrame) -> DataFrame:
+    """F14 over raw events, with the given time as text (``__given``) beside the parsed one."""
+    payload = F.to_json(F.struct(*[F.col(c) for c in raw.columns if c not in READING]))
     event_id = clean_text(F.coalesce(_first(raw, "eventId", "event_id"), F.sha2(payload, 256)), 64)
     user = clean_text(F.coalesce(_first(raw, "userId", "user_id"), F.lit("anonymous")), 64)
     session = clean_text(F.coalesce(_first(raw, "sessionId", "session_id"),
@@ -43,8 +45,8 @@ def normalize_events(raw: DataFrame) -> DataFrame:
     page = clean_text(F.coalesce(_first(raw, "page"), F.lit("/")), 120)
     comp = _first(raw, "component")
     meta = F.col("metadata").cast("string") if "metadata" in raw.columns else F.lit(None).cast("string")
-    ts_text = clean_text(_first(raw, "ts", "timestamp"), 64)
-    ts = F.coalesce(F.try_to_timestamp(F.regexp_replace(ts_text, "Z$", "+00:00")), F.current_timestamp())
+    given = clean_text(_first(raw, "ts", "timestamp"), 64)
+    parsed = F.try_to_timestamp(F.regexp_replace(given, "Z$", "+00:00"))
     return raw.select(
         event_id.alias("event_id"),
         F.when(user == "", "anonymous").otherwise(user).alias("user_id"),
@@ -52,12 +54,31 @@ def normalize_events(raw: DataFrame) -> DataFrame:
         F.when(etype == "", "interaction").otherwise(etype).alias("event_type"),
         F.when(page == "", "/").otherwise(page).alias("page"),
         F.when(comp.isNotNull(), clean_text(comp, 80)).alias("component"),
-        sanitize_metadata(meta).alias("metadata_json"),
-        ts.alias("ts"),
-        *([F.col("seq")] if "seq" in raw.columns else []),
+        meta.alias("__meta"),
+        F.when(F.coalesce(given, F.lit("")) == "", F.current_timestamp()).otherwise(parsed).alias("ts"),
+        given.alias("__given"),
+        *[F.col(c) for c in READING if c in raw.columns],
     )
 
 
+def normalize_events(raw: DataFrame) -> DataFrame:
+    """camel/snake aliases, defaults (anonymous / interaction / '/'), length limits
+    64/120/80, sanitized metadata (X1), timestamp default now. A missing id becomes a hash of
+    what was sent (D11), wherever it was read, so a replayed event dedupes instead of getting a
+    fresh random id. Events whose time can't be read are in ``rejected_events``."""
+    good = _event_columns(raw).filter("ts is not null")
+    return good.select("event_id", "user_id", "session_id", "event_type", "page", "component",
+                       sanitize_metadata("__meta").alias("metadata_json"), "ts",
+                       *[c for c in good.columns if c in ("seq", "arrival")])
+
+
+def rejected_events(raw: DataFrame) -> DataFrame:
+    """The events of ``raw`` whose time is given but can't be read, with that text and a reason."""
+    bad = _event_columns(raw).filter("ts is null")
+    return bad.select("event_id", "session_id", "event_type", F.col("__given").alias("given_ts"),
+                      F.lit("unparsable timestamp").alias("reason"), *[c for c in bad.columns if c in READING])
+
+
 def dedupe_events(events: DataFrame, order: str = "seq") -> DataFrame:
     """K5: insert-or-replace by ``event_id``: the last by ``order`` wins (partial aggregate)."""
     rest = [c for c in events.columns if c not in ("event_id", order)]
@@ -89,7 +110,8 @@ def session_summary(events: DataFrame) -> DataFrame:
 
 
 def _clamp(limit, default: int) -> int:
-    return max(1, min(int(default if limit is None else limit), 100))
+    """At least one row; without a limit the default, and otherwise as many as the caller asks for."""
+    return max(1, int(default if limit is None else limit))
 
 
 def top_events(events: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -198,17 +220,42 @@ def search_trends(events: DataFrame, limit: int | None = 20) -> DataFrame:
 
 
 def session_flows(events: DataFrame, sessions: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
-    """C14: the latest ``limit`` (<= 100) sessions by last event, each with its events, in long
+    """C14: the latest ``limit`` sessions by last event, each with its events, in long
     form: one row per event, ordered within the flow by (ts, event_id).
 
-    The top-k is a TakeOrderedAndProject; the <= 100-row key set is broadcast (a proven size
-    bound) into one join, replacing the reference's one query per session. The flow stays
+    The top-k is a TakeOrderedAndProject; a key set of up to 100 rows is broadcast (a proven size
+    bound) into one join, instead of one query per session. The flow stays
     long, so no session's events are packed into one value or sorted inside one task.
     """
     sessions = sessions if sessions is not None else session_summary(events)
-    top = sessions.orderBy(F.desc("last_event_at"), F.asc("session_id")).limit(_clamp(limit, 20))
+    limit = _clamp(limit, 20)
+    top = sessions.orderBy(F.desc("last_event_at"), F.asc("session_id")).limit(limit)
     flow = events.select("session_id", "ts", "event_id", "event_type", "page")
-    return flow.join(F.broadcast(top), "session_id", "inner")
+    return flow.join(F.broadcast(top) if limit <= 100 else top, "session_id", "inner")
+
+
+def numbered_flows(events: DataFrame, sessions: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
+    """C14 with the ``position`` (from 1) of every event in its session's flow, and ``page_position`` in
+    the session's list of pages (NULL for an event without a page).
+
+    The events of the chosen sessions are range-partitioned by (session, ts, event_id), so a session of
+    any length is spread over tasks. Each numbers its own rows of a session; a prefix sum over one row
+    per session and task adds what came before."""
+    flow = session_flows(events, sessions, limit)
+    keys = ["session_id", "ts", "event_id"]
+    spread = (flow.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .withColumn("__task", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    path = staging_path(flow.sparkSession, "flows")
+    spread.write.parquet(path)  # written once: rows and counts must see the same tasks
+    spread = flow.sparkSession.read.schema(spread.schema).parquet(path)
+    has_page = (F.coalesce("page", F.lit("")) != "").cast("long")
+    earlier = Window.partitionBy("session_id").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (spread.groupBy("session_id", "__task").agg(F.count(F.lit(1)).alias("rows"), F.sum(has_page).alias("pages"))
+              .select("session_id", "__task", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in ("rows", "pages")]))
+    here = Window.partitionBy("session_id", "__task").orderBy("__at")
+    return spread.join(counts, ["session_id", "__task"]).select(
+        *flow.columns, (F.col("__rows") + F.row_number().over(here)).alias("position"),
+        F.when(has_page == 1, F.col("__pages") + F.sum(has_page).over(here)).alias("page_position"))
 
 
 def sample_sessions(events: DataFrame, rate: float) -> DataFrame:

@@ -9,6 +9,8 @@ from ledgerspark.functions.text import DIGIT_BLOB_PATTERN, clean_text, looks_sen
 from ledgerspark.operators import events as E
 from ledgerspark.plans.registry import register
 from ledgerspark.plans.sqlviews import USAGE_EVENTS, with_
+from ledgerspark.session import staging_path
+from ledgerspark.sources.events import read_event_batches
 from ledgerspark.sources.tables import read_table, usage_events
 
 TS_FMT = E.ISO_MICROS
@@ -195,3 +197,65 @@ SELECT event_id, session_id, event_type FROM usage
 WHERE CAST('0x' || substr(md5(session_id), 1, 7) AS BIGINT) % 10000 < 2500""")
 def session_sample(spark, sf):
     return E.sample_sessions(usage_events(spark, sf), 0.25).select("event_id", "session_id", "event_type")
+
+
+@register("numbered_flows", with_(USAGE_EVENTS, _SESSION_SQL.format(src="usage")) + f"""
+SELECT session_id, event_id, event_type, page, {_ts_sql('ts')},
+       row_number() OVER w AS position,
+       CASE WHEN COALESCE(page, '') <> '' THEN (SUM(CASE WHEN COALESCE(page, '') <> '' THEN 1 ELSE 0 END) OVER w)::BIGINT END AS page_position
+FROM usage WHERE session_id IN (SELECT session_id FROM sess ORDER BY last_event_at DESC, session_id LIMIT 150)
+WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)""")
+def numbered_flows(spark, sf):
+    """C14 with positions, beyond the default limit: the 150 latest sessions."""
+    ev = usage_events(spark, sf)
+    return E.numbered_flows(ev, limit=150).select("session_id", "event_id", "event_type", "page", _ts("ts"),
+                                                  F.col("position").cast("bigint").alias("position"), "page_position")
+
+
+# ---- S12, F14: events as they are posted ---------------------------------------------------
+
+def _posted(spark, sf):
+    """Posted documents, one a line, in two folders of files: the usage events by session, and a fifth of
+    them sent again. Every fifth has no id, aliases alternate, every eleventh has a broken time."""
+    n = F.col("event_id").cast("bigint")
+    ev = usage_events(spark, sf)
+    user, session = F.col("user_id"), F.col("session_id")
+    event = F.struct(
+        F.when(n % 5 != 0, F.col("event_id")).alias("eventId"),
+        F.when(n % 3 == 0, user).alias("userId"), F.when(n % 3 != 0, user).alias("user_id"),
+        F.when(n % 2 == 0, session).alias("sessionId"), F.when(n % 2 != 0, session).alias("session_id"),
+        F.col("event_type").alias("eventType"), "page", "component",
+        F.when(n % 11 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("ts"))
+    doc = F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("value")
+    path = staging_path(spark, "posted")
+    ev.groupBy("session_id").agg(doc).select("value").write.text(f"{path}/first")
+    again = ev.filter(n % 5 == 0).groupBy("user_id").agg(doc).select("value")
+    again.unionByName(spark.createDataFrame([('{"events": {}}',), ("no json",)], "value string")).write.text(f"{path}/again")
+    raw, rejected = read_event_batches(spark, [f"{path}/first", f"{path}/again"], lines=True)
+    return raw, rejected
+
+
+@register("normalize_events", with_(USAGE_EVENTS) + f"""
+SELECT DISTINCT CASE WHEN CAST(event_id AS BIGINT) % 5 = 0 THEN 'hashed' ELSE event_id END AS event_id,
+       user_id, session_id, event_type, page, component, {_ts_sql('ts')}
+FROM usage WHERE CAST(event_id AS BIGINT) % 11 <> 0""")
+def normalize_events(spark, sf):
+    """An event without an id that is sent twice, in two files, is one event."""
+    events = E.dedupe_events(E.normalize_events(_posted(spark, sf)[0]))
+    hashed = F.length("event_id") == 64
+    return events.select(F.when(hashed, "hashed").otherwise(F.col("event_id")).alias("event_id"), "user_id", "session_id",
+                         "event_type", "page", "component", _ts("ts"))
+
+
+@register("event_quarantine", with_(USAGE_EVENTS) + """
+SELECT session_id, event_type, 'not a time' AS given_ts, 'unparsable timestamp' AS reason
+FROM usage WHERE CAST(event_id AS BIGINT) % 11 = 0
+UNION ALL SELECT session_id, event_type, 'not a time', 'unparsable timestamp'
+FROM usage WHERE CAST(event_id AS BIGINT) % 55 = 0
+UNION ALL SELECT NULL, NULL, NULL, 'events must be a list' FROM range(2)""")
+def event_quarantine(spark, sf):
+    """What can't be taken in: events with a broken time, and documents without a list of events."""
+    raw, rejected = _posted(spark, sf)
+    none = F.lit(None).cast("string")
+    return E.rejected_events(raw).select("session_id", "event_type", "given_ts", "reason").unionByName(
+        rejected.select(none.alias("session_id"), none.alias("event_type"), none.alias("given_ts"), "reason"))

@@ -46,6 +46,40 @@ def stream_event_dedupe(spark, sf):
                                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
+@register("stream_event_corrections", with_(USAGE_EVENTS) + """
+SELECT run, event_id, CASE WHEN CAST(event_id AS BIGINT) % 5 = 0 THEN '/corrected' ELSE page END AS page,
+       strftime(CASE WHEN CAST(event_id AS BIGINT) % 5 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM usage, (VALUES ('one batch'), ('many batches')) r(run)""")
+def stream_event_corrections(spark, sf):
+    """T2 with events that are sent again with an earlier time: the version sent last stays, whether
+    both versions come in one micro-batch or in two."""
+    n = F.col("event_id").cast("bigint")
+    ev = usage_events(spark, sf).select("event_id", "page", "ts")
+    src = staging_path(spark, "corrections-src")
+    ev.repartition(4).write.parquet(src)
+    later = ev.filter(n % 5 == 0).select("event_id", F.lit("/corrected").alias("page"), (F.col("ts") - F.expr("INTERVAL 3 DAY")).alias("ts"))
+    later.repartition(2).write.mode("append").parquet(src)
+    out = None
+    for run, files in (("one batch", None), ("many batches", 2)):
+        sink = staging_path(spark, "corrections-sink")
+        jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, staging_path(spark, "corrections-ck"), files)
+        rows = spark.read.parquet(sink).select(F.lit(run).alias("run"), "event_id", "page",
+                                               F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("stream_month_spend", with_(LEDGER_ORDERS) + """
+SELECT strftime(date, '%Y-%m') AS month, COALESCE(category, 'uncategorized') AS category,
+       CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS transactions
+FROM ledger GROUP BY 1, 2""")
+def stream_month_spend(spark, sf):
+    src = _stage(ledger_orders(spark, sf).select("date", "category", "amount"), spark, "months-src", n_files=4)
+    sink = staging_path(spark, "months-sink")
+    jobs.stream_month_spend(spark, src, spark.read.parquet(src).schema, sink, staging_path(spark, "months-ck"), max_files=1)
+    return jobs.read_spend_totals(spark, sink).select("month", "category", F.col("total").cast("double").alias("total"), "transactions")
+
+
 @register("event_upsert_stored", with_(USAGE_EVENTS) + """
 SELECT DISTINCT event_id, session_id, event_type,
        strftime(CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN ts + INTERVAL 40 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts

@@ -2,7 +2,7 @@
 
 K1 rewrites only the months a batch touches: the old rows of those months are selected by a
 semi-join on the ``month`` partition column (dynamic partition pruning reads nothing else),
-merged with the batch by key, and swapped in with dynamic partition overwrite.
+merged with the batch by key, and swapped in with dynamic partition overwrite (``sinks/swap.py``).
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.dedupe import KEY, LEDGER_COLS, dedupe_last, upsert
 from ledgerspark.schema import LEDGER
 from ledgerspark.session import staging_path
+from ledgerspark.sinks import swap
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a stored table is there. Only its absence counts as a first write; every other
     problem with it surfaces when it is read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return swap.exists(spark, path)
 
 
 def _with_month(df: DataFrame) -> DataFrame:
@@ -39,22 +39,24 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> None:
     """K1: merge ``batch`` into the month-partitioned ledger at ``path``."""
     batch = batch.persist()
+    if batch.isEmpty():  # a table without a row could not be read again
+        batch.unpersist()
+        return
     months = _with_month(batch).select("month").distinct()
     if not table_exists(spark, path):
         touched_old = spark.createDataFrame([], LEDGER)
     else:
+        swap.recover(spark, path)
         stored = spark.read.option("mergeSchema", "true").parquet(path)  # an unreadable table fails the job
         if "provider" not in stored.columns:
             stored = stored.withColumn("provider", F.lit(None).cast("string"))
         # semi-join on the partition column: dynamic partition pruning reads touched months only
         touched_old = stored.join(months, "month", "left_semi").select(*LEDGER_COLS)
-    # The merged months are written aside first: the table is no input of the swap, and the copy
-    # stays, so a crash during the swap loses nothing. The rebalance splits large months over
-    # tasks and keeps small ones in one file each.
+    # The merged months are written aside first: the table is no input of the swap, and a swap that is
+    # interrupted is finished from that copy.
     aside = staging_path(spark, "ledger-upsert")
     _with_month(upsert(touched_old, batch, rules)).write.parquet(aside)
-    (spark.read.parquet(aside).hint("rebalance", "month")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
+    swap.swap_in(spark, path, aside, "month")
     batch.unpersist()
 
 

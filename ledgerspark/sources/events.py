@@ -16,9 +16,10 @@ RAW_FIELDS = ["eventId", "event_id", "userId", "user_id", "sessionId", "session_
 RAW_EVENT = "struct<" + ", ".join(f"`{f}`: string" for f in RAW_FIELDS) + ">"
 
 
-def read_event_batches(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """-> (raw events with RAW_FIELDS + file + seq, rejected files)."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def read_event_batches(spark: SparkSession, path, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """-> (raw events with RAW_FIELDS + file + seq, rejected documents). One document a file, or with
+    ``lines`` one a line, in files that are split over tasks."""
+    docs = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
     return events_of(docs)
 
 

@@ -3,13 +3,16 @@
 T1 statements: a stream of lines (files are split over tasks) whose micro-batches go through the
    batch loaders and the K1 upsert in ``foreachBatch``, in the order of file and line. K1 is
    idempotent (a key merge), so a replayed batch after a failure changes nothing.
-T2 events: every micro-batch is merged by event id into the stored table (K5), last one wins.
+T2 events: every micro-batch is merged by event id into the stored table (K5). Events arrive in the
+   order of their files (time of writing, then name) and rows; that order is stored with them, so
+   the last one sent wins however files fall into micro-batches.
 T3 sessions: ``foreachBatch`` appends the batch's events to a bucketed event table, then
    recomputes only the touched sessions from their buckets (dynamic partition pruning) and
    appends the new summaries tagged with the batch id; readers take the latest per session. An
    event sent again under another session touches both: the old one is recomputed without it.
-T5 rolling spend: every micro-batch writes its partial sums per day into a partition of its own;
-   readers add them up. No watermark, so no row comes too late.
+T5 rolling spend: every micro-batch writes its partial sums into a partition of its own; readers add
+   them up. No watermark, so no row comes too late. Every ``COMPACT_EVERY`` batches the partials are
+   added up into one base table and go, so that few partitions are stored at any time.
 All sinks live under the shared checkpoint folder; the checkpoint location makes restarts
 resume exactly where the last committed batch ended.
 """
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators.events import dedupe_events, session_summary
 from ledgerspark.schema import MONEY
+from ledgerspark.operators.filters import category_or_uncategorized
 from ledgerspark.sinks.ledger import table_exists
+from ledgerspark.sinks.swap import delete, exists
 
 SESSION_BUCKETS = 64
 SUMMARY = ("user_id", "started_at", "ended_at", "duration_seconds", "event_count", "first_page", "last_page",
@@ -77,10 +82,12 @@ def stream_event_dedupe(spark: SparkSession, source: str, schema, sink: str, che
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    ev = reader.load(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.row_index").alias("row"))
+    ev = reader.load(source).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", arrival)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_events(spark, sink, batch.withColumn("seq", F.unix_micros("ts")))
+        write_events(spark, sink, batch)
 
     return _run(ev.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
 
@@ -141,24 +148,79 @@ def read_sessions(spark: SparkSession, sessions_path: str) -> DataFrame:
 
 # ---- T5 -------------------------------------------------------------------------------
 
-def stream_daily_spend(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                       max_files: int | None = None):
-    """T5: spend per day, kept as one partial sum per day and micro-batch. A replayed batch
-    overwrites its own partition and no row comes too late, since readers add up all batches."""
+COMPACT_EVERY = 16  # micro-batches
+
+
+def stream_spend_totals(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, by: dict,
+                        max_files: int | None = None):
+    """T5: total and number of transactions by the Columns of ``by`` (name -> Column over the source),
+    kept as one partial per group and micro-batch. A replayed batch overwrites its own partition and
+    no row comes too late, since readers add up all partials.
+
+    ``sink/partials/batch_id=n`` holds the partials, ``sink/base-n`` the sums of all batches up to n. A base
+    counts once it is complete (``_SUCCESS``); until then, and for batches behind it, readers take the
+    partials, so a crash at any step loses and doubles nothing."""
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(F.col("date").alias("day"))
+        (batch.groupBy(*[c.alias(n) for n, c in by.items()])
          .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions"))
          .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{sink}/partials"))
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1 and _base(spark, sink) < batch_id:
+            read_spend_totals(spark, sink).write.mode("overwrite").parquet(f"{sink}/base-{batch_id}")
+            for folder in _folders(spark, f"{sink}/partials"):
+                if folder.startswith("batch_id=") and int(folder[9:]) <= batch_id:
+                    delete(spark, f"{sink}/partials/{folder}")
+            for folder in _folders(spark, sink):
+                if folder.startswith("base-") and int(folder[5:]) < batch_id:
+                    delete(spark, f"{sink}/{folder}")
 
     return _run(reader.load(source).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint))
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder: a few partitions and bases."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def _base(spark: SparkSession, sink: str) -> int:
+    """The batch up to which a complete base holds the sums, -1 without one."""
+    return max((int(f[5:]) for f in _folders(spark, sink) if f.startswith("base-") and exists(spark, f"{sink}/{f}/_SUCCESS")),
+               default=-1)
+
+
+def read_spend_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """The groups' totals over all micro-batches."""
+    base = _base(spark, sink)
+    parts = [f"{sink}/partials/{f}" for f in _folders(spark, f"{sink}/partials")
+             if f.startswith("batch_id=") and int(f[9:]) > base]
+    rows = None
+    for paths in ([f"{sink}/base-{base}"] if base >= 0 else [], parts):
+        if paths:
+            part = spark.read.parquet(*paths)
+            rows = part if rows is None else rows.unionByName(part)
+    keys = [c for c in rows.columns if c not in ("total", "transactions", "batch_id")]
+    return rows.groupBy(*keys).agg(F.sum("total").cast(MONEY).alias("total"), F.sum("transactions").alias("transactions"))
+
+
+def stream_daily_spend(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                       max_files: int | None = None):
+    """T5 by day."""
+    return stream_spend_totals(spark, source, schema, sink, checkpoint, {"day": F.col("date")}, max_files)
+
+
 def read_daily_spend(spark: SparkSession, sink: str) -> DataFrame:
     """Day totals over all micro-batches."""
-    return (spark.read.parquet(sink).groupBy("day")
-            .agg(F.sum("total").cast(MONEY).alias("total"), F.sum("transactions").alias("transactions")))
+    return read_spend_totals(spark, sink)
+
+
+def stream_month_spend(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                       max_files: int | None = None):
+    """T5 by month and category (A2), blank categories as ``uncategorized``."""
+    by = {"month": F.date_format("date", "yyyy-MM"), "category": category_or_uncategorized()}
+    return stream_spend_totals(spark, source, schema, sink, checkpoint, by, max_files)
