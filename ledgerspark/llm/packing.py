@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +37,16 @@ CAPACITY, END_ID = 1024, 2
 PROVINCE, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4000, 2, 2, 4, 5, 2
 POOR = 0.97  # bins filled less are dissolved after the first round
 LEVEL_BIT = 60
+LONG_RUN = 5000  # characters of white space
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _POPULATION = "province bigint, island int, rank int, bins int, waste double, genes binary"
 
 
 def load_encoder(path: str | None = None):
-    """The byte-level BPE vocabulary as ranks, with the added tokens of the ``tokenizers`` file
-    beside it (if there is one): ``encode(text, allowed_special="all")`` gives the same ids."""
+    """Text -> ids of the byte-level BPE vocabulary given as ranks, with the added tokens of the
+    ``tokenizers`` file beside it (if there is one), whose ids these are. Very long runs of white space
+    exceed the pattern engine's stack, so texts with one are encoded by that file."""
     import public_tokenizers
     import tiktoken
 
@@ -53,7 +57,19 @@ def load_encoder(path: str | None = None):
     if os.path.exists(whole := os.path.splitext(path)[0] + ".json"):
         with open(whole, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    exact = []
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not _LONG_RUN.search(text) or not os.path.exists(whole):
+            return fast.encode(text, allowed_special="all")
+        if not exact:
+            from tokenizers import Tokenizer
+
+            exact.append(Tokenizer.from_file(whole))
+        return exact[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -67,11 +83,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` for every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(ranks_path)
+        encode = load_encoder(ranks_path)
         for b in batches:
             out = ([], [], [], [], [], [])
             for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-                ids = encoder.encode(text or "", allowed_special="all")
+                ids = encode(text or "")
                 ids.append(end_id)
                 ids = np.array(ids, "<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):

@@ -8,8 +8,8 @@ shares more pivots is counted only in the list of its smallest shared ones. List
 blocks, so a task holds two blocks of a hot list at most. Equal vectors are one node.
 
 Null, zero and non-finite vectors link with nothing; null ids and repeated rows are rows like
-others (links to equal vectors count each); vectors of another length than the pivots link with nothing; other columns are
-ignored; an empty table gives an empty result.
+others (links to equal vectors count each); vectors of every length have pivots and lists of their
+own; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -164,6 +164,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     shared: int = SHARED) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    length = F.size(F.coalesce("embedding", F.array().cast("array<double>")))
+    counts = v.groupBy(length.alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").collect()  # a row a length
+    lengths = [r.n for r in counts if r.n] or [0]
+    out = None
+    for n in lengths:  # vectors of different lengths never link; empty ones go with the first
+        mine = v if len(lengths) == 1 else v.where((length == n) | (length == 0) if n == lengths[0] else length == n)
+        found = _of_one_length(mine, min_cosine, pivots, nearest, shared)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _of_one_length(v: DataFrame, min_cosine: float, pivots: int, nearest: int, shared: int) -> DataFrame:
     reference = pick_pivots(sample_vectors(v), pivots)
     rows = staged(v.mapInArrow(_describe(reference, nearest), "vec_id bigint, vec binary, nearest binary"), "piv-rows")
     usable = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL")

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 EPOCH, CYCLE, CYCLE_RADICES = "1700-01-01", 146097, (189, 773)  # 189 * 773 days are 400 years
+# Years 1-99 and 9700-9999 are ranges of their own, so that years keep four digits: days from the
+# epoch to their first day, and radices whose product is their number of days.
+FIRST_YEARS, FIRST_RADICES = -620547, (51, 709)
+LAST_YEARS, LAST_RADICES = 2921940, (276, 397)
 
 # The formats, in order of preference at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -211,10 +215,15 @@ def _date(m: Column, key: Column) -> Column:
         return F.struct(since.alias("since"), F.length(one).alias("one"), F.length(two).alias("two"))
 
     def moved(v):
-        place = F.pmod(v["since"], F.lit(CYCLE))
-        symbols = F.array(F.floor(place / CYCLE_RADICES[1]).cast("int"), (place % CYCLE_RADICES[1]).cast("int"))
-        new = let(symbols, lambda s: feistel(s, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(key, F.lit("date"))))
-        return let(let(new, lambda n: F.date_add(first, (v["since"] - place + n[0] * CYCLE_RADICES[1] + n[1]).cast("int"))), lambda d: written(v, d))
+        since = v["since"]
+        last, early = since >= LAST_YEARS, since < FIRST_YEARS + FIRST_RADICES[0] * FIRST_RADICES[1]
+        of = lambda a, b, c: F.when(last, a).when(early, b).otherwise(c)
+        start = of(F.lit(LAST_YEARS), F.lit(FIRST_YEARS), since - F.pmod(since, F.lit(CYCLE)))
+        low, high = (of(*map(F.lit, x)) for x in zip(LAST_RADICES, FIRST_RADICES, CYCLE_RADICES, strict=True))
+        place = since - start
+        symbols = F.array(F.floor(place / high).cast("int"), (place % high).cast("int"))
+        new = let(symbols, lambda s: feistel(s, F.array(low, high), F.concat(key, F.lit("date"))))
+        return let(let(new, lambda n: F.date_add(first, (start + n[0] * high + n[1]).cast("int"))), lambda d: written(v, d))
 
     def written(v, d):
         part = lambda n, size: F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), size), F.lit("0"))

@@ -472,3 +472,49 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, map(tuple, want)))
+
+
+# ---- edges of formats, lengths and runs -------------------------------------------------------
+def test_packing_encodes_very_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerspark.llm.packing import pack_documents
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mixed = "".join(" \n"[(k * 7919 >> 3) % 2] for k in range(500_000))
+    texts = [" " * 3_000_000, "\n" * 1_000_000, mixed, "a" + " " * 6000 + "<|endoftext|>b", "x" * 300_000]
+    rows = pack_documents(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)]), with_ids=True).collect()
+    for k, t in enumerate(texts):
+        pieces = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece)
+        assert np.frombuffer(b"".join(bytes(p.ids) for p in pieces), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_near_dedup_links_every_length(spark):
+    from ledgerspark.llm.pivots import near_duplicates
+
+    rng = np.random.default_rng(5)
+    vectors = {}
+    for n, count in ((8, 120), (4, 60), (2, 1)):
+        base = rng.normal(size=(count // 3 + 1, n))
+        for k in range(count):
+            vectors[len(vectors)] = base[k % len(base)] + rng.normal(scale=0.05, size=n)
+    vectors[500] = vectors[501] = np.array([3.0, -1.0])
+    rows = [(i, [float(x) for x in v]) for i, v in vectors.items()] + [(900, None), (901, []), (902, [0.0, 0.0])]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = {i: {j for j, w in vectors.items() if j != i and len(w) == len(v)
+                and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95} for i, v in vectors.items()}
+    found = sum(got[i].n_links for i in vectors)
+    assert got[500].n_links >= 1 and got[501].component_id == got[500].component_id
+    assert all(got[i].n_links <= len(near[i]) for i in vectors) and found >= 0.98 * sum(map(len, near.values()))
+    assert [got[i].n_links for i in (900, 901, 902)] == [0, 0, 0] and got[901].kept
+
+
+def test_dates_of_all_years_keep_their_format(spark):
+    from ledgerspark.llm.pseudonym import pseudonymize
+
+    days = [f"{y:04d}-{m:02d}-{d:02d}" for y in (*range(1, 102), *range(9698, 10000)) for m, d in ((1, 1), (2, 28), (7, 15), (12, 31))]
+    out = pseudonymize(docs_of(spark, [(k, t, "a") for k, t in enumerate(days)]), key="k").collect()
+    new = [r.text for r in sorted(out, key=lambda r: r.doc_id)]
+    assert all(re.fullmatch(r"(?!0000)\d{4}-\d\d-\d\d", t) for t in new) and len(set(new)) == len(days)
+    assert all((a < "0100") == (b < "0100") and (a >= "9700") == (b >= "9700") for a, b in zip(days, new))
