@@ -230,6 +230,27 @@ def categorize_many_rules(spark, sf):
     return df.groupBy("category", "merchant").agg(F.count(F.lit(1)).alias("transactions"))
 
 
+MANY_KEYWORDS = 50_000
+
+
+def _customer_rules() -> list[tuple[str, list[str]]]:
+    """50,000 keywords, one a customer number, in 97 categories; a first rule overlaps with them."""
+    by = [(f"cat-{g}", [f"customer#{k:09d}" for k in range(g, MANY_KEYWORDS, 97)]) for g in range(97)]
+    return [("vip", ["0077", "URGENT"]), *by, ("rest", ["5-low"])]
+
+
+@register("categorize_50k_rules", with_(LEDGER_ORDERS) + f"""
+SELECT CASE WHEN contains(merchant, '0077') OR contains(lower(description), 'urgent') THEN 'vip'
+            WHEN CAST(right(merchant, 9) AS INTEGER) < {MANY_KEYWORDS} THEN 'cat-' || CAST(right(merchant, 9) AS INTEGER) % 97
+            WHEN description = '5-LOW' THEN 'rest' ELSE 'misc' END AS category,
+       merchant, COUNT(*) AS transactions
+FROM ledger GROUP BY 1, 2""")
+def categorize_50k_rules(spark, sf):
+    """J4 through the keyword index."""
+    df = categorize(ledger_orders(spark, sf), _customer_rules())
+    return df.groupBy("category", "merchant").agg(F.count(F.lit(1)).alias("transactions"))
+
+
 # A copy of the 1997 rows with another category arrives first (src_ord 0); originals second.
 _DUP_SQL = with_(LEDGER_ORDERS) + """, allr AS (
   SELECT date, description, merchant, amount, 'copied' AS category, provider, 0 AS src_ord FROM ledger
