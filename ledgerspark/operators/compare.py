@@ -70,8 +70,7 @@ def period_breakdown(ledger: DataFrame, periods: dict, shared: Filters | None =
     """Per labelled period, the top categories (or merchants) by total.
 
     The totals honour the merchant filter; the breakdowns ignore it (as the reference does).
-    Periods are tagged in one scan; the top-N per period is a window over the small grouped
-    result, partitioned by period.
+    Periods are tagged in one scan; the top-N per period is a group limit over the grouped result.
     """
     base = apply_filters(ledger, (shared or Filters()).without_merchant(), with_merchant_amount=True)
     # a row may fall in two overlapping periods: explode the list of matching labels
@@ -80,13 +79,9 @@ def period_breakdown(ledger: DataFrame, periods: dict, shared: Filters | None =
     keycol = F.coalesce(F.col(dimension), F.lit("uncategorized")) if dimension == "category" else F.col(dimension)
     grouped = (tagged.groupBy("period", keycol.alias(dimension))
                .agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("transactions")))
-    # top-N per period as one distributed top-k each (periods are few; groups may be millions)
-    out = None
-    for label in periods:
-        top_p = (grouped.filter(F.col("period") == label).orderBy(F.desc("total"), F.asc(dimension)).limit(top)
-                 .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), F.asc(dimension)))))
-        out = top_p if out is None else out.unionByName(top_p)
-    return out
+    # rank <= top is applied per task before the shuffle by period (a group limit): few rows travel
+    best = Window.partitionBy("period").orderBy(F.desc("total"), F.asc(dimension))
+    return grouped.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
 def period_totals_filtered(ledger: DataFrame, periods: dict, shared: Filters | None = None) -> DataFrame:

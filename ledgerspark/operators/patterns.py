@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.keys import month_key
 from ledgerspark.operators.filters import apply_filters, at_most
-from ledgerspark.operators.summaries import compact_rows, group_rows
+from ledgerspark.operators.summaries import compact_rows, group_totals, whole
 from ledgerspark.schema import Filters
 
 SENSITIVITY = {"low": 2.0, "medium": 1.5, "high": 1.0}   # fixed values: anomaly factors
@@ -120,13 +120,13 @@ def anomalies_transactions(ledger: DataFrame, start, end, sensitivity: str = "me
 def anomalies_groups(ledger: DataFrame, start, end, dimension: str = "category",
                      sensitivity: str = "medium", limit: int | None = 10) -> DataFrame:
     """Group totals (all groups, D1) vs int(mean) + max(pstdev * factor, 2500) across groups.
-    The two cross-group statistics are scalar subqueries over the grouped result."""
+    The cross-group statistics are one scalar subquery over the groups, whose exchange it reuses."""
     factor = SENSITIVITY.get(sensitivity, 1.5)
-    groups = group_rows(compact_rows(ledger, start, end), dimension)
-    n = groups.select(F.count(F.lit(1))).scalar()
-    expected = groups.select(F.expr("CAST(COALESCE(sum(total_cents), 0) div greatest(count(1), 1) AS BIGINT)")).scalar()
-    spread = groups.select(F.when(F.count(F.lit(1)) > 1, F.stddev_pop(F.col("total_cents").cast("double")))
-                           .otherwise(F.lit(0.0))).scalar()
+    groups = group_totals(compact_rows(ledger, start, end), dimension)
+    stats = whole(groups, n=F.count(F.lit(1)),
+                  expected=F.expr("CAST(COALESCE(sum(total_cents), 0) div greatest(count(1), 1) AS BIGINT)"),
+                  spread=F.when(F.count(F.lit(1)) > 1, F.stddev_pop(F.col("total_cents").cast("double"))).otherwise(F.lit(0.0)))
+    n, expected, spread = stats["n"], stats["expected"], stats["spread"]
     thr = expected.cast("double") + F.greatest(spread * factor, F.lit(float(MIN_SPIKE_CENTS)))
     out = (groups.filter((n > 0) & (F.col("total_cents").cast("double") > thr))
            .select("label", expected.alias("expected_cents"), F.col("total_cents").alias("actual_cents"),
@@ -162,13 +162,31 @@ def _category_rows(ledger: DataFrame, category: str, start=None, end=None) -> Da
     return apply_filters(ledger, Filters(start=start, end=end, category=category), with_merchant_amount=False)
 
 
+def _cells(ledger: DataFrame, category: str, start=None, end=None) -> DataFrame:
+    """The category's sums by merchant and month, from which all sections but the top charges derive."""
+    return (_category_rows(ledger, category, start, end).groupBy("merchant", month_key().alias("period"))
+            .agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("n")))
+
+
+def _merchants(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("merchant").agg(F.sum("sum").alias("sum"), F.sum("n").alias("transactions"),
+                                         F.count("period").alias("periods"))
+
+
+def _top_merchants(merchants: DataFrame, top: int) -> tuple[DataFrame, Column, Column]:
+    """The top merchants with their share, the category's total and its number of charges."""
+    all_of = whole(merchants, total=F.coalesce(F.sum("sum").cast("double"), F.lit(0.0)), n=F.coalesce(F.sum("transactions"), F.lit(0)))
+    total = all_of["total"]
+    out = (merchants.select("merchant", F.col("sum").cast("double").alias("total"), "transactions")
+           .orderBy(F.desc("total"), F.asc("merchant")).limit(top)
+           .withColumn("spend_share", F.when(total != 0, F.col("total") / total).otherwise(F.lit(0.0))))
+    return out, total, all_of["n"]
+
+
 def insight_merchants(ledger: DataFrame, category: str, start=None, end=None, top: int = 5) -> DataFrame:
     rows = _category_rows(ledger, category, start, end)
-    total = rows.select(F.coalesce(F.sum("amount").cast("double"), F.lit(0.0))).scalar()
-    return (rows.groupBy("merchant")
-            .agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("transactions"))
-            .orderBy(F.desc("total"), F.asc("merchant")).limit(top)
-            .withColumn("spend_share", F.when(total != 0, F.col("total") / total).otherwise(F.lit(0.0))))
+    merchants = rows.groupBy("merchant").agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("transactions"))
+    return _top_merchants(merchants, top)[0]
 
 
 def insight_months(ledger: DataFrame, category: str, start=None, end=None, max_periods: int = 12) -> DataFrame:
@@ -192,13 +210,11 @@ def insight_findings(ledger: DataFrame, category: str, start=None, end=None, top
     high frequency (among the top merchants: n >= 3 and n >= max(1, int(0.4 * count))), recent
     spike (> 1 kept month and last month > 1.2 * total / kept months). Columns: rank, type,
     merchant, period, value."""
-    rows = _category_rows(ledger, category, start, end)
-    tot = rows.agg(F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("t"),
-                   F.count(F.lit(1)).alias("c"))
-    total, count = tot.select("t").scalar(), tot.select("c").scalar()
-    merchants = insight_merchants(ledger, category, start, end, top_merchants) \
-        .withColumn("pos", F.row_number().over(Window.orderBy(F.desc("total"), F.asc("merchant"))))
-    months = insight_months(ledger, category, start, end, max_periods)
+    cells = _cells(ledger, category, start, end)
+    found, total, count = _top_merchants(_merchants(cells), top_merchants)
+    merchants = found.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("total"), F.asc("merchant"))))
+    months = cells.groupBy("period").agg(F.sum("sum").cast("double").alias("total"), F.sum("n").alias("transactions"))
+    months = months.orderBy(F.desc("period")).limit(max_periods) if max_periods > 0 else months
     conc = (merchants.filter((F.col("pos") == 1) & (total > 0) & (F.col("spend_share") >= 0.3))
             .select(F.lit(1).alias("rank"), F.lit("merchant_concentration").alias("type"), "merchant",
                     F.lit(None).cast("string").alias("period"), F.round("spend_share", 4).alias("value")))
@@ -209,10 +225,10 @@ def insight_findings(ledger: DataFrame, category: str, start=None, end=None, top
                     & (F.col("transactions") >= F.greatest(F.lit(1), F.floor(count * 0.4))))
             .select(F.lit(2).alias("rank"), F.lit("high_frequency_merchant").alias("type"), "merchant",
                     F.lit(None).cast("string").alias("period"), F.col("transactions").cast("double").alias("value")))
-    kept = months.select(F.count(F.lit(1))).scalar()
-    spike = (months.orderBy(F.desc("period")).limit(1)
-             .filter((kept > 1) & (total > 0) & (F.col("total") > total / kept * 1.2))
+    # few months: the last one and their number from one small aggregate
+    last = months.agg(F.count(F.lit(1)).alias("kept"), F.max(F.struct("period", "total", "transactions")).alias("m"))
+    spike = (last.filter((F.col("kept") > 1) & (total > 0) & (F.col("m.total") > total / F.col("kept") * 1.2))
              .select(F.lit(3).alias("rank"), F.lit("recent_spike").alias("type"),
-                     F.lit(None).cast("string").alias("merchant"), "period", F.col("total").alias("value")))
+                     F.lit(None).cast("string").alias("merchant"), "m.period", F.col("m.total").alias("value")))
     out = conc.unionByName(freq).unionByName(spike)
     return out.orderBy("rank").limit(max_opportunities) if max_opportunities > 0 else out

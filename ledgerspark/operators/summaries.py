@@ -1,14 +1,14 @@
 """Aggregations A1-A11, A20: each is one hash aggregate with partial (map-side) aggregation.
 
-Grand totals that a share needs are scalar subqueries (``DataFrame.scalar()``): Spark runs them
-as a separate small job and inlines the value, so there is no cross join and no global window.
+Grand totals that a share needs are scalar subqueries over the groups (``whole``): they reuse the
+groups' exchange, so there is one scan of the rows, no cross join and no global window.
 """
 
 from __future__ import annotations
 
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.keys import iso_week_key, month_key, period_key, slug, tx_id
@@ -149,15 +149,29 @@ def share_pct(grand: Column, col: str = "total_cents") -> Column:
         .otherwise(F.lit(0.0))
 
 
-def group_rows(rows: DataFrame, group_by: str) -> DataFrame:
-    """Groups of compact rows: key, label (first seen by date), total_cents, count, share_pct."""
+def whole(grouped: DataFrame, **values: Column) -> dict[str, Column]:
+    """Aggregates over all groups of ``grouped`` as scalars for use beside the groups themselves. They
+    ask for every column of the groups, so both need the very same aggregate, and Spark runs it once
+    and reads its exchange twice: one scan of the rows, and no global window over the groups."""
+    rest = [F.max(F.col(c)).alias(f"__{c}") for c in grouped.columns]
+    one = grouped.agg(F.struct(*[v.alias(n) for n, v in values.items()], *rest).alias("all")).scalar()
+    return {n: one[n] for n in values}
+
+
+def group_totals(rows: DataFrame, group_by: str) -> DataFrame:
+    """Groups of compact rows: key, label (first seen by date), total_cents, count."""
     key, label = group_key(group_by)
-    grouped = (rows.select(key.alias("key"), label.alias("label"), "date", "amount_cents")
-               .groupBy("key")
-               .agg(F.min_by("label", F.struct("date", "label")).alias("label"),
-                    F.sum("amount_cents").alias("total_cents"),
-                    F.count(F.lit(1)).alias("count")))
-    grand = rows.select(F.coalesce(F.sum("amount_cents"), F.lit(0))).scalar()
+    return (rows.select(key.alias("key"), label.alias("label"), "date", "amount_cents")
+            .groupBy("key")
+            .agg(F.min_by("label", F.struct("date", "label")).alias("label"),
+                 F.sum("amount_cents").alias("total_cents"),
+                 F.count(F.lit(1)).alias("count")))
+
+
+def group_rows(rows: DataFrame, group_by: str) -> DataFrame:
+    """``group_totals`` with share_pct."""
+    grouped = group_totals(rows, group_by)
+    grand = whole(grouped, total=F.coalesce(F.sum("total_cents"), F.lit(0)))["total"]
     return grouped.withColumn("share_pct", share_pct(grand))
 
 
@@ -186,7 +200,7 @@ def spend_summary(ledger: DataFrame, group_by: str = "category", start=None, end
                         F.count(F.when(F.col("in_cur"), F.lit(1))).alias("count"),
                         F.coalesce(F.sum(F.when(F.col("in_base"), F.col("amount_cents"))), F.lit(0)).alias("base_cents"))
                    .filter(F.col("count") > 0))
-        grand = rows.filter(cur).select(F.coalesce(F.sum("amount_cents"), F.lit(0))).scalar()
+        grand = whole(grouped, total=F.coalesce(F.sum("total_cents"), F.lit(0)))["total"]
         out = (grouped.withColumn("share_pct", share_pct(grand))
                .withColumn("delta_cents", F.col("total_cents") - F.col("base_cents"))
                .drop("base_cents"))
@@ -196,12 +210,12 @@ def spend_summary(ledger: DataFrame, group_by: str = "category", start=None, end
 
 def merchant_summary(ledger: DataFrame, search: str, start=None, end=None, limit: int = 10) -> DataFrame:
     """Merchants whose name contains ``search`` (case-insensitive): totals, truncated average,
-    first/last date; total desc, cut at ``limit`` (at most 20)."""
+    first/last date; total desc, cut at ``limit``."""
     if not search:
         raise ValueError("merchantSearch required")
     rows = compact_rows(ledger, start, end, search=search) \
         .filter(F.lower(F.col("merchant")).contains(search.lower()))
-    lim = max(1, min(int(limit or 10), 20))
+    lim = max(1, int(limit or 10))
     return (rows.groupBy("merchant")
             .agg(F.sum("amount_cents").alias("total_cents"),
                  F.count(F.lit(1)).alias("count"),
@@ -213,6 +227,18 @@ def merchant_summary(ledger: DataFrame, search: str, start=None, end=None, limit
             .limit(lim))
 
 
+def merchant_transactions(ledger: DataFrame, search: str, start=None, end=None, limit: int = 10, rows: int = 10) -> DataFrame:
+    """A8 with ``includeTransactions``: the latest ``rows`` charges of each merchant that ``merchant_summary``
+    returns, as ``(id, date, merchant, description, amount_cents, rank)``. ``rank <= rows`` is applied before
+    the shuffle too (a group limit), so a merchant ships a few rows per task."""
+    found = merchant_summary(ledger, search, start, end, limit).select(F.col("label").alias("__merchant"))
+    hits = compact_rows(ledger, start, end, search=search).filter(F.lower(F.col("merchant")).contains(search.lower()))
+    latest = Window.partitionBy("merchant").orderBy(F.desc("date"), F.asc("id"))
+    return (hits.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= rows)
+            .join(found, F.col("merchant") == F.col("__merchant"), "left_semi")
+            .select("id", F.date_format("date", "yyyy-MM-dd").alias("date"), "merchant", "description", "amount_cents", "rank"))
+
+
 def category_summary(ledger: DataFrame, start=None, end=None, category_ids=None,
                      comparison: str | None = None, limit: int | None = None) -> DataFrame:
     """A7 by category with an id filter."""
@@ -253,10 +279,13 @@ def profile(ledger: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataF
 def top_category_share(ledger: DataFrame, filters: Filters | None = None, top: int = 5) -> DataFrame:
     """Top categories with their share of all filtered spend and a bar width relative to
     the largest (at least 2 %)."""
-    by_cat = summarize_by_category(ledger, filters)
-    grand = apply_filters(ledger, filters, with_merchant_amount=False).select(_total()).scalar()
-    top_df = by_cat.limit(top)
-    biggest = top_df.select(F.greatest(F.coalesce(F.max("total"), F.lit(1.0)), F.lit(1.0))).scalar()
+    df = apply_filters(ledger, filters, with_merchant_amount=False)
+    groups = df.groupBy(category_or_uncategorized().alias("category")).agg(F.sum("amount").alias("sum"))
+    money = F.coalesce(F.col("sum").cast("double"), F.lit(0.0))
+    all_of = whole(groups, grand=F.coalesce(F.sum("sum").cast("double"), F.lit(0.0)),
+                   biggest=F.greatest(F.coalesce(F.max(money), F.lit(1.0)), F.lit(1.0)))
+    grand, biggest = all_of["grand"], all_of["biggest"]
+    top_df = groups.select("category", money.alias("total")).orderBy(F.desc("total"), F.asc("category")).limit(top)
     return top_df.select(
         "category", "total",
         F.when(grand > 0, F.col("total") * 100.0 / grand).otherwise(F.lit(0.0)).alias("share_pct"),
