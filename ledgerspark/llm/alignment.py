@@ -12,8 +12,8 @@ numbers, or a bit set where that is shorter.
 
 ``pair_counts``: as blocks hold different documents, OR-merging a pair's bitmaps of all blocks lays them
 side by side, and popcounts add up: those of plane 0 are its documents; with those of plane j + 1
-times 2^j they are its links. ``scores``: the counts go back along the postings (a join by pair, then
-one group per block, which its bounds keep small) and are added up per document.
+times 2^j they are its links. ``scores``: every block asks for the counts of its pairs (a join by pair);
+with them its postings, one group per block, which its bounds keep small, are added up per document.
 
 Every row is a document of its own, also with equal or null ids. Texts that are null or empty, or
 whose tokens' bytes differ from the text (of either tokenizer), have no tokens: zeros, and an empty
@@ -57,7 +57,7 @@ def byte_pieces(path: str):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     exact = []
 
-    def ids(texts: list[str]) -> list[list[int]]:
+    def ids(texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
             if len(t) > 5000 and _LONG_RUN.search(t):  # the pattern engine gives up on very long runs; the library of the file doesn't
@@ -66,9 +66,9 @@ def byte_pieces(path: str):
 
                     exact.append(Tokenizer.from_file(path.rsplit(".", 1)[0] + ".json"))
                     exact[0].encode_special_tokens = True
-                out.append(exact[0].encode(" " + t, add_special_tokens=False).ids)
+                out.append(np.array(exact[0].encode(" " + t, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(encoding.encode_ordinary(" " + t))
+                out.append(encoding.encode_to_numpy(" " + t, disallowed_special=()))
         return out
 
     table = [b""] * (max(ranks.values()) + 1)
@@ -149,41 +149,46 @@ class _Aligner:
     def add(self, ids: list, texts: list[str]) -> pa.RecordBatch:
         """The documents' rows; their links are kept for the postings."""
         n = len(texts)
-        a_ids, b_ids, size = [], [], np.zeros(n, np.int64)
+        a_ids, b_ids, size = [np.empty(0, np.int64)], [], np.zeros(n, np.int64)
         n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         filled = [i for i, t in enumerate(texts) if t]
         some = [texts[i] for i in filled]
         for i, t, a, b in zip(filled, some, self.a(some), self.b(some), strict=True):
             raw = b" " + t.encode("utf-8")
-            if b"".join([self.b_bytes[x] for x in b]) == raw == b"".join([self.a_bytes[x] for x in a]):
-                a_ids += a
+            # byte-level pieces are cut from the text's own bytes: their length tells whether all are there
+            if b"".join([self.b_bytes[x] for x in b]) == raw and int(self.a_len[a].sum()) == len(raw):
+                a_ids.append(a)
                 b_ids += b
                 n_a[i], n_b[i], size[i] = len(a), len(b), len(raw)
-        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_ids, b_ids = np.concatenate(a_ids).astype(np.int64), np.array(b_ids, np.int64)
         a_end, b_end, doc_end = np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids]), np.cumsum(size)
-        cuts = np.intersect1d(a_end, b_end)  # both tokenizers end at every document's end
-        parts = np.union1d(a_end, b_end)  # every part between two ends lies in one A and one B token
+        ends = np.zeros((2, int(size.sum()) + 1), bool)  # offsets where an A, and a B token ends
+        ends[0, a_end] = ends[1, b_end] = True
+        both = ends[0] & ends[1]  # true of every document's end
+        parts = np.flatnonzero(ends[0] | ends[1])  # every part between two ends lies in one A and one B token
         doc = np.searchsorted(doc_end, parts, "left")
         pair = a_ids[np.searchsorted(a_end, parts, "left")] << _SIDE | b_ids[np.searchsorted(b_end, parts, "left")]
         key, times = np.unique(pair << 16 | (doc + self.n), return_counts=True)
         self.keys.append(key)
         self.times.append(times)
-        groups = self._groups(n_a, n_b, a_ids, b_ids, a_end, b_end, cuts, doc_end)
+        groups = self._groups(n_a, n_b, a_ids, b_ids, a_end, b_end, both, doc_end)
         out = _rows(block=np.full(n, self.block), doc=np.arange(self.n, self.n + n), doc_id=ids, n_a=n_a, n_b=n_b,
-                    n_groups=np.bincount(np.searchsorted(doc_end, cuts, "left"), minlength=n),
+                    n_groups=np.bincount(np.searchsorted(doc_end, np.flatnonzero(both), "left"), minlength=n),
                     n_links=np.bincount(doc, minlength=n), groups=groups)
         self.n += n
         self.size += int(size.sum())
         return out
 
-    def _groups(self, n_a, n_b, a_ids, b_ids, a_end, b_end, cuts, doc_end) -> list[str]:
-        a_word = a_ids + self.base * np.isin(a_end, cuts)
-        b_word = b_ids + self.base * np.where(np.isin(b_end, doc_end), 3, 2 * np.isin(b_end, cuts))
+    def _groups(self, n_a, n_b, a_ids, b_ids, a_end, b_end, both, doc_end) -> list[str]:
+        group = np.cumsum(both) - both  # of a token that ends at an offset
+        final = np.zeros(len(both), bool)
+        final[doc_end] = True
+        a_word = a_ids + self.base * both[a_end]
+        b_word = b_ids + self.base * np.where(final[b_end], 3, 2 * both[b_end])
         # sorted by group and side, in order
-        side = np.r_[np.searchsorted(cuts, a_end, "left") * 2, np.searchsorted(cuts, b_end, "left") * 2 + 1]
-        word = np.r_[a_word, b_word][np.argsort(side, kind="stable")]
-        ends = np.cumsum(n_a + n_b).tolist()
-        return ["".join([self.words[w] for w in word[s:e].tolist()]) for s, e in zip([0, *ends], ends, strict=False)]
+        word = np.r_[a_word, b_word][np.argsort(np.r_[group[a_end] * 2, group[b_end] * 2 + 1], kind="stable")].tolist()
+        words, ends = self.words, np.cumsum(n_a + n_b).tolist()
+        return ["".join([words[w] for w in word[s:e]]) for s, e in zip([0, *ends], ends, strict=False)]
 
     def close(self) -> Iterator[pa.RecordBatch]:
         key, times = np.concatenate(self.keys), np.concatenate(self.times)
@@ -262,7 +267,9 @@ def scores(aligned: Aligned, counts: DataFrame) -> DataFrame:
     """``documents`` with n_best (links of a pair that is best for its B id), count_sum (the links'
     corpus-wide counts, added up) and document_sum (the same of the numbers of documents)."""
 
-    def add_up(key, rows: pd.DataFrame) -> pd.DataFrame:
+    total = ["n_best", "count_sum", "document_sum"]
+
+    def add_up(key, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("dense", kind="stable")  # lists, then bit sets
         planes, dense = rows["bits"].tolist(), int(rows["dense"].sum())
         lists = planes[:len(planes) - dense]
@@ -271,16 +278,22 @@ def scores(aligned: Aligned, counts: DataFrame) -> DataFrame:
         if dense:
             more, counted = members(planes[len(lists):])
             doc, sizes = np.r_[doc, more], np.r_[sizes, counted]
+        plane = rows["plane"].to_numpy(np.int64)
+        weight = np.where(plane > 0, np.int64(1) << np.maximum(plane - 1, 0), 1)
+        found = found.sort_values("of")
+        place = np.searchsorted(found["of"].to_numpy(), rows["pair"].to_numpy())
         out = {"block": np.full(doc.max() + 1, key[0]), "doc": np.arange(doc.max() + 1, dtype=np.int32)}
-        for name in ("n_best", "count_sum", "document_sum"):
+        for name in total:
             out[name] = np.zeros(len(out["doc"]), np.int64)
-            np.add.at(out[name], doc, np.repeat(rows[name].to_numpy(np.int64), sizes))
+            np.add.at(out[name], doc, np.repeat(found[name].to_numpy(np.int64)[place] * weight, sizes))
         return pd.DataFrame(out)
 
-    total = ["n_best", "count_sum", "document_sum"]
+    # a block asks for the counts of its pairs; the bitmaps themselves travel once, by block
+    asked = aligned.postings.where("plane = 0").select(F.col("block").alias("at"), F.col("pair").alias("of"))
     value = [F.col("best").cast("bigint"), F.col("links"), F.col("documents")]
-    scored = (aligned.postings.join(counts.select("pair", "documents", "links", "best"), "pair")
-              .select("block", "dense", "bits", *[(v * _weight()).alias(c) for c, v in zip(total, value, strict=True)])
-              .groupBy("block").applyInPandas(add_up, "block long, doc int, n_best long, count_sum long, document_sum long"))
+    found = asked.join(counts, asked["of"] == counts["pair"]).select("at", "of", *[v.alias(c) for c, v in zip(total, value, strict=True)])
+    scored = (aligned.postings.select("block", "pair", "plane", "dense", "bits").groupBy("block")
+              .cogroup(found.groupBy("at"))
+              .applyInPandas(add_up, "block long, doc int, n_best long, count_sum long, document_sum long"))
     return aligned.documents.join(scored, ["block", "doc"], "left").select(
         *aligned.documents.columns, *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in total])
