@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import as_date
@@ -61,6 +61,19 @@ def money_bound(value, rounding: str) -> Column:
     return F.lit(Decimal(str(value)).quantize(Decimal("0.01"), rounding)).cast(MONEY)
 
 
+def flagged(df: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of an ordered frame with ``truncated``: whether it holds more. One top-k
+    of ``limit + 1`` rows, whose order the position column keeps; the window runs over those only."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    top = df.limit(limit + 1)
+    whole = Window.partitionBy()
+    top = top.withColumn("__at", F.monotonically_increasing_id())
+    return (top.withColumn("truncated", F.count(F.lit(1)).over(whole) > limit)
+            .withColumn("__n", F.row_number().over(whole.orderBy("__at"))).filter(F.col("__n") <= limit)
+            .drop("__n", "__at"))
+
+
 def at_most(df: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` rows; all of them without a limit. A limit below 1 is an error."""
     if limit is None:

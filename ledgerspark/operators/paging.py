@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.filters import apply_filters
+from ledgerspark.operators.filters import apply_filters, flagged
 from ledgerspark.operators.summaries import compact_rows
 from ledgerspark.schema import Filters
 
@@ -93,10 +93,10 @@ def find_page(ledger: DataFrame, start, end, limit: int | None = None, cursor: s
     if bad:
         raise ValueError(f"unsupported field {bad[0]}")
     rows = compact_rows(ledger, start, end, **row_filters)
-    fetched = (rows.orderBy(*[F.col(c).asc_nulls_first() for c in ("date", "id", "amount_cents")])
-               .offset(off).limit(lim + 1))
+    order = [F.col(c).asc_nulls_first() for c in KEYSET]  # ids are cut: rows of one id need an order, too
+    fetched = rows.orderBy(*order).offset(off).limit(lim + 1)
     fetched = fetched.withColumn("__n", F.count(F.lit(1)).over(_whole()))
-    fetched = fetched.withColumn("__pos", F.row_number().over(_whole().orderBy("date", "id", "amount_cents")))
+    fetched = fetched.withColumn("__pos", F.row_number().over(_whole().orderBy(*order)))
     page = fetched.filter(F.col("__pos") <= lim)
     has_next = F.col("__n") > lim
     mapping = {"id": F.col("id"), "date": F.date_format("date", "yyyy-MM-dd"), "amountCents": F.col("amount_cents"),
@@ -144,8 +144,10 @@ def keyset_page(ledger: DataFrame, after_date=None, after_id: str | None = None,
     return rows.orderBy(*KEYSET).offset(skip).limit(clamp(limit, TOOL_ROWS_DEFAULT, TOOL_ROWS_MAX))
 
 
-def top_merchants(ledger: DataFrame, filters: Filters | None = None, limit: int | None = None) -> DataFrame:
-    """Top merchants (<= 20); fetch n+1 so the caller learns ``truncated``."""
+def top_merchants(ledger: DataFrame, filters: Filters | None = None, limit: int | None = None,
+                  flag: bool = False) -> DataFrame:
+    """Top merchants (<= 20); n + 1 rows, so the caller learns of more, or with ``flag`` n rows with
+    ``truncated``."""
     from ledgerspark.operators.summaries import group_transactions, summarize_by_merchant
 
     n = clamp(limit, ASSIST_AGG, ASSIST_AGG)
@@ -153,4 +155,4 @@ def top_merchants(ledger: DataFrame, filters: Filters | None = None, limit: int
         out = group_transactions(ledger, "merchant", filters)
     else:
         out = summarize_by_merchant(ledger, filters.without_merchant() if filters else None)
-    return out.limit(n + 1)
+    return flagged(out, n) if flag else out.limit(n + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.keys import month_key
-from ledgerspark.operators.filters import apply_filters, at_most
+from ledgerspark.operators.filters import apply_filters, at_most, flagged
 from ledgerspark.operators.summaries import compact_rows, group_totals, whole
 from ledgerspark.schema import Filters
 
@@ -71,9 +71,11 @@ def recurring(ledger: DataFrame, start=None, end=None, min_occurrences: int = 3,
     return at_most(out, limit)
 
 
-def recurring_months(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20) -> DataFrame:
+def recurring_months(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20,
+                     flag: bool = False) -> DataFrame:
     """C4: merchants (blank -> 'unknown') seen >= 2 times in >= 2 distinct months: count, sorted
-    months, mean, total, latest date; by number of months then total, descending."""
+    months, mean, total, latest date; by number of months then total, descending. ``flag`` adds
+    ``truncated``: whether there are more than ``limit``."""
     df = apply_filters(ledger, filters, with_merchant_amount=True)
     m = F.coalesce(F.when(F.col("merchant") == "", None).otherwise(F.col("merchant")), F.lit("unknown"))
     g = (df.groupBy(m.alias("merchant"))
@@ -88,7 +90,7 @@ def recurring_months(ledger: DataFrame, filters: Filters | None = None, limit: i
         F.col("sum_amount").cast("double").alias("total"),
         F.date_format("latest", "yyyy-MM-dd").alias("latest_date"),
     ).orderBy(F.desc(F.size("months")), F.desc("total"), F.asc("merchant"))
-    return at_most(out, limit)
+    return flagged(out, limit) if flag else at_most(out, limit)
 
 
 def _merchant_stats(rows: DataFrame, value: str, key: Column) -> DataFrame:
@@ -136,9 +138,10 @@ def anomalies_groups(ledger: DataFrame, start, end, dimension: str = "category",
     return at_most(out, limit)
 
 
-def unusual_spend(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20) -> DataFrame:
+def unusual_spend(ledger: DataFrame, filters: Filters | None = None, limit: int | None = 20,
+                  flag: bool = False) -> DataFrame:
     """Rows above mean + max(1.5 * pstdev, 0.5 * mean, 25) of their merchant (>= 2 rows;
-    blank merchant -> 'unknown'), by difference descending."""
+    blank merchant -> 'unknown'), by difference descending. ``flag`` adds ``truncated``."""
     df = apply_filters(ledger, filters, with_merchant_amount=True)
     m = F.coalesce(F.when(F.col("merchant") == "", None).otherwise(F.col("merchant")), F.lit("unknown"))
     df = df.withColumn("__mk", m)
@@ -151,7 +154,7 @@ def unusual_spend(ledger: DataFrame, filters: Filters | None = None, limit: int
            .select("date", "description", "merchant", "amount", "category", "provider",
                    mean.alias("merchant_average"), (amt - mean).alias("difference"))
            .orderBy(F.desc("difference"), F.asc("date"), F.asc("merchant"), F.asc("description")))
-    return at_most(out, limit)
+    return flagged(out, limit) if flag else at_most(out, limit)
 
 
 # ---- C8: category insight ---------------------------------------------------------------

@@ -92,6 +92,29 @@ def text_lines(ledger: DataFrame) -> DataFrame:
                                              F.col("amount").cast("decimal(18,2)").cast("string")).alias("line"))
 
 
+def transactions_table(page: DataFrame, top: int = 10) -> DataFrame:
+    """The first ``top`` rows of an ordered page as text, blanks named."""
+    named = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(other))
+    return page.limit(top).select(F.date_format("date", "yyyy-MM-dd").alias("date"), named("merchant", "Unknown").alias("merchant"),
+                                  named("category", "uncategorized").alias("category"), currency_text("amount").alias("amount"),
+                                  named("description", "").alias("description"))
+
+
+def recurring_table(months: DataFrame, top: int = 8) -> DataFrame:
+    """The first ``top`` rows of C4 as text."""
+    return months.limit(top).select("merchant", currency_text("total").alias("total"), currency_text("average").alias("average"),
+                                    F.col("transactions").cast("string").alias("transactions"),
+                                    F.array_join("months", ", ").alias("months"))
+
+
+def unusual_table(unusual: DataFrame, top: int = 8) -> DataFrame:
+    """The first ``top`` rows of C7 as text."""
+    merchant = F.coalesce(F.when(F.col("merchant") != "", F.col("merchant")), F.lit("Unknown"))
+    return unusual.limit(top).select(F.date_format("date", "yyyy-MM-dd").alias("date"), merchant.alias("merchant"),
+                                     currency_text("amount").alias("amount"), currency_text("merchant_average").alias("average"),
+                                     currency_text("difference").alias("difference"))
+
+
 def summary_table(by_category: DataFrame, top: int = 8) -> DataFrame:
     """The first ``top`` summary rows with currency text."""
     return by_category.limit(top).select("category", currency_text("total").alias("total_text"), "transactions")

@@ -11,6 +11,7 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.dates import as_date
 from ledgerspark.functions.keys import iso_week_key, month_key, period_key, slug, tx_id
 from ledgerspark.functions.money import cents
 from ledgerspark.operators.filters import (
@@ -102,6 +103,8 @@ def compact_rows(ledger: DataFrame, start=None, end=None, category_ids=None, mer
     applied before anything is cut (D2), with ``id``, ``amount_cents``, ``account`` and the
     compact ``category`` (NULL or '' -> 'uncategorized')."""
     df = ledger
+    if start and end and as_date(start) > as_date(end):
+        raise ValueError("startDate must be before endDate")
     rng = date_range(start, end)
     if rng is not None:
         df = df.filter(rng)
@@ -228,13 +231,13 @@ def merchant_summary(ledger: DataFrame, search: str, start=None, end=None, limit
 
 
 def merchant_transactions(ledger: DataFrame, search: str, start=None, end=None, limit: int = 10, rows: int = 10) -> DataFrame:
-    """A8 with ``includeTransactions``: the latest ``rows`` charges of each merchant that ``merchant_summary``
-    returns, as ``(id, date, merchant, description, amount_cents, rank)``. ``rank <= rows`` is applied before
-    the shuffle too (a group limit), so a merchant ships a few rows per task."""
+    """A8 with ``includeTransactions``: the first ``rows`` charges by date of each merchant that
+    ``merchant_summary`` returns, as ``(id, date, merchant, description, amount_cents, rank)``. ``rank <= rows``
+    is applied before the shuffle too (a group limit), so a merchant ships a few rows per task."""
     found = merchant_summary(ledger, search, start, end, limit).select(F.col("label").alias("__merchant"))
     hits = compact_rows(ledger, start, end, search=search).filter(F.lower(F.col("merchant")).contains(search.lower()))
-    latest = Window.partitionBy("merchant").orderBy(F.desc("date"), F.asc("id"))
-    return (hits.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= rows)
+    first = Window.partitionBy("merchant").orderBy("date", "id", "amount_cents")
+    return (hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= rows)
             .join(found, F.col("merchant") == F.col("__merchant"), "left_semi")
             .select("id", F.date_format("date", "yyyy-MM-dd").alias("date"), "merchant", "description", "amount_cents", "rank"))
 

@@ -20,9 +20,7 @@ from ledgerspark.schema import Filters
 # fixed values: default section limits
 INSIGHT_LIMITS = {"topCategories": 8, "topMerchants": 8, "drivers": 8, "anomalies": 5, "recurring": 8}
 INSIGHT_SECTIONS = ("totals", "top_categories", "top_merchants", "drivers", "anomalies", "recurring")
-# compact tools allowed in a bundle, and the bundle size cap
-BUNDLE_TOOLS = ("spend_summary", "category_summary", "merchant_summary", "compare_periods", "top_drivers",
-                "recurring", "anomalies", "search_dimensions")
+# the bundle size cap
 MAX_BUNDLE = 5
 
 
@@ -74,6 +72,13 @@ def tall(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _anomalies(ledger: DataFrame, start=None, end=None, dimension: str = "transaction", **how) -> DataFrame:
+    """Spikes among charges (C5), or among the groups of a dimension."""
+    if dimension == "transaction":
+        return patterns.anomalies_transactions(ledger, start, end, **how)
+    return patterns.anomalies_groups(ledger, start, end, dimension, **how)
+
+
 def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = False) -> dict[str, DataFrame]:
     """Up to five named compact summaries from an allow-list, over one persisted ledger."""
     from ledgerspark.operators.search import search_dimensions
@@ -89,8 +94,9 @@ def query_bundle(ledger: DataFrame, requests: list[dict], persist: bool = False)
         "merchant_summary": lambda a: summaries.merchant_summary(ledger, **a),
         "compare_periods": lambda a: compare.compare_periods(ledger, **a),
         "top_drivers": lambda a: compare.top_drivers(ledger, **a),
+        "recurring_transactions": lambda a: patterns.recurring(ledger, **a),
         "recurring": lambda a: patterns.recurring(ledger, **a),
-        "anomalies": lambda a: patterns.anomalies_transactions(ledger, **a),
+        "anomalies": lambda a: _anomalies(ledger, **a),
         "search_dimensions": lambda a: search_dimensions(ledger, **a),
     }
     for i, req in enumerate(requests):

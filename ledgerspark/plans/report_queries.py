@@ -11,7 +11,7 @@ from ledgerspark.operators.paging import find_page
 from ledgerspark.operators.search import search_dimensions
 from ledgerspark.plans import bundles
 from ledgerspark.plans.pattern_queries import TX_ID_SQL, _anomalies_tx_sql, _recurring_sql
-from ledgerspark.plans.registry import register
+from ledgerspark.plans.registry import ORACLES, register
 from ledgerspark.plans.sqlfrag import compact_cte, slug_sql
 from ledgerspark.plans.sqlviews import LEDGER_LINES, LEDGER_ORDERS, with_
 from ledgerspark.plans.summary_queries import _drivers_sql, _summary_sql
@@ -157,3 +157,82 @@ def _section(name: str, sql: str, label: str, value: str, order: str) -> str:
 def insight_context(spark, sf):
     # one query, one plan: no persist (a persisted view would outlive the call)
     return bundles.tall(bundles.insight_context(ledger_orders(spark, sf), *_IC, "previous_period", persist=False))
+
+
+_TEXT = "CASE WHEN {0} < 0 THEN '$-' ELSE '$' END || format('{{:,.2f}}', abs({0}))"
+
+
+@register("assistant_tables", f"""
+SELECT 'transactions' AS section, date AS c1, merchant AS c2, category AS c3, {_TEXT.format('amount')} AS c4, description AS c5 FROM (
+  """ + with_(LEDGER_ORDERS) + f"""
+  SELECT CAST(date AS VARCHAR) AS date, COALESCE(NULLIF(merchant, ''), 'Unknown') AS merchant, COALESCE(category, 'uncategorized') AS category,
+         CAST(amount AS DOUBLE) AS amount, description
+  FROM ledger WHERE provider = 'o' ORDER BY ledger.date, ledger.merchant, description, ledger.amount, ledger.category NULLS FIRST LIMIT 10)
+UNION ALL SELECT 'recurring', merchant, {_TEXT.format('total')}, {_TEXT.format('average')}, CAST(transactions AS VARCHAR), replace(months, ',', ', ')
+FROM (SELECT * FROM ({ORACLES['recurring_months']}) ORDER BY length(months) DESC, total DESC, merchant LIMIT 8)
+UNION ALL SELECT 'unusual', date, merchant, {_TEXT.format('amount')}, {_TEXT.format('merchant_average')}, {_TEXT.format('difference')}
+FROM (SELECT * FROM ({ORACLES['unusual_spend']}) ORDER BY difference DESC, date, merchant, description LIMIT 8)""")
+def assistant_tables(spark, sf):
+    """The tables of transactions, recurring merchants and unusual charges, as text, stacked."""
+    from ledgerspark.operators import paging
+    from ledgerspark.operators import patterns as X
+    from ledgerspark.schema import Filters
+
+    orders, lines = ledger_orders(spark, sf), ledger_lines(spark, sf)
+    tables = {"transactions": R.transactions_table(paging.get_transactions(orders, Filters(provider="o"))),
+              "recurring": R.recurring_table(X.recurring_months(orders, Filters(provider="f"))),
+              "unusual": R.unusual_table(X.unusual_spend(lines, Filters(start="1998-01-01", end="1998-12-31")))}
+    out = None
+    for name, t in tables.items():
+        part = t.toDF("c1", "c2", "c3", "c4", "c5").select(F.lit(name).alias("section"), "c1", "c2", "c3", "c4", "c5")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("truncated_flags", with_(LEDGER_ORDERS) + """
+SELECT 'merchants' AS tool, 20 AS rows, COUNT(DISTINCT merchant) > 20 AS truncated FROM ledger
+UNION ALL SELECT 'merchants, all', COUNT(DISTINCT category), false FROM ledger WHERE category IS NOT NULL
+UNION ALL SELECT 'recurring', 3, COUNT(*) > 3 FROM (SELECT merchant FROM ledger GROUP BY 1
+  HAVING COUNT(DISTINCT strftime(date, '%Y-%m')) >= 2)""")
+def truncated_flags(spark, sf):
+    """How many rows come back and whether there are more (as many categories as merchants: none left)."""
+    from ledgerspark.operators import paging
+    from ledgerspark.operators import patterns as X
+
+    led = ledger_orders(spark, sf)
+    few = led.filter("category IS NOT NULL").withColumn("merchant", F.col("category"))
+    results = {"merchants": paging.top_merchants(led, flag=True), "merchants, all": paging.top_merchants(few, flag=True),
+               "recurring": X.recurring_months(led, limit=3, flag=True)}
+    out = None
+    for name, t in results.items():
+        part = t.agg(F.count(F.lit(1)).alias("rows"), F.max("truncated").alias("truncated")).select(F.lit(name).alias("tool"), "rows", "truncated")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("query_bundle", with_(LEDGER_ORDERS) + f"""
+SELECT name, label, value FROM (
+  SELECT 'spikes' AS name, label, delta_cents AS value FROM ({ORACLES['anomalies_group']})
+  UNION ALL SELECT 'merchants', label, total_cents FROM ({ORACLES['merchant_summary']}))""")
+def query_bundle(spark, sf):
+    """Two tools of one bundle, anomalies by a dimension among them."""
+    from ledgerspark.plans.bundles import query_bundle as bundle
+
+    sections = bundle(ledger_orders(spark, sf), [
+        {"tool": "anomalies", "name": "spikes", "args": {
+            "start": "1997-01-01", "end": "1997-12-31", "dimension": "merchant", "sensitivity": "low", "limit": 10}},
+        {"tool": "merchant_summary", "name": "merchants", "args": {"search": "Customer#00000012"}}])
+    spikes = sections["spikes"].select(F.lit("spikes").alias("name"), "label", F.col("delta_cents").alias("value"))
+    return spikes.unionByName(sections["merchants"].select(F.lit("merchants").alias("name"), "label", F.col("total_cents").alias("value")))
+
+
+@register("merchant_transactions", with_(LEDGER_ORDERS, compact_cte(
+    "contains(lower(merchant || ' ' || description || ' ' || COALESCE(category, '') || ' ' || COALESCE(provider, '')), 'customer#00000012') "
+    "AND contains(lower(merchant), 'customer#00000012')")) + f""",
+top AS (SELECT merchant FROM rows GROUP BY merchant ORDER BY SUM(amount_cents) DESC, merchant LIMIT 10)
+SELECT {TX_ID_SQL} AS id, CAST(date AS VARCHAR) AS date, merchant, description, amount_cents,
+       CAST(row_number() OVER (PARTITION BY merchant ORDER BY date, {TX_ID_SQL}, amount_cents) AS INTEGER) AS rank
+FROM rows WHERE merchant IN (SELECT merchant FROM top) QUALIFY rank <= 3""")
+def merchant_transactions(spark, sf):
+    """A8 with sample rows: three charges of each merchant."""
+    return A.merchant_transactions(ledger_orders(spark, sf), "Customer#00000012", rows=3)
