@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ledgerspark.plans.event_queries import _SESSION_COLS, _SESSION_SQL, _sessions_out
 from ledgerspark.plans.ledger_queries import UPSERT_RULES, _case_sql
 from ledgerspark.plans.registry import QUERIES, ORACLES, register
-from ledgerspark.plans.source_queries import write_statements
+from ledgerspark.plans.source_queries import AS_OF, _specs, write_statements
 from ledgerspark.plans.sqlviews import LEDGER_ORDERS, USAGE_EVENTS, with_
 from ledgerspark.session import staging_path
-from ledgerspark.sinks.ledger import read_ledger
+from ledgerspark.plans.statement_import import import_all
+from ledgerspark.sinks.ledger import read_ledger, write_upsert
 from ledgerspark.sources.tables import ledger_orders, usage_events
 from ledgerspark.streaming import jobs
 
@@ -146,4 +147,31 @@ def stream_import_shared(spark, sf):
                                              F.col("amount").cast("double").alias("amount"), "provider")
 
 
+@register("import_job", "WITH rt AS (" + ORACLES["statement_roundtrip"] + "), rec AS (" + ORACLES["recurring_expand"] + "), man AS ("
+          + with_(LEDGER_ORDERS) + f"""
+  SELECT CAST(date AS VARCHAR) AS date, 'cash' AS description, merchant, CAST(amount AS DOUBLE) AS amount, 'manual' AS provider
+  FROM ledger WHERE provider = 'p'),
+u AS (SELECT date, description, merchant, amount, provider FROM rt
+      UNION SELECT date, description, merchant, amount, provider FROM rec
+      UNION SELECT date, description, merchant, amount, provider FROM man)
+SELECT date, description, merchant, amount, {_case_sql(UPSERT_RULES)} AS category, provider FROM u""")
+def import_job(spark, sf):
+    """The whole import: statement files, manual entries and recurring rules -> dedupe -> categorize ->
+    upsert -> the stored ledger. Some manual entries repeat charges of a statement, which stay its own;
+    the job runs twice, as a rerun would, and the second run changes nothing."""
+    src = write_statements(spark, sf, staging_path(spark, "job-src"))
+    led = ledger_orders(spark, sf)
+    cash = led.filter("provider = 'p'").select("date", F.lit("cash").alias("description"), "merchant", "amount")
+    again = led.filter("provider = 'o' AND substring(merchant, -1, 1) = '3' AND description <> '2-HIGH'").select(
+        "date", F.col("merchant").alias("description"), "merchant", "amount")
+    manual = cash.unionByName(again).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
+                                            F.col("amount").cast("double").alias("amount"))
+    path = staging_path(spark, "job-ledger")
+    for _ in range(2):
+        done = import_all(spark, src, manual, _specs(spark, sf), as_of=AS_OF, route_on="path")
+        write_upsert(spark, path, done.ledger, UPSERT_RULES)
+    return read_ledger(spark, path).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "merchant",
+                                           F.col("amount").cast("double").alias("amount"), "category", "provider")
+
+
 assert "statement_roundtrip" in QUERIES

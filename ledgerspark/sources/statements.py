@@ -81,196 +81,153 @@ def read_grid(spark: SparkSession, path, file_filter=None) -> DataFrame:
 _CSV_SPLIT = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
 
 
-def _unquote(cell: Column) -> Column:
-    """CSV field text: surrounding quotes removed, doubled quotes unescaped, '' -> NULL."""
-    quoted = cell.startswith('"') & cell.endswith('"') & (F.length(cell) >= 2)
-    inner = F.regexp_replace(F.substring(cell, F.lit(2), F.length(cell) - 2), '""', '"')
-    value = F.when(quoted, inner).otherwise(cell)
-    return F.when(value != "", value)
+def cells_of(line: str = "line") -> Column:
+    """The cells of a line (SQL text): one quote-aware split, each field unquoted by a single
+    ``transform`` over it; blank cells are NULL, and the number of cells tells a blank one from a
+    missing one. (Layouts are written as SQL text: a plan of them takes a tenth of the calls.)"""
+    return F.expr(_cells(line))
 
 
-def cells_of(line) -> Column:
-    """The cells of a line: one quote-aware split, each field unquoted by a single ``transform``
-    over it; blank cells are NULL, and the number of cells tells a blank one from a missing one."""
-    return F.transform(F.split(line, _CSV_SPLIT, -1), _unquote)
+def _cells(line: str) -> str:
+    inner = """CASE WHEN startswith(c, '"') AND endswith(c, '"') AND length(c) >= 2
+                    THEN replace(substring(c, 2, length(c) - 2), '""', '"') ELSE c END"""
+    return f"transform(split({line}, '{_CSV_SPLIT}', -1), c -> nullif({inner}, ''))"
 
 
-def _cell(i: int) -> Column:
+def _cell(i: int) -> str:
     """The cell under the layout's column ``i`` (NULL where the header lacks it)."""
-    at = F.try_element_at("idx", F.lit(i + 1))
-    return F.when(at > 0, F.try_element_at("cells", at))
+    return f"CASE WHEN try_element_at(idx, {i + 1}) > 0 THEN try_element_at(cells, try_element_at(idx, {i + 1})) END"
 
 
-def _text(i: int) -> Column:
-    return F.trim(F.coalesce(_cell(i), F.lit("")))
+def _text(i: int) -> str:
+    return f"trim(coalesce({_cell(i)}, ''))"
 
 
-def _column_index(header: Column, fragment: str, trim: bool) -> Column:
-    """1-based index of the column named ``fragment`` (lowercase exact), else the first whose
-    lowercase name contains it; 0 when none."""
-    norm = F.transform(header, lambda h: F.lower(F.trim(h)) if trim else F.lower(h))
-    exact = F.array_position(norm, fragment)
-    contains = F.array_position(F.transform(norm, lambda h: F.coalesce(h.contains(fragment), F.lit(False))), True)
-    return F.when(exact > 0, exact).otherwise(contains).cast("int")
+def _digits(i: int, keep: str) -> str:
+    """The characters of a cell that make up its amount, NULL when there is none."""
+    return f"nullif(regexp_replace(coalesce({_cell(i)}, ''), '[^{keep}]', ''), '')"
 
 
-def _line_has(words) -> Column:
-    low, out = F.lower(F.col("line")), F.lit(True)
-    for w in words:
-        out = out & low.contains(w)
-    return out
+def _money(text: str) -> str:
+    return f"try_cast(try_cast({text} AS DOUBLE) AS {MONEY.simpleString()})"
 
 
-def _money(text: Column) -> Column:
-    return text.try_cast("double").try_cast(MONEY)
+def _freeform(text: str) -> str:
+    return "coalesce(" + ", ".join(f"try_to_date(trim({text}), '{p}')" for p in FREEFORM_DATES) + ")"
 
 
-def _parse_date(text: Column, patterns: list[str]) -> Column:
-    t = F.trim(text)
-    return F.coalesce(*[F.try_to_date(t, p) for p in patterns])
+def _column_index(cells: str, name: str, trim: bool) -> str:
+    """1-based index of the column named ``name`` (lowercase exact), else the first whose
+    lowercase name contains it; 0 when none."""
+    norm = f"transform({cells}, h -> lower({'trim(h)' if trim else 'h'}))"
+    return (f"CAST(CASE WHEN array_position({norm}, '{name}') > 0 THEN array_position({norm}, '{name}') "
+            f"ELSE array_position(transform({norm}, h -> coalesce(contains(h, '{name}'), false)), true) END AS INT)")
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How one bank's lines are read, in Columns over ``line``, ``cells`` and ``idx`` (the header's
+    """How one bank's lines are read, as SQL text over ``line``, ``cells`` and ``idx`` (the header's
     1-based indexes of the layout's columns, 0: lacking). ``words`` are what a header line contains
     in lower case; only such lines are tested by ``header`` (cells -> whether it is one)."""
 
-    parse: Callable[[], dict[str, Column]]  # date, description, merchant, amount[, skip]
-    payment: Callable[[], Column]           # P11, over the parsed description
+    parse: dict[str, str]    # date, description, merchant, amount[, skip]
+    payment: str             # P11, over the parsed description
     words: tuple[str, ...] = ()
-    header: Callable[[Column], Column] | None = None
-    indexes: Callable[[Column], list[Column]] | None = None
-    needed: int = 0                         # the first so many indexes must be found
-    first: bool = False                     # the header is the statement's first line with text
+    header: Callable[[str], str] | None = None
+    indexes: Callable[[str], list[str]] | None = None
+    needed: int = 0          # the first so many indexes must be found
+    first: bool = False      # the header is the statement's first line with text
 
 
 def _exact_names(*names: str):
-    return lambda cells: [F.array_position(cells, n).cast("int") for n in names]
-
-
-# ---- S1 Amex: the first line whose cells (lowercase, untrimmed) include date, description and
-# amount; blank amount -> row skipped; blank merchant -> description; payment = 'payment received'
-# anywhere in the description
-
-def _amex_header(cells: Column) -> Column:
-    low = F.transform(cells, F.lower)
-    return F.array_contains(low, "date") & F.array_contains(low, "description") & F.array_contains(low, "amount")
+    return lambda cells: [f"CAST(array_position({cells}, '{n}') AS INT)" for n in names]
 
 
 def _named_indexes(trim: bool):
     return lambda cells: [_column_index(cells, n, trim) for n in ("date", "description", "amount", "merchant")]
 
 
-def _merchant_or_description() -> Column:
-    return F.when(F.try_element_at("idx", F.lit(4)) > 0, _text(3)).otherwise(_text(1))
-
-
-def _parse_amex() -> dict[str, Column]:
-    amount = F.regexp_replace(F.coalesce(_cell(2), F.lit("")), r"[^0-9.\-]", "")
-    merchant = _merchant_or_description()
-    return {"date": _parse_date(_cell(0), FREEFORM_DATES), "description": _text(1),
-            "merchant": F.when(merchant == "", _text(1)).otherwise(merchant), "amount": _money(amount), "skip": amount == ""}
-
-
-# ---- S2 Canadian Tire: the first line where some trimmed lowercase cell contains date, some
-# description and some amount (a preamble may precede it); blank amount -> error; payment = 'payment'
-
-def _canadiantire_header(cells: Column) -> Column:
-    norm = F.transform(cells, lambda c: F.lower(F.trim(c)))
-
-    def has(fragment):
-        return F.exists(norm, lambda c: F.coalesce(c.contains(fragment), F.lit(False)))
-
-    return has("date") & has("description") & has("amount")
-
-
-def _parse_canadiantire() -> dict[str, Column]:
-    amount = F.regexp_replace(F.coalesce(_cell(2), F.lit("")), r"[^0-9.\-]", "")
-    return {"date": _parse_date(_cell(0), FREEFORM_DATES), "description": _text(1), "merchant": _merchant_or_description(),
-            "amount": _money(F.when(amount != "", amount))}
-
-
-# ---- S3 Home Trust: first line with case-sensitive ``Trans Date``, ``Merchant Name``, ``Amount``; date
-# M/d/yyyy; amount keeps digits and '.', '(...)' means negative (a plain minus is lost)
-
-def _parse_hometrust() -> dict[str, Column]:
-    raw = _text(2)
-    digits = F.regexp_replace(raw, r"[^0-9.]", "")
-    value = _money(F.when(digits != "", digits))
-    return {"date": F.try_to_date(F.trim(_cell(0)), "M/d/yyyy"), "description": _text(1), "merchant": _text(1),
-            "amount": F.when(raw.contains("(") & raw.contains(")"), -value).otherwise(value)}
-
-
-# ---- S4 TD Visa: no header; lines with < 3 cells are skipped; c0 date M/d/yyyy, c1 description =
-# merchant, c2 amount; when c2 is blank and c3 is not, amount = -abs(c3)
-
-def _parse_tdvisa() -> dict[str, Column]:
-    c = [F.trim(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit(""))) for i in range(4)]
-    credit = (c[2] == "") & (F.size("cells") >= 4) & (c[3] != "")
-    cleaned = F.regexp_replace(F.when(credit, c[3]).otherwise(c[2]), r"[^0-9.\-]", "")
-    value = _money(F.when(cleaned != "", cleaned))
-    return {"date": F.try_to_date(c[0], "M/d/yyyy"), "description": c[1], "merchant": c[1],
-            "amount": F.when(credit, -F.abs(value)).otherwise(value), "skip": F.size("cells") < 3}
-
-
-# ---- S5 Wealthsimple: first line must contain transaction_date, type, details, amount (checked trimmed
-# and lowercased, read by exact name); blank date or amount -> skipped; description = type or
-# details, merchant = details or type; amount parsed as a plain number
-
+def _quoted(*texts: str) -> str:
+    return ", ".join(f"'{t}'" for t in texts)
+
+
+_MERCHANT_OR_DESCRIPTION = f"CASE WHEN try_element_at(idx, 4) > 0 THEN {_text(3)} ELSE {_text(1)} END"
+
+# The first line whose cells (lowercase, untrimmed) include date, description and amount; blank
+# amount -> row skipped; blank merchant -> description; payment = 'payment received' in the description
+_AMEX = Layout(
+    {"date": _freeform(_cell(0)), "description": _text(1),
+     "merchant": f"coalesce(nullif({_MERCHANT_OR_DESCRIPTION}, ''), {_text(1)})",
+     "amount": _money(_digits(2, "0-9.-")), "skip": f"{_digits(2, '0-9.-')} IS NULL"},
+    f"description RLIKE '{AMEX_PAYMENT}'", ("date", "description", "amount"),
+    lambda cells: " AND ".join(f"array_contains(transform({cells}, h -> lower(h)), '{n}')" for n in ("date", "description", "amount")),
+    _named_indexes(False), 3)
+
+# The first line where some trimmed lowercase cell contains date, some description and some
+# amount (a preamble may precede it); blank amount -> error; payment = 'payment'
+_CANADIANTIRE = Layout(
+    {"date": _freeform(_cell(0)), "description": _text(1), "merchant": _MERCHANT_OR_DESCRIPTION,
+     "amount": _money(_digits(2, "0-9.-"))},
+    f"lower(description) = '{CT_PAYMENT}'", ("date", "description", "amount"),
+    lambda cells: " AND ".join(f"exists({cells}, h -> coalesce(contains(lower(trim(h)), '{n}'), false))"
+                               for n in ("date", "description", "amount")),
+    _named_indexes(True), 3)
+
+# S3: first line with case-sensitive Trans Date, Merchant Name, Amount; date M/d/yyyy; amount keeps
+# digits and '.', '(...)' means negative (a plain minus is lost)
+_HOMETRUST = Layout(
+    {"date": f"try_to_date(trim({_cell(0)}), 'M/d/yyyy')", "description": _text(1), "merchant": _text(1),
+     "amount": f"CASE WHEN contains({_text(2)}, '(') AND contains({_text(2)}, ')') THEN -{_money(_digits(2, '0-9.'))} "
+               f"ELSE {_money(_digits(2, '0-9.'))} END"},
+    f"lower(description) IN ({_quoted(*HOMETRUST_PAYMENTS)})", ("trans date", "merchant name", "amount"),
+    lambda cells: "true", _exact_names("Trans Date", "Merchant Name", "Amount"), 3, True)
+
+
+def _plain(i: int) -> str:
+    return f"trim(coalesce(try_element_at(cells, {i + 1}), ''))"
+
+
+# No header; lines with < 3 cells are skipped; c0 date M/d/yyyy, c1 description = merchant, c2
+# amount; when c2 is blank and c3 is not, amount = -abs(c3)
+_CREDIT = f"({_plain(2)} = '' AND size(cells) >= 4 AND {_plain(3)} <> '')"
+_TD_CLEAN = "nullif(regexp_replace({0}, '[^0-9.-]', ''), '')"
+_TDVISA = Layout(
+    {"date": f"try_to_date({_plain(0)}, 'M/d/yyyy')", "description": _plain(1), "merchant": _plain(1),
+     "amount": f"CASE WHEN {_CREDIT} THEN -abs({_money(_TD_CLEAN.format(_plain(3)))}) ELSE {_money(_TD_CLEAN.format(_plain(2)))} END",
+     "skip": "size(cells) < 3"},
+    f"lower(description) = '{TDVISA_PAYMENT}'")
+
+# First line must contain transaction_date, type, details, amount (checked trimmed and lowercased,
+# read by exact name); blank date or amount -> skipped; description = type or details, merchant =
+# details or type; amount parsed as a plain number
 _WS_NAMES = ("transaction_date", "type", "details", "amount")
+_WEALTHSIMPLE = Layout(
+    {"date": f"try_to_date({_text(1)}, 'yyyy-M-d')", "description": f"coalesce(nullif({_text(2)}, ''), {_text(3)})",
+     "merchant": f"coalesce(nullif({_text(3)}, ''), {_text(2)})", "amount": _money(_text(4)),
+     "skip": f"{_text(1)} = '' OR {_text(4)} = ''"},
+    f"lower(description) IN ({_quoted(*WS_PAYMENTS)})", _WS_NAMES, lambda cells: "true",
+    lambda cells: ["CASE WHEN " + " AND ".join(f"coalesce(array_contains(transform({cells}, h -> lower(trim(h))), '{n}'), false)"
+                                               for n in _WS_NAMES) + " THEN 1 ELSE 0 END", *_exact_names(*_WS_NAMES)(cells)],
+    1, True)
 
-
-def _wealthsimple_indexes(cells: Column) -> list[Column]:
-    norm, has_all = F.transform(cells, lambda c: F.lower(F.trim(c))), F.lit(True)
-    for n in _WS_NAMES:
-        has_all = has_all & F.coalesce(F.array_contains(norm, n), F.lit(False))
-    return [F.when(has_all, 1).otherwise(0), *_exact_names(*_WS_NAMES)(cells)]
-
-
-def _parse_wealthsimple() -> dict[str, Column]:
-    d, typ, det, amt = (_text(i) for i in range(1, 5))
-    desc = F.when(typ != "", typ).otherwise(det)
-    return {"date": F.try_to_date(d, "yyyy-M-d"), "description": desc,
-            "merchant": F.when(det != "", det).when(typ != "", typ).otherwise(desc), "amount": _money(amt),
-            "skip": (d == "") | (amt == "")}
-
-
-def _described(*texts: str):
-    return lambda: F.lower("description").isin(*texts)
-
-
-LAYOUTS: dict[str, Layout] = {
-    "amex": Layout(_parse_amex, lambda: F.col("description").rlike(AMEX_PAYMENT), ("date", "description", "amount"),
-                   _amex_header, _named_indexes(False), 3),
-    "canadiantire": Layout(_parse_canadiantire, _described(CT_PAYMENT), ("date", "description", "amount"),
-                           _canadiantire_header, _named_indexes(True), 3),
-    "tdvisa": Layout(_parse_tdvisa, _described(TDVISA_PAYMENT)),
-    "hometrust": Layout(_parse_hometrust, _described(*HOMETRUST_PAYMENTS), ("trans date", "merchant name", "amount"),
-                        lambda cells: F.lit(True), _exact_names("Trans Date", "Merchant Name", "Amount"), 3, True),
-    "wealthsimple": Layout(_parse_wealthsimple, _described(*WS_PAYMENTS), _WS_NAMES,
-                           lambda cells: F.lit(True), _wealthsimple_indexes, 1, True),
-}
+LAYOUTS: dict[str, Layout] = {"amex": _AMEX, "canadiantire": _CANADIANTIRE, "tdvisa": _TDVISA, "hometrust": _HOMETRUST,
+                              "wealthsimple": _WEALTHSIMPLE}
 
 
-def _by_bank(layouts: dict[str, Layout], of) -> Column:
-    """``of(layout)`` for the line's layout; no CASE where there is only one."""
-    out = None
-    for bank, layout in layouts.items():
-        value = of(layout)
-        if len(layouts) == 1:
-            return value
-        out = F.when(F.col("bank") == bank, value) if out is None else out.when(F.col("bank") == bank, value)
-    return out
+def _by_bank(layouts: dict[str, Layout], of: Callable[[Layout], str]) -> Column:
+    """``of(layout)`` (SQL text) for the line's layout; no CASE where there is only one."""
+    if len(layouts) == 1:
+        return F.expr(of(next(iter(layouts.values()))))
+    return F.expr("CASE " + " ".join(f"WHEN bank = '{bank}' THEN {of(layout)}" for bank, layout in layouts.items()) + " END")
 
 
 def block_table(lines: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
     """One row per block: its first ``at`` and number of lines, the lines of its statement before it,
     and the statement's header line (``header_pos``, ``idx``). ``lines``: (bank, statement, file,
     block, at, line)."""
-    none = F.lit(None).cast("string")
-    header = _by_bank(layouts, lambda x: F.when(
-        _line_has(x.words), F.when(x.header(cells_of("line")), F.col("line"))) if x.header else none)
+    has = lambda x: " AND ".join(f"contains(lower(line), '{w}')" for w in x.words)
+    header = _by_bank(layouts, lambda x: f"CASE WHEN {has(x)} THEN CASE WHEN {x.header(_cells('line'))} THEN line END END"
+                      if x.header else "CAST(NULL AS STRING)")
     # grouped by what a header-like line is, and by nothing for all others: plain counters per group
     counted = (lines.withColumn("header", header)
                .groupBy("bank", "statement", "file", "block", F.when(F.col("header").isNotNull(), F.col("at")).alias("header_at"), "header")
@@ -286,23 +243,21 @@ def block_table(lines: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
     blocks = (blocks.withColumn("text_pos", F.min(place(F.col("text"))).over(whole))
               .withColumn("h", F.min(F.when(F.col("h").isNotNull(), F.struct(place(F.col("h.header_at")).alias("pos"),
                                                                             F.col("h.header").alias("line")))).over(whole)))
-    position = _by_bank(layouts, lambda x: F.col("text_pos") if x.first else F.col("h.pos"))
-    cells = cells_of(F.when(F.col("h.pos") == F.col("header_pos"), F.col("h.line")))
-    index = _by_bank(layouts, lambda x: F.array(*x.indexes(F.col("header_cells"))) if x.indexes else F.array().cast("array<int>"))
-    return (blocks.withColumn("header_pos", position).withColumn("header_cells", cells)
+    position = _by_bank(layouts, lambda x: "text_pos" if x.first else "h.pos")
+    index = _by_bank(layouts, lambda x: f"array({', '.join(x.indexes('header_cells'))})" if x.indexes else "CAST(array() AS ARRAY<INT>)")
+    return (blocks.withColumn("header_pos", position)
+            .withColumn("header_cells", cells_of("CASE WHEN h.pos = header_pos THEN h.line END"))
             .select("file", "block", "first", "n", "before", "header_pos",
                     F.when(F.col("header_cells").isNotNull(), index).alias("idx")))
 
 
-def _fault(layout: Layout) -> Column:
+def _fault(layout: Layout) -> str:
     """Why no line of this line's statement can be read: its header is missing, or lacks a column."""
     if not layout.needed:
-        return F.lit(None).cast("string")
-    lacks = F.col("idx").isNull()
-    for i in range(layout.needed):
-        lacks = lacks | (F.coalesce(F.try_element_at("idx", F.lit(i + 1)), F.lit(0)) == 0)
-    missing = F.when(lacks, "missing column")
-    return missing if layout.first else F.when(F.col("header_pos").isNull(), "no header").otherwise(missing)
+        return "CAST(NULL AS STRING)"
+    lacks = " OR ".join(["idx IS NULL", *[f"coalesce(try_element_at(idx, {i + 1}), 0) = 0" for i in range(layout.needed)]])
+    missing = f"CASE WHEN {lacks} THEN 'missing column' END"
+    return missing if layout.first else f"CASE WHEN header_pos IS NULL THEN 'no header' ELSE {missing} END"
 
 
 def _load(lines: DataFrame, layouts: dict[str, Layout], include_payments: bool, strict: bool) -> LoadResult:
@@ -313,19 +268,21 @@ def _load(lines: DataFrame, layouts: dict[str, Layout], include_payments: bool,
     pos = F.when((at >= 0) & (at < F.col("n")), F.col("before") + at).otherwise(
         F.raise_error(F.lit("a file changed while it was read")).cast("bigint"))
     body = (lines.join(blocks, ["file", "block"]).filter(F.col("line") != "")
-            .select("bank", "file", pos.cast("int").alias("pos"), "line", cells_of("line").alias("cells"), "idx", "header_pos")
+            .select("bank", "file", pos.cast("int").alias("pos"), "line", cells_of().alias("cells"), "idx", "header_pos")
             .filter(F.col("header_pos").isNull() | (F.col("pos") > F.col("header_pos"))))
-    parsed = {name: layout.parse() for name, layout in layouts.items()}
-    of = {id(layout): parsed[name] for name, layout in layouts.items()}
-    fields = [_by_bank(layouts, lambda x, c=c: of[id(x)][c]).alias(c) for c in ("date", "description", "merchant", "amount")]
-    skip = _by_bank(layouts, lambda x: of[id(x)].get("skip", F.lit(False)))
-    rows = body.select("bank", "file", "pos", "line", *fields, _by_bank(layouts, _fault).alias("__bad"), skip.alias("__skip"))
+    def read_row(layout: Layout) -> str:
+        fields = {**layout.parse, "__skip": layout.parse.get("skip", "false"), "__bad": _fault(layout)}
+        fields.pop("skip", None)
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    # The generator keeps Catalyst from copying the parsing into every filter that reads its result.
+    rows = body.select("bank", "file", "pos", "line", F.inline(F.array(_by_bank(layouts, read_row))))
+    rows = rows.select("*", _by_bank(layouts, lambda x: x.payment).alias("__payment"))
     reason = (F.when(F.col("__bad").isNotNull(), F.col("__bad"))
               .when(F.col("date").isNull(), F.lit("unparsable date"))
               .when(F.col("amount").isNull(), F.lit("unparsable amount"))
               .when(F.lit(include_payments) & F.col("__payment") & (F.col("amount") >= 0), F.lit("payment not negative")))
-    tagged = (rows.filter(F.col("__bad").isNotNull() | ~F.coalesce("__skip", F.lit(False)))
-              .withColumn("__payment", _by_bank(layouts, lambda x: x.payment())).withColumn("__reason", reason))
+    tagged = rows.filter(F.col("__bad").isNotNull() | ~F.coalesce("__skip", F.lit(False))).withColumn("__reason", reason)
     kept = F.lit(include_payments) | ~F.col("__payment")
     ledger = ["date", "description", "merchant", "amount", F.lit(None).cast("string").alias("category"),
               F.col("bank").alias("provider"), "file", "pos"]
