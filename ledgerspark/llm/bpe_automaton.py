@@ -25,7 +25,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,11 @@ from pyspark.sql import functions as F
 
 PART = 1 << 19  # characters of text whose words are listed at once
 OUT_IDS = 1 << 21  # ids in a batch that is handed on (a longer text makes a batch of its own)
-WORDS_KEPT, WORD_KEPT = 1 << 18, 48  # encodings kept by a task, and the longest word among them
+KEPT, KEY_KEPT = 1 << 18, 48  # encodings held by a task, and the longest words among them
+TRANSITIONS_KEPT = 1 << 20  # transitions held by a task
 # Characters for which Python's tables and the vocabulary's normaliser and split pattern agree and
 # that never compose; texts with others go through the file's own normaliser and pattern.
-_PLAIN = re.compile("[\x00-˿Ѐ-԰‐-‧‰-⁞₠-₿、-ゖァ-ヺ一-龥가-힣]*+")
+_PLAIN = re.compile("[\x00-\x1b\x20-˿Ѐ-԰‐-‧‰-⁞₠-₿、-ゖァ-ヺ一-龥가-힣]*+")
 _SPACE = re.compile("[ \t\n]")  # never part of a word
 
 
@@ -65,10 +65,13 @@ class Automaton:
                 continue
             self.cuts[u * self.size + v] = k
             self.made[w], self.left[w], self.right[w] = k, u, v
-        self.inner = {t: i for i, t in enumerate(labels) if not t.endswith(end) and i not in dead}
+        self.known: dict[int, bool] = {}  # transitions read off before, by (state, arc)
+        self.inner = {t: i for i, t in enumerate(labels) if t and not t.endswith(end) and i not in dead}
         self.last = {t[:-len(end)]: i for i, t in enumerate(labels) if t.endswith(end) and i not in dead}
-        self.longest = max(map(len, [*self.inner, *self.last]), default=0)
-        self.heads = {t[:k] for t in [*self.inner, *self.last] for k in range(1, len(t) + 1)}
+        self.reach: dict[str, int] = {}  # the longest token that begins with three characters
+        for t in [*self.inner, *self.last]:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 3))
 
     def follows(self, before: int, arc: int) -> bool:
         """Whether the state behind ``before`` has the arc."""
@@ -88,44 +91,36 @@ class Automaton:
                 return True
             since, arc = made[arc], left[arc]
 
-    def _arcs(self, word: str, at: int) -> list[int]:
-        """The tokens that spell what comes next, shortest first."""
-        found, heads, inner, n = [], self.heads, self.inner, len(word)
-        for end in range(at + 1, min(n, at + self.longest) + 1):
-            piece = word[at:end]
-            if piece not in heads:
-                break
-            token = inner.get(piece) if end < n else self.last.get(piece)
-            if token is not None:
-                found.append(token)
-        return found
-
-    def spell(self, word: str) -> tuple[int, ...]:
+    def spell(self, word: str) -> list[int]:
         """The ids of one word, given as byte characters; none for the empty word."""
-        whole = self.last.get(word)
-        if whole is not None and self.made[whole] >= 0 and len(word) == 1 or not word:
-            return (whole,) if word else ()
-        n, path, places, seen = len(word), [], [0], {0}
-        choices = [self._arcs(word, 0)]
-        while places[-1] < n:
-            if not choices[-1]:
-                choices.pop()
-                places.pop()
-                path.pop()
-                continue
-            token = choices[-1].pop()
-            label = self.labels[token]
-            to = places[-1] + len(label)
-            if to >= n:
-                to = n
-            if to in seen or path and not self.follows(path[-1], token):
-                continue
-            path.append(token)
-            places.append(to)
-            if to < n:
+        inner, last, reach, known, size, n = self.inner, self.last, self.reach, self.known, self.size, len(word)
+        path, back, seen, place = [], [], {0}, 0
+        size_left = reach.get(word[:3], 2)  # the longest arc not yet tried from this place
+        while place < n:
+            while size_left:
+                to = place + size_left
+                size_left -= 1
+                token = inner.get(word[place:to]) if to < n else last.get(word[place:]) if to == n else None
+                if token is None or to in seen:
+                    continue
+                if path:
+                    transition = path[-1] * size + token
+                    follows = known.get(transition)
+                    if follows is None:
+                        if len(known) >= TRANSITIONS_KEPT:
+                            known.clear()
+                        follows = known[transition] = self.follows(path[-1], token)
+                    if not follows:
+                        continue
+                back.append((place, size_left))
+                path.append(token)
                 seen.add(to)
-                choices.append(self._arcs(word, to))
-        return tuple(path)
+                place, size_left = to, reach.get(word[to:to + 3], 2)
+                break
+            else:  # no arc leads on from here: go back
+                place, size_left = back.pop()
+                path.pop()
+        return path
 
 
 class Vocabulary:
@@ -147,30 +142,53 @@ class Vocabulary:
         self.automaton = Automaton(labels, merges, ends)
 
 
-class Encoder(dict):
-    """Words to ids within one task; keeps what it has spelled of short words."""
+class Lately(dict):
+    """The values of the short keys met lately: when ``KEPT`` are held, they become ``older`` and
+    replace those. Other values are made anew."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make):
         super().__init__()
-        self.vocabulary, self.automaton = vocabulary, vocabulary.automaton
-        self.words = regex.compile(vocabulary.pattern)
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEY_KEPT:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Texts to ids (as bytes) within one task."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.pattern = regex.compile(vocabulary.pattern)
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")")
         self.characters = byte_characters()
+        self.pieces = Lately(self.piece)  # runs of characters without white space, and their words
         self.exact = None
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        characters = self.characters
-        ids = self.automaton.spell("".join([characters[b] for b in word.encode("utf-8")]))
-        if len(word) <= WORD_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def split(self, text: str) -> list[str]:
-        """The normalised words of a text without added tokens."""
-        if _PLAIN.fullmatch(text):
-            return self.words.findall(text.lower())
+    def piece(self, run: str) -> bytes:
+        words = [run] if run.isalpha() else self.pattern.findall(run)
+        if len(words) > 1:
+            return b"".join(map(self.pieces.__getitem__, words))
+        return self.word(words[0]) if words else b""
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii() or not word.isprintable():
+            characters = self.characters
+            word = "".join([characters[b] for b in word.encode("utf-8")])
+        return array("i", self.vocabulary.automaton.spell(word)).tobytes()
+
+    def segment(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        if _PLAIN.fullmatch(text):  # words never reach over white space, which splits the same for both
+            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
         if self.exact is None:
             from tokenizers import Regex, Tokenizer
             from tokenizers.pre_tokenizers import Split
@@ -178,14 +196,15 @@ class Encoder(dict):
             normal = Tokenizer.from_file(self.vocabulary.path).normalizer
             by = Split(Regex(self.vocabulary.pattern), "removed", invert=True)
             self.exact = lambda t: [w for w, _ in by.pre_tokenize_str(normal.normalize_str(t))]
-        return self.exact(text)
+        return b"".join(map(self.word, self.exact(text)))
 
-    def ids(self, text: str) -> array:
-        out = array("i")
+    def ids(self, text: str) -> bytes:
+        """The ids of a text, 4 bytes each."""
+        out = []
         special = any(token in text for token in self.vocabulary.added)
         for k, segment in enumerate(self.added.split(text) if special else [text]):
             if k % 2:
-                out.append(self.vocabulary.added[segment])
+                out.append(array("i", [self.vocabulary.added[segment]]).tobytes())
                 continue
             at = 0
             while at < len(segment):
@@ -193,10 +212,9 @@ class Encoder(dict):
                 if to > at + PART:
                     space = _SPACE.search(segment, at + PART)
                     to = space.start() if space else to
-                words = self.split(segment[at:to])
-                out.extend(list(chain.from_iterable(map(self.__getitem__, words))))
+                out.append(self.segment(segment[at:to]))
                 at = to
-        return out
+        return b"".join(out)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -219,12 +237,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for b in _parts(batches, 1, 2 * OUT_IDS):
-            ids, ends = array("i"), [0]
-            for text in b[1].to_pylist():
-                if text:
-                    ids.extend(encoder.ids(text))
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            ids = [encoder.ids(text) if text else b"" for text in b[1].to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([b[0], lists], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
@@ -234,20 +249,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 def decode(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, ids, text)``: the labels of the ids' arcs, joined by a space as the file names no
     decoder. Ids without a token are left out; null ids give a null text."""
-    labels = vocabulary.labels
+    labels = pa.array([vocabulary.labels.get(i) for i in range(max(vocabulary.labels) + 1)], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, 1, OUT_IDS):
-            texts, label = [], labels.get
-            flat = b[1].flatten().to_pylist()
-            at = 0
-            for n in pc.list_value_length(b[1]).to_pylist():
-                if n is None:
-                    texts.append(None)
-                    continue
-                texts.append(" ".join([t for t in map(label, flat[at:at + n]) if t is not None]))
-                at += n
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            lists = b[1]
+            ids = lists.flatten()
+            held = np.diff(np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            number = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+            known = (number >= 0) & (number < len(labels))
+            known[known] = labels.is_valid().to_numpy(zero_copy_only=False)[number[known]]
+            row = np.repeat(np.arange(len(b)), held)[known]
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(b)))]
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), labels.take(pa.array(number[known])))
+            texts = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), pc.binary_join(words, " "))
+            yield pa.RecordBatch.from_arrays([b[0], lists, texts], ["doc_id", "ids", "text"])
 
     return tokens.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")) \
         .mapInArrow(run, "doc_id bigint, ids array<int>, text string")
