@@ -15,6 +15,7 @@ from ledgerspark.plans.registry import ORACLES, register
 from ledgerspark.plans.sqlfrag import compact_cte, slug_sql
 from ledgerspark.plans.sqlviews import LEDGER_LINES, LEDGER_ORDERS, with_
 from ledgerspark.plans.summary_queries import _drivers_sql, _summary_sql
+from ledgerspark.session import staging_path
 from ledgerspark.sources.tables import ledger_lines, ledger_orders
 
 ORDER_CATEGORIES = ["automobile", "building", "furniture", "machinery", "uncategorized"]
@@ -119,6 +120,16 @@ def search_dimensions_q(spark, sf):
     return out.select("type", "id", "label", F.array_join("aliases", ",").alias("aliases"))
 
 
+@register("search_index", ORACLES["search_dimensions"])
+def search_index(spark, sf):
+    """C11 from a stored text index: the search itself reads no ledger row."""
+    from ledgerspark.operators.search import search_text_index, write_text_index
+
+    path = staging_path(spark, "text-index")
+    write_text_index(path, ledger_lines(spark, sf))
+    return search_text_index(spark, path, "Brand#1").select("type", "id", "label", F.array_join("aliases", ",").alias("aliases"))
+
+
 @register("find_page", with_(LEDGER_ORDERS, compact_cte("date >= DATE '1997-01-01' AND date <= DATE '1997-12-31'")) + f""",
 p AS (SELECT {TX_ID_SQL} AS id, CAST(date AS VARCHAR) AS date, amount_cents AS "amountCents", merchant, category,
              date AS d, amount_cents FROM rows
