@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.dedupe import KEY, LEDGER_COLS, dedupe_last, upsert
+from ledgerspark.operators.dedupe import ARRIVAL, KEY, LEDGER_COLS, dedupe_last, upsert
 from ledgerspark.schema import LEDGER
 from ledgerspark.session import staging_path
 from ledgerspark.sinks import swap
 
 
+TASK_ROWS = 500_000  # rows that a task of the merge sorts, on average
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a stored table is there. Only its absence counts as a first write; every other
     problem with it surfaces when it is read."""
@@ -36,10 +39,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*LEDGER_COLS)
 
 
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` over tasks of about ``TASK_ROWS``: shuffled and stored partitions are bounded in bytes, of
+    which a ledger row may take ten, and sorted in memory it takes hundreds. Not by key alone, so that
+    rows of one key still collapse in several tasks."""
+    by = [c for c in (*KEY, "provider", *ARRIVAL) if c in df.columns]
+    return df.repartition(-(-rows // TASK_ROWS), *by) if rows > TASK_ROWS else df
+
+
 def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> None:
     """K1: merge ``batch`` into the month-partitioned ledger at ``path``."""
     batch = batch.persist()
-    if batch.isEmpty():  # a table without a row could not be read again
+    rows = batch.count()
+    if not rows:  # a table without a row could not be read again
         batch.unpersist()
         return
     months = _with_month(batch).select("month").distinct()
@@ -52,10 +64,11 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, rules) -> Non
             stored = stored.withColumn("provider", F.lit(None).cast("string"))
         # semi-join on the partition column: dynamic partition pruning reads touched months only
         touched_old = stored.join(months, "month", "left_semi").select(*LEDGER_COLS)
+        touched_old = _spread(touched_old, touched_old.count())
     # The merged months are written aside first: the table is no input of the swap, and a swap that is
     # interrupted is finished from that copy.
     aside = staging_path(spark, "ledger-upsert")
-    _with_month(upsert(touched_old, batch, rules)).write.parquet(aside)
+    _with_month(upsert(touched_old, _spread(batch, rows), rules)).write.parquet(aside)
     swap.swap_in(spark, path, aside, "month")
     batch.unpersist()
 

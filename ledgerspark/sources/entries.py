@@ -1,6 +1,8 @@
 """Manual entries (S9) and recurring rules (S10) as ledger rows.
 
-Recurring expansion is one ``sequence`` + ``explode`` per spec row (no driver loop): monthly
+Recurring expansion is one ``sequence`` + ``explode`` per spec row (no driver loop). A spec is a few
+bytes and may stand for hundreds of rows, so that a scan task's specs would make a task of any size:
+specs are counted by the steps they make and spread over tasks of about ``TASK_STEPS``. Monthly
 steps are ``add_months(start, k)`` from the start date, so Jan 31 gives Feb 28 then Mar 31.
 The end defaults to ``as_of`` (today) even when ``count`` is set; ``count`` caps the rows.
 Invalid specs (unknown cadence, count <= 0, missing start) go to a quarantine frame (D14).
@@ -17,6 +19,7 @@ from ledgerspark.schema import MONEY
 
 SPEC_SCHEMA = ("description STRING, merchant STRING, amount DOUBLE, cadence STRING, start_date STRING, "
                "end_date STRING, count BIGINT")
+TASK_STEPS = 250_000  # steps that a task expands, on average
 MANUAL_SCHEMA = "date STRING, description STRING, merchant STRING, amount DOUBLE"
 
 
@@ -79,8 +82,13 @@ def expand_recurring(specs: DataFrame, as_of: date | str | None = None) -> tuple
     n_cand = (F.when(cadence == "daily", n_days + 1)
               .when(cadence == "weekly", F.floor(n_days / 7) + 1)
               .otherwise(F.floor(F.months_between("__end", "__start")) + 2).cast("int"))
-    if_valid = F.when(F.col("__start") <= F.col("__end"), n_cand).otherwise(F.lit(0))
-    stepped = good.filter(if_valid > 0).select("*", F.explode(F.sequence(F.lit(0), if_valid - 1)).alias("k"))
+    # no step from ``count`` on is made
+    if_valid = F.when(F.col("__start") <= F.col("__end"), F.least(n_cand, F.col("count")).cast("int")).otherwise(F.lit(0))
+    good = good.withColumn("__steps", if_valid).filter(F.col("__steps") > 0)
+    tasks = -(-(good.agg(F.sum("__steps")).first()[0] or 0) // TASK_STEPS)
+    if tasks > 1:
+        good = good.repartition(tasks)
+    stepped = good.select("*", F.explode(F.sequence(F.lit(0), F.col("__steps") - 1)).alias("k"))
     day = (F.when(cadence == "daily", F.date_add("__start", F.col("k")))
            .when(cadence == "weekly", F.date_add("__start", F.col("k") * 7))
            .otherwise(F.add_months("__start", F.col("k"))))
