@@ -18,19 +18,29 @@ from ledgerspark.sources.tables import ledger_orders, usage_events
 from ledgerspark.streaming import jobs
 
 
+FILE_ROWS = 250_000  # most rows, on average, of a staged file
+
+
+def _times(df, n_files):
+    """By how much the files of a staged input, and those of a micro-batch, are multiplied: a file holds
+    about ``FILE_ROWS`` rows at most, and there are as many micro-batches whatever the size."""
+    return max(1, -(-df.count() // (n_files * FILE_ROWS)))
+
+
 def _stage(df, spark, name, n_files=8, by=None):
-    path = staging_path(spark, name)
-    (df.repartitionByRange(n_files, by) if by else df.repartition(n_files)).write.parquet(path)
-    return path
+    """The folder of the staged rows, and by how much their ``n_files`` files were multiplied."""
+    path, times = staging_path(spark, name), _times(df, n_files)
+    (df.repartitionByRange(n_files * times, by) if by else df.repartition(n_files * times)).write.parquet(path)
+    return path, times
 
 
 @register("stream_daily_spend", with_(LEDGER_ORDERS) + """
 SELECT CAST(date AS VARCHAR) AS day, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS transactions
 FROM ledger GROUP BY date""")
 def stream_daily_spend(spark, sf):
-    src = _stage(ledger_orders(spark, sf).select("date", "amount"), spark, "daily-src")
+    src, times = _stage(ledger_orders(spark, sf).select("date", "amount"), spark, "daily-src")
     sink, ck = staging_path(spark, "daily-sink"), staging_path(spark, "daily-ck")
-    jobs.stream_daily_spend(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=1)
+    jobs.stream_daily_spend(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=times)
     return jobs.read_daily_spend(spark, sink).select(F.date_format("day", "yyyy-MM-dd").alias("day"),
                                                       F.col("total").cast("double").alias("total"), "transactions")
 
@@ -40,9 +50,9 @@ SELECT DISTINCT event_id, session_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%
 def stream_event_dedupe(spark, sf):
     ev = usage_events(spark, sf).select("event_id", "session_id", "event_type", "ts")
     replay = ev.filter(F.col("event_id").cast("bigint") % 5 == 0)
-    src = _stage(ev.unionByName(replay), spark, "events-src")
+    src, times = _stage(ev.unionByName(replay), spark, "events-src")
     sink, ck = staging_path(spark, "dedupe-sink"), staging_path(spark, "dedupe-ck")
-    jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=2)
+    jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, ck, max_files=2 * times)
     return spark.read.parquet(sink).select("event_id", "session_id", "event_type",
                                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
@@ -56,12 +66,11 @@ def stream_event_corrections(spark, sf):
     both versions come in one micro-batch or in two."""
     n = F.col("event_id").cast("bigint")
     ev = usage_events(spark, sf).select("event_id", "page", "ts")
-    src = staging_path(spark, "corrections-src")
-    ev.repartition(4).write.parquet(src)
+    src, times = _stage(ev, spark, "corrections-src", n_files=4)
     later = ev.filter(n % 5 == 0).select("event_id", F.lit("/corrected").alias("page"), (F.col("ts") - F.expr("INTERVAL 3 DAY")).alias("ts"))
-    later.repartition(2).write.mode("append").parquet(src)
+    later.repartition(2 * times).write.mode("append").parquet(src)
     out = None
-    for run, files in (("one batch", None), ("many batches", 2)):
+    for run, files in (("one batch", None), ("many batches", 2 * times)):
         sink = staging_path(spark, "corrections-sink")
         jobs.stream_event_dedupe(spark, src, spark.read.parquet(src).schema, sink, staging_path(spark, "corrections-ck"), files)
         rows = spark.read.parquet(sink).select(F.lit(run).alias("run"), "event_id", "page",
@@ -75,9 +84,9 @@ SELECT strftime(date, '%Y-%m') AS month, COALESCE(category, 'uncategorized') AS
        CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS transactions
 FROM ledger GROUP BY 1, 2""")
 def stream_month_spend(spark, sf):
-    src = _stage(ledger_orders(spark, sf).select("date", "category", "amount"), spark, "months-src", n_files=4)
+    src, times = _stage(ledger_orders(spark, sf).select("date", "category", "amount"), spark, "months-src", n_files=4)
     sink = staging_path(spark, "months-sink")
-    jobs.stream_month_spend(spark, src, spark.read.parquet(src).schema, sink, staging_path(spark, "months-ck"), max_files=1)
+    jobs.stream_month_spend(spark, src, spark.read.parquet(src).schema, sink, staging_path(spark, "months-ck"), max_files=times)
     return jobs.read_spend_totals(spark, sink).select("month", "category", F.col("total").cast("double").alias("total"), "transactions")
 
 
@@ -101,10 +110,10 @@ def event_upsert_stored(spark, sf):
 @register("stream_sessions", with_(USAGE_EVENTS, _SESSION_SQL.format(src="usage")) + f"SELECT {_SESSION_COLS} FROM sess")
 def stream_sessions(spark, sf):
     ev = usage_events(spark, sf).drop("value")
-    src = _stage(ev, spark, "sessions-src", n_files=6, by="ts")
+    src, times = _stage(ev, spark, "sessions-src", n_files=6, by="ts")
     events_path, sessions_path = staging_path(spark, "sessions-events"), staging_path(spark, "sessions-out")
     jobs.stream_sessions(spark, src, spark.read.parquet(src).schema, events_path, sessions_path,
-                         staging_path(spark, "sessions-ck"), max_files=3)
+                         staging_path(spark, "sessions-ck"), max_files=3 * times)
     return _sessions_out(jobs.read_sessions(spark, sessions_path))
 
 

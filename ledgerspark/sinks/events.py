@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.events import dedupe_events
 from ledgerspark.session import staging_path
 from ledgerspark.sinks.ledger import table_exists
-from ledgerspark.sinks.swap import recover, swap_in
+from ledgerspark.sinks.swap import delete, recover, swap_in
 
 
 def write_events(spark: SparkSession, path: str, events: DataFrame) -> None:
@@ -23,9 +23,13 @@ def write_events(spark: SparkSession, path: str, events: DataFrame) -> None:
     already: an event that moves to another date leaves its old one."""
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(1).cast("bigint"))
-    batch = events.withColumn("event_date", F.to_date("ts")).persist()
+    # The batch is read several times: from files, whose size bounds what a task reads of them, and of
+    # which a step reads its own columns. (In memory, an event of a large file stays in one task.)
+    held = staging_path(spark, "event-batch")
+    events.withColumn("event_date", F.to_date("ts")).write.parquet(held)
+    batch = spark.read.parquet(held)
     if batch.isEmpty():  # a table without a row could not be read again
-        batch.unpersist()
+        delete(spark, held)
         return
     first = not table_exists(spark, path)
     merged, moved = batch.withColumn("__new", F.lit(1)), None
@@ -49,4 +53,4 @@ def write_events(spark: SparkSession, path: str, events: DataFrame) -> None:
         fresh = spark.read.parquet(aside).select("event_date").distinct()
         emptied = [r.event_date for r in moved.distinct().join(fresh, "event_date", "left_anti").collect()]  # one row a date
         swap_in(spark, path, aside, "event_date", [f"event_date={day}" for day in emptied])
-    batch.unpersist()
+    delete(spark, held)
